@@ -90,7 +90,7 @@ def parse_dates(spark, folder):
 
 @query
 def requests_from_json(spark, folder):
-    r = tables.request_bodies(spark, folder).withColumn("request", jsons.parse(F.col("body"), TRIP_REQUEST))
+    r = jsons.with_parsed(tables.request_bodies(spark, folder), "body", TRIP_REQUEST, "request")
     return r.select(
         "request_id",
         F.col("request.departure.lat").alias("dep_lat"),
@@ -104,7 +104,7 @@ def requests_from_json(spark, folder):
 
 @query
 def request_rejects(spark, folder):
-    r = tables.request_bodies(spark, folder).withColumn("request", jsons.parse(F.col("body"), TRIP_REQUEST))
+    r = jsons.with_parsed(tables.request_bodies(spark, folder), "body", TRIP_REQUEST, "request")
     _, rejected = quality.split(quality.apply_rules(r, quality.request_rules()))
     return rejected.select(
         "request_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,15 @@ def parse(text: Column, schema: T.StructType) -> Column:
     return F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
 
 
+def with_parsed(df: DataFrame, text: str, schema: T.StructType, name: str) -> DataFrame:
+    """Adds the typed value of a JSON column, parsed once per row.
+
+    A plain projection would be merged into every later filter and field access and parse the text again for
+    each; a one-element generator keeps it in one place.
+    """
+    return df.select("*", F.explode(F.array(parse(F.col(text), schema))).alias(name))
+
+
 def absent_keys(text: Column, required: tuple[str, ...]) -> Column:
     """Required keys that the JSON object lacks, in the order given; a key set to null is present."""
     wanted = F.array(*[F.lit(k) for k in required])

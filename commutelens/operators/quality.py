@@ -31,8 +31,9 @@ def broken_rules(rules: Mapping[str, Column]) -> Column:
 
 
 def apply_rules(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    reasons = broken_rules(rules)
-    return df.withColumn("reasons", reasons).withColumn("accepted", F.size("reasons") == 0)
+    """Adds the broken rules' names and whether there are none. The rules run once per row (see ``with_parsed``)."""
+    checked = df.select("*", F.explode(F.array(broken_rules(rules))).alias("reasons"))
+    return checked.withColumn("accepted", F.size("reasons") == 0)
 
 
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,7 +76,7 @@ def enum_rules(density: Column, incentive: Column) -> dict[str, Column]:
 
 def parse_responses(df: DataFrame, text: str = "response") -> DataFrame:
     """Typed response, or an error where the text is no JSON object."""
-    parsed = df.withColumn("insight", jsons.parse(F.col(text), INSIGHT))
+    parsed = jsons.with_parsed(df, text, INSIGHT, "insight")
     bad = F.col("insight").isNull() | F.col(f"insight.{CORRUPT}").isNotNull()
     return parsed.withColumn("error", F.when(bad, F.lit("Response is not valid JSON")))
 

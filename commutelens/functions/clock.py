@@ -47,9 +47,9 @@ def plus_minutes(ts: Column, minutes: Column) -> Column:
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    """Whole hours from start to end, never below zero."""
+    """Whole hours from start to end, never below zero; null if either is."""
     whole = (end - start).cast("interval hour").cast("bigint")
-    return F.greatest(F.lit(0).cast("bigint"), whole)
+    return F.when(whole < 0, F.lit(0).cast("bigint")).otherwise(whole)
 
 
 def parse_ampm(text: Column) -> Column:

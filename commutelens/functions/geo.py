@@ -12,7 +12,7 @@ def great_circle_miles(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lng = F.sin(F.radians(lng2 - lng1) / 2)
     h = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lng * half_lng
-    return F.round(F.lit(2 * TRIP.earth_radius_miles) * F.asin(F.sqrt(F.least(h, F.lit(1.0)))), 6)
+    return F.round(F.lit(2 * TRIP.earth_radius_miles) * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h))), 6)
 
 
 def bounding_box(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> dict[str, Column]:

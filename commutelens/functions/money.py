@@ -25,7 +25,8 @@ def trip_savings_cents(miles: Column, params: TripParams = TRIP) -> Column:
     """What a rider saves against driving the same miles, never below zero."""
     per_mile = params.gas_cents_per_gallon / params.miles_per_gallon
     driving = round_half_up(miles * F.lit(per_mile)) + F.lit(params.parking_cents)
-    return F.greatest(F.lit(0).cast("bigint"), driving - F.lit(params.fare_cents))
+    saved = driving - F.lit(params.fare_cents)
+    return F.when(saved < 0, F.lit(0).cast("bigint")).otherwise(saved)
 
 
 def incentive_usd(density: Column, params: TripParams = TRIP) -> Column:

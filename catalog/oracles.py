@@ -429,7 +429,7 @@ res AS (SELECT date_diff('hour', CAST(h.c AS TIMESTAMP), ts) + 1 AS step, y::DOU
 SELECT step, count(*) AS n, round(avg((actual - q50) * (actual - q50)), 6) AS mse,
        round(avg(CASE WHEN actual <> 0 THEN abs(actual - q50) / abs(actual) END), 6) AS mape,
        round(avg(CASE WHEN actual BETWEEN q10 AND q90 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS coverage_80,
-       round(corr(actual, q50), 6) AS trend_corr
+       CASE WHEN NOT isnan(corr(actual, q50)) THEN round(corr(actual, q50), 6) END AS trend_corr
 FROM res GROUP BY 1"""
 
 # --- regression -----------------------------------------------------------------------------------------

@@ -100,3 +100,9 @@ def test_backtest_uses_only_the_past(rows):
     assert {(r["q50"], r["actual"]) for r in results.collect()} == {(10.0, 20.0)}
     error = forecast.error_by_step(results).first()
     assert (error["mse"], error["mape"], error["coverage_80"]) == (100.0, 0.5, 0.0)
+
+
+def test_constant_results_have_no_correlation(rows):
+    same = rows([(1, 5.0, 4.0, 5.0, 6.0), (1, 5.0, 4.0, 5.0, 6.0)], "step bigint, actual double, q10 double, q50 double, q90 double")
+    got = forecast.error_by_step(same).first()
+    assert got["trend_corr"] is None and got["coverage_80"] == 1.0

@@ -107,20 +107,27 @@ def forecast_with_model(
     return series.groupBy("series_key").applyInPandas(run, MODEL_SCHEMA)
 
 
+def cards(profile: DataFrame) -> DataFrame:
+    """One row per series: its last slot and its bands by phase, a map of at most ``period`` entries."""
+    entry = F.struct(F.col("phase"), F.struct("q10", "q50", "q90"))
+    return profile.groupBy("series_key").agg(
+        F.first("last_slot").alias("last_slot"), F.map_from_entries(F.collect_list(entry)).alias("bands")
+    )
+
+
 def answer(requests: DataFrame, profile: DataFrame, period: int) -> DataFrame:
     """Integer answer per (series, horizon) request: zero at or below horizon 0, else the floored median.
 
-    The horizon is mapped to its seasonal phase, so any horizon is answered from the same profile rows.
+    The horizon is mapped to its seasonal phase, so any horizon is answered from the same profile. Bands come
+    as one row per series, so requests are shuffled once, by series.
     """
-    ends = profile.groupBy("series_key").agg(F.first("last_slot").alias("last_slot"))
-    with_phase = requests.join(ends, "series_key", "left").withColumn(
-        "phase", F.pmod(F.col("last_slot") + F.col("horizon"), F.lit(period))
-    )
-    bands = profile.select("series_key", "phase", "q10", "q50", "q90")
-    return with_phase.join(bands, ["series_key", "phase"], "left").withColumn(
+    phase = F.pmod(F.col("last_slot") + F.col("horizon"), F.lit(period))
+    median = F.try_element_at("bands", phase)["q50"]
+    found = requests.join(cards(profile), "series_key", "left")
+    return found.withColumn(
         "prediction",
-        F.when(F.col("horizon") <= 0, F.lit(0).cast("bigint")).otherwise(downward(F.col("q50"))),
-    )
+        F.when(F.col("horizon") <= 0, F.lit(0).cast("bigint")).otherwise(downward(median)),
+    ).drop("bands", "last_slot")
 
 
 def valid_horizon(text: Column) -> Column:

@@ -130,7 +130,7 @@ def boxes_with_points(
     * a box uses the one grid level on which it spans few cells, a point is listed on every level, so large
       boxes do not explode into many cells;
     * a point's validity uses the one time rung on which it spans few buckets, a box is listed on every
-      rung, so a busy cell is split by time.
+      rung that some point uses (a scalar subquery of a few values), so a busy cell is split by time.
 
     Box and point agree on at most one key, so no pair appears twice.
     """
@@ -138,26 +138,34 @@ def boxes_with_points(
     span = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
     ratio = span / F.lit(grid.base_degrees * grid.cells_per_axis)
     level = F.when(ratio <= 1, F.lit(0)).otherwise(F.least(F.lit(top), F.ceil(F.log2(ratio)).cast("int")))
+    minutes = (F.col(valid_to) - F.col(valid_from)).cast("interval minute").cast("bigint")
+    last = len(grid.time_rungs_minutes) - 1
+    rung = F.lit(last)
+    for i in range(last - 1, -1, -1):
+        rung = F.when(minutes <= grid.time_rungs_minutes[i], F.lit(i)).otherwise(rung)
+    valid_points = points.filter(F.col(valid_to) > F.col(valid_from)).withColumn("_rung", rung)
+
     rungs = F.array(
         *[
             F.struct(F.lit(i).alias("_rung"), clock.minute_bucket(F.col(moment), m).alias("_bucket"))
             for i, m in enumerate(grid.time_rungs_minutes)
         ]
     )
+    used = valid_points.agg(F.collect_set("_rung").alias("used")).scalar()
+
+    def cells(low: str, high: str) -> Column:
+        level_ = F.col("_level")
+        return F.explode(F.sequence(_cell(F.col(low), level_, grid), _cell(F.col(high), level_, grid)))
+
     box_rows = (
         boxes.filter(F.col("south").isNotNull())
-        .withColumn("_level", level)
-        .withColumn("_x", F.explode(F.sequence(_cell(F.col("south"), F.col("_level"), grid), _cell(F.col("north"), F.col("_level"), grid))))
-        .withColumn("_y", F.explode(F.sequence(_cell(F.col("west"), F.col("_level"), grid), _cell(F.col("east"), F.col("_level"), grid))))
-        .select("*", F.inline(rungs))
+        .withColumns({"_level": level, "_used": used})
+        .select("*", F.inline(F.filter(rungs, lambda r: F.array_contains("_used", r["_rung"]))))
+        .drop("_used")
+        .withColumn("_x", cells("south", "north"))
+        .withColumn("_y", cells("west", "east"))
     )
 
-    minutes = (F.col(valid_to) - F.col(valid_from)).cast("interval minute").cast("bigint")
-    last = len(grid.time_rungs_minutes) - 1
-    rung = F.lit(last)
-    for i in range(last - 1, -1, -1):
-        rung = F.when(minutes <= grid.time_rungs_minutes[i], F.lit(i)).otherwise(rung)
-
     def buckets(edge: str) -> Column:
         value = clock.minute_bucket(F.col(edge), grid.time_rungs_minutes[last])
         for i in range(last - 1, -1, -1):
@@ -165,9 +173,7 @@ def boxes_with_points(
         return value
 
     point_rows = (
-        points.filter(F.col(valid_to) > F.col(valid_from))
-        .withColumn("_rung", rung)
-        .withColumn("_bucket", F.explode(F.sequence(buckets(valid_from), buckets(valid_to))))
+        valid_points.withColumn("_bucket", F.explode(F.sequence(buckets(valid_from), buckets(valid_to))))
         .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top))))
         .withColumn("_x", _cell(F.col("lat"), F.col("_level"), grid))
         .withColumn("_y", _cell(F.col("lng"), F.col("_level"), grid))

@@ -16,7 +16,7 @@ def first_k(rides: DataFrame, group: Sequence[str], order: Sequence[str], k: int
 
 
 def following(
-    rides: DataFrame, group: Sequence[str], order: str, row_id: str, payload: Sequence[str], k: int, block_bits: int = 18
+    rides: DataFrame, group: Sequence[str], order: str, row_id: str, payload: Sequence[str], k: int, block_bits: int = 22
 ) -> DataFrame:
     """Each row with the next ``k`` rows of its group in (order, id) order, as array ``next_rides``.
 

@@ -14,7 +14,7 @@ from commutelens.functions import clock, geo, jsons, money, numeric, wording
 from commutelens.operators import forecast, impact, insight, joins, quality, regression, rides, series
 from commutelens.plans import demand, trip_insight
 from commutelens.schemas import CORRUPT, INCIDENT_FEED, TRIP_REQUEST
-from commutelens.session import shared_folder, use_utc
+from commutelens.session import share, shared_folder, use_utc
 from commutelens.sources import readers, sinks, tables
 from commutelens.streaming import jobs
 
@@ -469,10 +469,10 @@ def route_forecasts(spark, folder):
 
 def bundled(spark, folder):
     return trip_insight.bundle(
-        matched_trips(spark, folder),
+        share(matched_trips(spark, folder), "trips"),
         tables.flow_snapshots(spark, folder),
         tables.incidents(spark, folder),
-        route_forecasts(spark, folder),
+        share(route_forecasts(spark, folder), "forecasts"),
     )
 
 
@@ -549,7 +549,8 @@ def incident_load(spark, folder):
 
 @query
 def trip_ridership(spark, folder):
-    return trip_insight.ridership_ahead(matched_trips(spark, folder), route_forecasts(spark, folder)).select(
+    steps = share(route_forecasts(spark, folder), "forecasts")
+    return trip_insight.ridership_ahead(matched_trips(spark, folder), steps).select(
         "request_id", "route", "hours_ahead", "predicted_riders"
     )
 
@@ -706,12 +707,13 @@ def stream_unique_requests(spark, folder):
 def stream_trip_insights(spark, folder):
     events = stream_of_events(spark, folder)
     stops, flows = tables.stops(spark, folder), tables.flow_snapshots(spark, folder)
-    hazards, forecasts = tables.incidents(spark, folder), route_forecasts(spark, folder)
+    hazards, forecasts = tables.incidents(spark, folder), share(route_forecasts(spark, folder), "forecasts")
 
     def transform(batch):
         asked = trip_insight.with_route(tables.requests_of(batch, tables.table(spark, folder, "supplier")))
         place = trip_insight.locate(asked, stops)
-        trips = trip_insight.scored(trip_insight.bundle(joins.matched(place), flows, hazards, forecasts))
+        known = share(joins.matched(place), "trips")
+        trips = trip_insight.scored(trip_insight.bundle(known, flows, hazards, forecasts))
         rejected = joins.unmatched(place).select(
             F.lit("Unknown stop").alias("error"), F.col("unknown").alias("details"), F.to_json(F.struct("request_id", "dep_stop", "dst_stop")).alias("payload")
         )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from commutelens.functions import geo, money
 from commutelens.operators import insight, joins, quality, rides
 from commutelens.params import TRIP, TripParams
+from commutelens.session import SHARE_ABOVE_BYTES, share
 
 
 def locate(requests: DataFrame, stops: DataFrame) -> DataFrame:
@@ -132,10 +133,15 @@ def insights(
     incidents: DataFrame,
     forecasts: DataFrame,
     params: TripParams = TRIP,
+    share_above_bytes: int = SHARE_ABOVE_BYTES,
 ) -> DataFrame:
-    """Request rows to scored trips; requests with unknown stops are left to ``joins.unmatched``."""
-    trips = joins.matched(locate(with_route(requests), stops))
-    return scored(bundle(trips, flows, incidents, forecasts), params)
+    """Request rows to scored trips; requests with unknown stops are left to ``joins.unmatched``.
+
+    Located trips feed three lookups and forecasts are few rows out of a long history, so both are shared.
+    """
+    trips = share(joins.matched(locate(with_route(requests), stops)), "trips", share_above_bytes)
+    steps = share(forecasts, "forecasts", share_above_bytes)
+    return scored(bundle(trips, flows, incidents, steps), params)
 
 
 def response(trips: DataFrame) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+# Estimated input size above which a shared intermediate is written once instead of evaluated per branch.
+SHARE_ABOVE_BYTES = 1 << 30
+
 
 def use_utc(spark: SparkSession) -> SparkSession:
     """History timestamps are zone-free; pinning UTC keeps text parsing and formatting zone-free too."""
@@ -45,3 +49,25 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     return tempfile.mkdtemp(prefix="commutelens-")
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Writes an intermediate that several branches of a plan read, and returns the written table.
+
+    The branches then share one evaluation, lost executors cost no recomputation, and Spark knows the table's
+    true size when it chooses between broadcast and shuffle. The folder belongs to the run.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of the optimised plan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def share(df: DataFrame, name: str, above_bytes: int = SHARE_ABOVE_BYTES) -> DataFrame:
+    """Stages a frame that several branches read, unless its input is small enough to read again."""
+    return stage(df, name) if estimated_bytes(df) > above_bytes else df

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commutelens.operators import joins
-from commutelens.plans import trip_insight
+from commutelens.plans import demand, trip_insight
 from commutelens.session import shared_folder
 from commutelens.sources import readers, sinks, tables
 from conftest import SMALL
@@ -102,6 +102,21 @@ def test_insights_and_errors_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "errors")).count() + nested.count() == requests.count()
 
 
+def test_staged_plan_gives_the_same_trips(spark):
+    def run(above):
+        trips = trip_insight.insights(
+            tables.trip_requests(spark, SMALL),
+            tables.stops(spark, SMALL),
+            tables.flow_snapshots(spark, SMALL),
+            tables.incidents(spark, SMALL),
+            demand.hourly_forecast(tables.ridership(spark, SMALL), "bus_route"),
+            share_above_bytes=above,
+        )
+        return sorted(map(str, trips.select("request_id", "travel_minutes", "density", "nudge").collect()))
+
+    assert run(0) == run(1 << 40)
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_folder(spark) == named if named else shared_folder(spark)

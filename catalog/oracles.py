@@ -435,6 +435,50 @@ FROM res GROUP BY 1"""
 # --- regression -----------------------------------------------------------------------------------------
 
 ORACLES["train_test_split"] = "SELECT day, ((day - DATE '1970-01-01') * 2654435761) % 100 < 80 AS in_train FROM order_days"
+# Least squares by orthogonalising one centred feature after the other, then substituting back.
+PARTS["mode_features"] = """
+SELECT day, max(pct) FILTER (WHERE series_key = 'click') AS x1, max(pct) FILTER (WHERE series_key = 'error') AS x2,
+       max(pct) FILTER (WHERE series_key = 'signup') AS x3, max(pct) FILTER (WHERE series_key = 'view') AS x4,
+       max(y) FILTER (WHERE series_key = 'purchase') AS y
+FROM mode_pct JOIN mode_days USING (series_key, day) GROUP BY day"""
+PARTS["ols_means"] = """
+SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(x4) AS m4, avg(y) AS my FROM mode_features
+WHERE ((day - DATE '1970-01-01') * 2654435761) % 100 < 80"""
+PARTS["ols_z1"] = """
+SELECT x1 - m1 AS z1, x2 - m2 AS c2, x3 - m3 AS c3, x4 - m4 AS c4, y - my AS cy FROM mode_features, ols_means
+WHERE ((day - DATE '1970-01-01') * 2654435761) % 100 < 80"""
+PARTS["ols_z2"] = """
+SELECT *, c2 - z1 * r12 AS z2 FROM (SELECT *, sum(z1 * c2) OVER () / sum(z1 * z1) OVER () AS r12 FROM ols_z1)"""
+PARTS["ols_z3"] = """
+SELECT *, c3 - z1 * r13 - z2 * r23 AS z3
+FROM (SELECT *, sum(z1 * c3) OVER () / sum(z1 * z1) OVER () AS r13, sum(z2 * c3) OVER () / sum(z2 * z2) OVER () AS r23 FROM ols_z2)"""
+PARTS["ols_z4"] = """
+SELECT *, c4 - z1 * r14 - z2 * r24 - z3 * r34 AS z4
+FROM (SELECT *, sum(z1 * c4) OVER () / sum(z1 * z1) OVER () AS r14, sum(z2 * c4) OVER () / sum(z2 * z2) OVER () AS r24,
+             sum(z3 * c4) OVER () / sum(z3 * z3) OVER () AS r34 FROM ols_z3)"""
+PARTS["ols_projections"] = """
+SELECT any_value(r12) AS r12, any_value(r13) AS r13, any_value(r23) AS r23, any_value(r14) AS r14, any_value(r24) AS r24,
+       any_value(r34) AS r34, sum(z1 * cy) / sum(z1 * z1) AS q1, sum(z2 * cy) / sum(z2 * z2) AS q2,
+       sum(z3 * cy) / sum(z3 * z3) AS q3, sum(z4 * cy) / sum(z4 * z4) AS q4
+FROM ols_z4"""
+PARTS["ols_solution"] = """
+SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 - b4 * m4 AS b0
+FROM (SELECT *, q1 - r12 * b2 - r13 * b3 - r14 * b4 AS b1
+      FROM (SELECT *, q2 - r23 * b3 - r24 * b4 AS b2
+            FROM (SELECT *, q3 - r34 * q4 AS b3, q4 AS b4 FROM ols_projections))), ols_means"""
+ORACLES["ols_fit"] = """
+SELECT term, round(CASE term WHEN 'intercept' THEN b0 WHEN 'click_pct' THEN b1 WHEN 'error_pct' THEN b2
+                   WHEN 'signup_pct' THEN b3 ELSE b4 END, 5) AS coefficient
+FROM ols_solution, (SELECT unnest(['intercept', 'click_pct', 'error_pct', 'signup_pct', 'view_pct']) AS term)"""
+ORACLES["ols_forecast"] = """
+SELECT CAST(last_day + CAST(step AS INTEGER) AS DATE) AS day, step,
+       round(b0 + b1 * (l1 + step * d1) + b2 * (l2 + step * d2) + b3 * (l3 + step * d3) + b4 * (l4 + step * d4), 4) AS prediction
+FROM ols_solution,
+     (SELECT max(day) AS last_day, arg_max(x1, day) AS l1, arg_max(x2, day) AS l2, arg_max(x3, day) AS l3, arg_max(x4, day) AS l4,
+             avg(e1) AS d1, avg(e2) AS d2, avg(e3) AS d3, avg(e4) AS d4
+      FROM (SELECT *, x1 - lag(x1) OVER w AS e1, x2 - lag(x2) OVER w AS e2, x3 - lag(x3) OVER w AS e3, x4 - lag(x4) OVER w AS e4
+            FROM mode_features WINDOW w AS (ORDER BY day))),
+     (SELECT unnest(generate_series(1::BIGINT, 5::BIGINT)) AS step)"""
 ORACLES["ols_trend"] = """
 SELECT series_key, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept,
        round(regr_r2(y, x), 6) AS r2

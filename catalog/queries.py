@@ -437,7 +437,8 @@ def train_test_split(spark, folder):
 @query
 def ols_fit(spark, folder):
     days = demand.mode_table(tables.mode_days(spark, folder), tables.MODES)
-    return regression.coefficient_frame(spark, demand.fit_daily(days, FEATURES, TARGET), FEATURES)
+    fitted = regression.coefficient_frame(spark, demand.fit_daily(days, FEATURES, TARGET), FEATURES)
+    return fitted.withColumn("coefficient", F.round("coefficient", 5))
 
 
 @query

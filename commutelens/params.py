@@ -39,7 +39,7 @@ class GridParams:
 
     base_degrees: float = 0.05
     levels: int = 6
-    cells_per_axis: int = 2
+    cells_per_axis: int = 4
     time_rungs_minutes: tuple[int, ...] = (120, 1440, 46080)
 
 

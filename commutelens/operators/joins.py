@@ -62,7 +62,7 @@ def as_of(
     its key, and enters the next bucket as its opening row. The sorted window then only spans one bucket,
     and the carry window only sees one row per bucket.
     """
-    f = facts.filter(F.col(fact_time).isNotNull()).select(
+    f = facts.filter(F.col(key).isNotNull() & F.col(fact_time).isNotNull()).select(
         F.col(key),
         F.col(fact_time).alias("_t"),
         F.col(fact_id).alias("_id"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commutelens import params
-from commutelens.functions import clock, geo, jsons, money, numeric, wording
+from commutelens.functions import clock, jsons, money, numeric, wording
 from commutelens.operators import forecast, impact, insight, joins, quality, regression, rides, series
 from commutelens.plans import demand, trip_insight
 from commutelens.schemas import CORRUPT, INCIDENT_FEED, TRIP_REQUEST
@@ -620,7 +620,12 @@ def complete_trips(spark, folder):
 @query
 def runner_up_rides(spark, folder):
     others = trip_insight.complete_rides(trip_insight.with_other_rides(scored_trips(spark, folder)))
-    text = F.transform("next_rides", lambda r: F.concat_ws(":", r["request_id"].cast("string"), r["travel_minutes"].cast("string"), r["arrive_by"]))
+    text = F.transform(
+        "next_rides",
+        lambda r: F.concat_ws(
+            ":", r["request_id"].cast("string"), r["travel_minutes"].cast("string"), r["arrive_by"]
+        ),
+    )
     return others.select("request_id", "dst_id", "density", "travel_minutes", F.array_join(text, ";").alias("next_rides"))
 
 
@@ -716,7 +721,9 @@ def stream_trip_insights(spark, folder):
         known = share(joins.matched(place), "trips")
         trips = trip_insight.scored(trip_insight.bundle(known, flows, hazards, forecasts))
         rejected = joins.unmatched(place).select(
-            F.lit("Unknown stop").alias("error"), F.col("unknown").alias("details"), F.to_json(F.struct("request_id", "dep_stop", "dst_stop")).alias("payload")
+            F.lit("Unknown stop").alias("error"),
+            F.col("unknown").alias("details"),
+            F.to_json(F.struct("request_id", "dep_stop", "dst_stop")).alias("payload"),
         )
         return trips.select("request_id", "travel_minutes", "density", "savings_cents", "nudge"), rejected
 

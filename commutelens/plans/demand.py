@@ -17,7 +17,9 @@ def hourly_forecast(rides: DataFrame, key: str, horizon: int = 24) -> DataFrame:
     return forecast.seasonal_forecast(series.hourly_series(rides, key), horizon, forecast.HOURLY_PERIOD)
 
 
-def forecast_method(history: DataFrame, horizon: int, method: str = "seasonal", period: int = forecast.HOURLY_PERIOD, model=None) -> DataFrame:
+def forecast_method(
+    history: DataFrame, horizon: int, method: str = "seasonal", period: int = forecast.HOURLY_PERIOD, model=None
+) -> DataFrame:
     """One entry point: ``seasonal``, ``drift`` (on a gap-free copy of the series) or a user's ``model``."""
     if method == "seasonal":
         return forecast.seasonal_forecast(history, horizon, period)

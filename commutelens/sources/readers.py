@@ -56,10 +56,6 @@ def read_hourly(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return split_hourly(raw)
 
 
-def read_hourly_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def safe_name(name: str) -> str:
     """Column name without characters that need quoting."""
     return re.sub(r"[^0-9a-z]+", "_", name.lower().replace("%", "pct")).strip("_")

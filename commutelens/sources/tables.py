@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commutelens.functions import clock, money
+from commutelens.operators.joins import endpoints
 
 MODES = ("click", "error", "purchase", "signup", "view")
 
@@ -147,8 +148,6 @@ def incidents(spark: SparkSession, folder: str) -> DataFrame:
 
 def request_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """Trip requests as JSON text; some lack a field, some are cut off."""
-    from commutelens.operators.joins import endpoints
-
     located = endpoints(trip_requests(spark, folder), stops(spark, folder))
     e = F.col("request_id")
 
@@ -181,6 +180,7 @@ def response_texts(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.element_at(
         F.array(*[F.lit(x) for x in ("eCredit", "partnerDiscount", "funReward", "cash")]), (e % 4 + 1).cast("int")
     )
+    quoted = F.when(e % 10 == 4, F.lit("null")).otherwise(F.concat(F.lit('"'), density, F.lit('"')))
     incentive = F.concat(
         F.lit('{"type":"'),
         kind,
@@ -195,7 +195,7 @@ def response_texts(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws(
             ",",
             F.when(e % 5 != 0, F.concat(F.lit('"travelTime":'), k.cast("string"))),
-            F.when(e % 5 != 1, F.concat(F.lit('"trafficDensity":'), F.when(e % 10 == 4, F.lit("null")).otherwise(F.concat(F.lit('"'), density, F.lit('"'))))),
+            F.when(e % 5 != 1, F.concat(F.lit('"trafficDensity":'), quoted)),
             F.when(e % 5 != 2, F.concat(F.lit('"costSavingsPerTrip":"'), (k % 7).cast("string"), F.lit('.50"'))),
             F.when(e % 5 != 3, F.concat(F.lit('"nudgeMessage":"trip '), e.cast("string"), F.lit('"'))),
             F.when(e % 6 != 5, F.concat(F.lit('"incentiveDetails":'), incentive)),

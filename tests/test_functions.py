@@ -118,3 +118,14 @@ def test_message_leaves_out_what_is_unknown(rows):
 def test_display_stand_in(rows):
     df = rows([(5,), (None,)], "m bigint")
     assert [r[0] for r in values(df, wording.shown(F.col("m"), suffix=" mins"))] == ["5 mins", "N/A"]
+
+
+def test_hours_ahead_stay_within_a_day(spark):
+    from commutelens.operators import insight
+    from commutelens.sources import tables
+    from conftest import SMALL
+
+    resolved = insight.with_arrival(tables.trip_requests(spark, SMALL))
+    low, high, long = resolved.agg(F.min("hours_ahead"), F.max("hours_ahead"), F.max("long_horizon")).first()
+    assert 0 <= low and high <= 24 and long is False
+    assert resolved.filter(F.col("arrival_at") <= F.col("requested_at")).count() == 0

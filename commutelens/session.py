@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# Estimated input size above which a shared intermediate is written once instead of evaluated per branch.
+# Input size above which a shared intermediate is written once instead of evaluated per branch.
 SHARE_ABOVE_BYTES = 1 << 30
 
 
@@ -64,11 +64,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of the optimised plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables a frame reads, as Spark knows it before running anything.
+
+    The estimate of the whole plan is no use here: without column statistics it multiplies the sides of joins.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def share(df: DataFrame, name: str, above_bytes: int = SHARE_ABOVE_BYTES) -> DataFrame:
     """Stages a frame that several branches read, unless its input is small enough to read again."""
-    return stage(df, name) if estimated_bytes(df) > above_bytes else df
+    return stage(df, name) if input_bytes(df) > above_bytes else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from commutelens.operators import joins
 from commutelens.plans import demand, trip_insight
-from commutelens.session import shared_folder
+from commutelens.session import input_bytes, share, shared_folder
 from commutelens.sources import readers, sinks, tables
 from conftest import SMALL
 
@@ -102,6 +102,13 @@ def test_insights_and_errors_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "errors")).count() + nested.count() == requests.count()
 
 
+def test_sharing_goes_by_the_size_of_the_input(spark):
+    trips = joins.matched(trip_insight.locate(tables.trip_requests(spark, SMALL), tables.stops(spark, SMALL)))
+    assert 0 < input_bytes(trips) < 1 << 20
+    assert share(trips, "trips") is trips
+    assert share(trips, "trips", 0).count() == trips.count()
+
+
 def test_staged_plan_gives_the_same_trips(spark):
     def run(above):
         trips = trip_insight.insights(

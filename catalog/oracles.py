@@ -397,13 +397,16 @@ SELECT request_id, CASE WHEN horizon IS NULL THEN
 FROM answers"""
 
 
-def fallback(source: str, phase: str, shift: str, base: int, variation: int) -> str:
+RIDERS = "SELECT c_custkey AS series_key, c_custkey % 25 AS horizon FROM customer"
+
+
+def fallback(source: str, phase: str, shift: str, base: int, variation: int, asked: str = RIDERS) -> str:
     return f"""
-SELECT c.series_key, c.horizon,
+SELECT c.*,
        CASE WHEN c.horizon <= 0 THEN 0 ELSE coalesce(CAST(floor(round(q50, 6)) AS BIGINT), CAST(floor(round(m, 6)) AS BIGINT),
             {base - variation} + (c.series_key * 2654435761) % {2 * variation}) END AS prediction,
        CASE WHEN c.horizon <= 0 THEN 'none' WHEN q50 IS NOT NULL THEN 'phase' WHEN m IS NOT NULL THEN 'series' ELSE 'base' END AS source
-FROM (SELECT c_custkey AS series_key, c_custkey % 25 AS horizon FROM customer) c
+FROM ({asked}) c
 LEFT JOIN (SELECT series_key, max(ts) AS last_ts, quantile_cont(y::DOUBLE, 0.5) AS m FROM {source} GROUP BY 1) l
   ON l.series_key = c.series_key
 LEFT JOIN (SELECT series_key, {phase}(ts) AS phase, quantile_cont(y::DOUBLE, 0.5) AS q50 FROM {source} GROUP BY 1, 2) p
@@ -415,6 +418,25 @@ SELECT user_id AS series_key, date_trunc('day', transit_timestamp) AS ts, CAST(s
 FROM ridership_raw GROUP BY ALL"""
 ORACLES["forecast_with_fallback"] = fallback("rider_hours", "hour", "to_hours", 50, 20)
 ORACLES["forecast_fallback_daily"] = fallback("rider_days", "dayofweek", "to_days", 10000, 2000)
+SERVICE_RIDERS = """
+SELECT *, CASE WHEN NOT failed THEN CAST(horizon_text AS BIGINT) END AS horizon
+FROM (SELECT c_custkey AS series_key, c_custkey % 13 = 0 AS failed,
+             CASE WHEN c_custkey % 13 = 0 THEN '1.5' ELSE CAST(c_custkey % 40 AS VARCHAR) END AS horizon_text FROM customer)"""
+
+
+def service(answers: str, kind: str, unit: str) -> str:
+    return f"""
+SELECT series_key AS request_id, failed, CASE WHEN failed THEN
+         '{{"error":"{kind} forecast failed","details":"horizon is no whole number","{unit}_requested":"' || horizon_text
+       ELSE '{{"prediction":' || prediction || ',"{unit}_future":' || horizon || ',"model_type":"{kind}' END
+       || '","timestamp":"2024-01-31T08:00:00"}}' AS envelope
+FROM {answers}"""
+
+
+PARTS["hourly_answers"] = fallback("rider_hours", "hour", "to_hours", 50, 20, SERVICE_RIDERS)
+PARTS["daily_answers"] = fallback("rider_days", "dayofweek", "to_days", 10000, 2000, SERVICE_RIDERS)
+ORACLES["service_hourly"] = service("hourly_answers", "hourly", "hours")
+ORACLES["service_daily"] = service("daily_answers", "daily", "days")
 ORACLES["forecast_pooled"] = """
 SELECT hour(ts) AS phase, round(quantile_cont(y::DOUBLE, 0.5), 6) AS pooled_median, count(*) AS n_samples
 FROM rider_hours GROUP BY 1"""
@@ -545,6 +567,17 @@ SELECT m.request_id, m.travel_minutes, m.density, savings_text AS savings, nudge
        '$' || credit_text AS incentive_value, other_rides
 FROM messages m LEFT JOIN runner_ups r ON r.request_id = m.request_id"""
 
+ORACLES["travel_time_results"] = """
+SELECT t.request_id, t.travel_minutes, t.density, savings_text AS savings, coalesce(n_rides, 0) AS n_rides,
+       '[' || coalesce(rides, '') || ']' AS rides
+FROM texts t LEFT JOIN (
+  SELECT request_id, count(*) OVER w AS n_rides,
+         string_agg('{"departureTime":"' || arrive_by || '","travelTime":' || travel_minutes || ',"trafficDensity":"' || density || '"}', ',')
+           OVER w AS rides
+  FROM offered
+  WINDOW w AS (PARTITION BY dst_id, density ORDER BY travel_minutes, request_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) r
+  ON r.request_id = t.request_id"""
+
 # --- impact ---------------------------------------------------------------------------------------------
 
 ORACLES["emission_factors"] = """

@@ -425,6 +425,28 @@ def backtest_error(spark, folder):
     return forecast.error_by_step(results)
 
 
+def rider_service(spark, folder, history, service):
+    c = F.col("c_custkey")
+    requests = tables.table(spark, folder, "customer").select(
+        c.alias("request_id"),
+        c.alias("series_key"),
+        F.when(c % 13 == 0, F.lit("1.5")).otherwise((c % 40).cast("string")).alias("horizon_text"),
+        F.lit("2024-01-31 08:00:00").cast("timestamp_ntz").alias("asked_at"),
+    )
+    return demand.respond(requests, history, service, "series_key").select("request_id", "failed", "envelope")
+
+
+@query
+def service_hourly(spark, folder):
+    return rider_service(spark, folder, hours_by(spark, folder, "user_id"), demand.HOURLY_SERVICE)
+
+
+@query
+def service_daily(spark, folder):
+    days = series.daily_series(tables.ridership(spark, folder), "user_id")
+    return rider_service(spark, folder, days, demand.DAILY_SERVICE)
+
+
 # --- regression ---------------------------------------------------------------------------------------
 
 
@@ -659,6 +681,19 @@ def trip_insights(spark, folder):
     )
 
 
+@query
+def travel_time_results(spark, folder):
+    trips = trip_insight.with_other_rides(scored_trips(spark, folder))
+    return trip_insight.travel_time_response(trips).select(
+        "request_id",
+        F.col("travelTime").alias("travel_minutes"),
+        F.col("trafficDensity").alias("density"),
+        F.col("costSavingsPerTrip").alias("savings"),
+        F.size("additionalRides").cast("bigint").alias("n_rides"),
+        F.to_json("additionalRides").alias("rides"),
+    )
+
+
 # --- impact -------------------------------------------------------------------------------------------
 
 

@@ -141,7 +141,7 @@ def with_fallback(
 ) -> DataFrame:
     """Answers that never fail: phase median, else series median, else a base level that varies with the key.
 
-    ``source`` names the tier. ``key_number`` is an integer column that feeds the deterministic variation.
+    ``source`` names the tier; a null horizon is invalid and gets no answer. ``key_number`` is an integer column that feeds the deterministic variation.
     """
     answered = answer(requests, seasonal_profile(series, period), period)
     overall = series.groupBy("series_key").agg(
@@ -151,13 +151,14 @@ def with_fallback(
         F.lit(fallback.base - fallback.variation)
         + arithmetic_hash(F.col(key_number), 2 * fallback.variation)
     ).cast("bigint")
-    asked = F.col("horizon") > 0
+    horizon = F.col("horizon")
     return answered.join(overall, "series_key", "left").select(
         *requests.columns,
-        F.when(~asked, F.lit(0).cast("bigint"))
-        .otherwise(F.coalesce("prediction", downward(F.col("series_median")), base))
+        F.when(horizon <= 0, F.lit(0).cast("bigint"))
+        .when(horizon.isNotNull(), F.coalesce("prediction", downward(F.col("series_median")), base))
         .alias("prediction"),
-        F.when(~asked, F.lit("none"))
+        F.when(horizon.isNull(), F.lit("invalid"))
+        .when(horizon <= 0, F.lit("none"))
         .when(F.col("prediction").isNotNull(), F.lit("phase"))
         .when(F.col("series_median").isNotNull(), F.lit("series"))
         .otherwise(F.lit("base"))

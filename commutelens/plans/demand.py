@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from commutelens.functions import clock
 from commutelens.operators import forecast, regression, series
+from commutelens.params import DAILY_FALLBACK, HOURLY_FALLBACK, FallbackParams
+from commutelens.sources import sinks
 
 
 def hourly_forecast(rides: DataFrame, key: str, horizon: int = 24) -> DataFrame:
@@ -31,6 +34,41 @@ def forecast_method(
     raise ValueError(f"unknown method: {method}")
 
 
+@dataclass(frozen=True)
+class Service:
+    """One kind of forecast request: its seasonal period, stand-in level and the names in its envelopes."""
+
+    model_type: str
+    period: int
+    fallback: FallbackParams
+    horizon_field: str
+    requested_field: str
+
+
+HOURLY_SERVICE = Service("hourly", forecast.HOURLY_PERIOD, HOURLY_FALLBACK, "hours_future", "hours_requested")
+DAILY_SERVICE = Service("daily", forecast.DAILY_PERIOD, DAILY_FALLBACK, "days_future", "days_requested")
+
+
+def respond(requests: DataFrame, history: DataFrame, service: Service, key_number: str) -> DataFrame:
+    """Every forecast request with its JSON envelope, or an error envelope where the horizon is no whole number.
+
+    Requests carry ``series_key``, ``horizon_text`` and ``asked_at``; a series without history gets the
+    stand-in level. All requests are answered in one job.
+    """
+    asked = requests.withColumn("horizon", forecast.valid_horizon(F.col("horizon_text")))
+    answered = forecast.with_fallback(asked, history, service.period, service.fallback, key_number)
+    good = sinks.envelope(service.horizon_field, service.model_type, F.col("asked_at"))
+    bad = sinks.error_envelope(
+        service.requested_field,
+        service.model_type,
+        F.lit("horizon is no whole number"),
+        F.col("horizon_text"),
+        F.col("asked_at"),
+    )
+    failed = F.col("horizon").isNull()
+    return answered.withColumn("failed", failed).withColumn("envelope", F.when(failed, bad).otherwise(good))
+
+
 def mode_table(mode_days: DataFrame, modes: Sequence[str]) -> DataFrame:
     """Daily rows: each mode's percentage of its baseline (``<mode>_pct``) and its total (``<mode>_total``)."""
     marked = series.percent_of_baseline(mode_days)

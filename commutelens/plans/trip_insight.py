@@ -163,3 +163,10 @@ def response(trips: DataFrame) -> DataFrame:
         F.col("incentive").alias("incentiveDetails"),
         F.coalesce(listed, F.array()).alias("additionalRides"),
     )
+
+
+def travel_time_response(trips: DataFrame) -> DataFrame:
+    """The shorter response without message and reward, for callers that only plan a trip."""
+    return response(trips).select(
+        "request_id", "travelTime", "trafficDensity", "costSavingsPerTrip", "additionalRides"
+    )

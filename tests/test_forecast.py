@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -57,11 +59,12 @@ def test_horizon_text(rows):
 @pytest.mark.parametrize("fallback", [HOURLY_FALLBACK, DAILY_FALLBACK])
 def test_fallback_tiers(rows, fallback):
     history = rows([(1, 0, 5), (1, 24, 7), (2, 0, 11)], "series_key bigint, slot bigint, y bigint")
-    asked = rows([(1, 24), (2, 3), (3, 1), (4, 1), (3, 0)], "series_key bigint, horizon bigint")
+    asked = rows([(1, 24), (2, 3), (3, 1), (4, 1), (3, 0), (1, None)], "series_key bigint, horizon bigint")
     got = {(r["series_key"], r["horizon"]): (r["prediction"], r["source"]) for r in forecast.with_fallback(asked, history, 24, fallback, "series_key").collect()}
     assert got[1, 24] == (6, "phase")
     assert got[2, 3] == (11, "series")
     assert got[3, 0] == (0, "none")
+    assert got[1, None] == (None, "invalid")
     for key in (3, 4):
         value, source = got[key, 1]
         assert source == "base" and fallback.base - fallback.variation <= value < fallback.base + fallback.variation
@@ -106,3 +109,16 @@ def test_constant_results_have_no_correlation(rows):
     same = rows([(1, 5.0, 4.0, 5.0, 6.0), (1, 5.0, 4.0, 5.0, 6.0)], "step bigint, actual double, q10 double, q50 double, q90 double")
     got = forecast.error_by_step(same).first()
     assert got["trend_corr"] is None and got["coverage_80"] == 1.0
+
+
+def test_service_answers_every_request(rows):
+    history = rows([(1, 0, 5), (1, 24, 7)], "series_key bigint, slot bigint, y bigint")
+    asked = rows(
+        [(1, "24", "2024-01-01 00:00:00"), (9, "2", "2024-01-01 00:00:00"), (1, "x", "2024-01-01 00:00:00")],
+        "series_key bigint, horizon_text string, asked_at timestamp_ntz",
+    )
+    got = demand.respond(asked, history, demand.HOURLY_SERVICE, "series_key").collect()
+    by_text = {r["horizon_text"]: (r["failed"], json.loads(r["envelope"])) for r in got}
+    assert by_text["24"][1]["prediction"] == 6 and by_text["24"][1]["hours_future"] == 24
+    assert 30 <= by_text["2"][1]["prediction"] < 70
+    assert by_text["x"][0] and by_text["x"][1]["hours_requested"] == "x"

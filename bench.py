@@ -56,7 +56,7 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or list(HEADLINE)
-    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
 
     spark = local_session("bench", cores, int(cores) if cores.isdigit() else 8)
     spark.sparkContext.setLogLevel("OFF")

@@ -501,6 +501,10 @@ FROM ols_solution,
       FROM (SELECT *, x1 - lag(x1) OVER w AS e1, x2 - lag(x2) OVER w AS e2, x3 - lag(x3) OVER w AS e3, x4 - lag(x4) OVER w AS e4
             FROM mode_features WINDOW w AS (ORDER BY day))),
      (SELECT unnest(generate_series(1::BIGINT, 5::BIGINT)) AS step)"""
+ORACLES["ols_holdout"] = """
+SELECT count(*) AS n, round(avg((y - p) * (y - p)), 2) AS mse, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2
+FROM (SELECT y, b0 + b1 * x1 + b2 * x2 + b3 * x3 + b4 * x4 AS p FROM mode_features, ols_solution
+      WHERE ((day - DATE '1970-01-01') * 2654435761) % 100 >= 80)"""
 ORACLES["ols_trend"] = """
 SELECT series_key, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept,
        round(regr_r2(y, x), 6) AS r2

@@ -463,6 +463,12 @@ def ols_fit(spark, folder):
     return fitted.withColumn("coefficient", F.round("coefficient", 5))
 
 
+@query
+def ols_holdout(spark, folder):
+    days = demand.mode_table(tables.mode_days(spark, folder), tables.MODES)
+    return demand.holdout_daily(days, FEATURES, TARGET)
+
+
 @query
 def ols_trend(spark, folder):
     return regression.trend(tables.mode_days(spark, folder))

@@ -45,6 +45,17 @@ def score(model: LinearRegressionModel, df: DataFrame, features: Sequence[str])
     return model.transform(with_features(df, features)).drop("features")
 
 
+def holdout_error(scored: DataFrame, target: str, prediction: str = "prediction") -> DataFrame:
+    """Mean squared error and R2 of scored rows that were kept out of the fit."""
+    error = F.col(target) - F.col(prediction)
+    mse = F.avg(error * error)
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(mse, 2).alias("mse"),
+        F.round(1 - F.try_divide(mse, F.var_pop(target)), 6).alias("r2"),
+    )
+
+
 def trend(series: DataFrame) -> DataFrame:
     """Slope, intercept and fit of ``y`` on days since the series began, per series."""
     y, x = F.col("y").cast("double"), F.col("slot").cast("double")

@@ -83,6 +83,12 @@ def fit_daily(days: DataFrame, features: Sequence[str], target: str) -> LinearRe
     return regression.fit_linear(clean.filter(regression.in_training(F.col("slot"))), features, target)
 
 
+def holdout_daily(days: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """Error of the fit on the days outside the training set."""
+    kept_out = days.select("slot", *features, target).na.drop("any").filter(~regression.in_training(F.col("slot")))
+    return regression.holdout_error(regression.score(fit_daily(days, features, target), kept_out, features), target)
+
+
 def project_daily(days: DataFrame, features: Sequence[str], target: str, steps: int) -> DataFrame:
     """Fit on the training days, extend every feature by its mean daily change, score the coming days."""
     clean = days.select("slot", *features, target).na.drop("any")

@@ -47,3 +47,14 @@ def test_projection_extends_features_by_their_drift(days):
 def test_null_rows_are_left_out(days):
     holed = days.withColumn("f0", F.when(F.col("slot") % 10 != 0, F.col("f0")))
     assert demand.fit_daily(holed, NAMES, "total").numFeatures == 7
+
+
+def test_holdout_error(days):
+    got = demand.holdout_daily(days, NAMES, "total").first()
+    model = demand.fit_daily(days, NAMES, "total")
+    kept = days.filter(~regression.in_training(F.col("slot"))).collect()
+    y = np.array([r["total"] for r in kept])
+    p = np.array([model.intercept + np.dot([r[n] for n in NAMES], np.array(model.coefficients)) for r in kept])
+    assert got["n"] == len(kept)
+    assert got["mse"] == pytest.approx(np.mean((y - p) ** 2), abs=0.01)
+    assert got["r2"] == pytest.approx(1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2), abs=1e-6)

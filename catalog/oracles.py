@@ -571,6 +571,9 @@ SELECT m.request_id, m.travel_minutes, m.density, savings_text AS savings, nudge
        '$' || credit_text AS incentive_value, other_rides
 FROM messages m LEFT JOIN runner_ups r ON r.request_id = m.request_id"""
 
+ORACLES["insights_from_json"] = """
+SELECT request_id, dep_stop, dst_stop, travel_minutes, density, savings_cents, nudge FROM messages
+WHERE request_id % 17 <> 0 AND request_id % 19 <> 0 AND request_id % 23 <> 0"""
 ORACLES["travel_time_results"] = """
 SELECT t.request_id, t.travel_minutes, t.density, savings_text AS savings, coalesce(n_rides, 0) AS n_rides,
        '[' || coalesce(rides, '') || ']' AS rides

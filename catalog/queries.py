@@ -104,14 +104,8 @@ def requests_from_json(spark, folder):
 
 @query
 def request_rejects(spark, folder):
-    r = jsons.with_parsed(tables.request_bodies(spark, folder), "body", TRIP_REQUEST, "request")
-    _, rejected = quality.split(quality.apply_rules(r, quality.request_rules()))
-    return rejected.select(
-        "request_id",
-        F.lit("Missing required fields").alias("error"),
-        joined("reasons").alias("details"),
-        F.col("body").alias("payload"),
-    )
+    _, errors = trip_insight.locate_bodies(tables.request_bodies(spark, folder), tables.stops(spark, folder))
+    return errors
 
 
 # --- projections and validation -----------------------------------------------------------------------
@@ -687,6 +681,18 @@ def trip_insights(spark, folder):
     )
 
 
+@query
+def insights_from_json(spark, folder):
+    located_, _ = trip_insight.locate_bodies(tables.request_bodies(spark, folder), tables.stops(spark, folder))
+    trips = trip_insight.insights_of(
+        joins.matched(located_),
+        tables.flow_snapshots(spark, folder),
+        tables.incidents(spark, folder),
+        route_forecasts(spark, folder),
+    )
+    return trips.select("request_id", "dep_stop", "dst_stop", "travel_minutes", "density", "savings_cents", "nudge")
+
+
 @query
 def travel_time_results(spark, folder):
     trips = trip_insight.with_other_rides(scored_trips(spark, folder))

@@ -31,6 +31,25 @@ def endpoints(requests: DataFrame, stops: DataFrame) -> DataFrame:
     return requests.join(side("dep"), "dep_stop", "left").join(side("dst"), "dst_stop", "left")
 
 
+def endpoints_by_place(requests: DataFrame, stops: DataFrame) -> DataFrame:
+    """Stops at the coordinates a request carries (``dep_lat, dep_lng, dst_lat, dst_lng``), as ``endpoints`` names them.
+
+    Clients take coordinates from the stop list, so equality is exact. Where two stops share a place, the one
+    with the smallest id counts, and no request is doubled.
+    """
+    place = stops.groupBy("lat", "lng").agg(F.min(F.struct("stop_id", "stop")).alias("at"))
+
+    def side(prefix: str) -> DataFrame:
+        return place.select(
+            F.col("lat").alias(f"{prefix}_lat"),
+            F.col("lng").alias(f"{prefix}_lng"),
+            F.col("at.stop_id").alias(f"{prefix}_id"),
+            F.col("at.stop").alias(f"{prefix}_stop"),
+        )
+
+    return requests.join(side("dep"), ["dep_lat", "dep_lng"], "left").join(side("dst"), ["dst_lat", "dst_lng"], "left")
+
+
 def matched(located: DataFrame) -> DataFrame:
     return located.filter(F.col("dep_id").isNotNull() & F.col("dst_id").isNotNull())
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commutelens.functions import geo, money
+from commutelens.functions import geo, jsons, money
 from commutelens.operators import insight, joins, quality, rides
 from commutelens.params import TRIP, TripParams
+from commutelens.schemas import TRIP_REQUEST
 from commutelens.session import SHARE_ABOVE_BYTES, share
 
 
@@ -19,6 +20,29 @@ def locate(requests: DataFrame, stops: DataFrame) -> DataFrame:
     return joins.endpoints(insight.with_arrival(requests), stops)
 
 
+def locate_bodies(bodies: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests as JSON text (``body``, with ``request_id, requested_at, rider_id``): (located requests, error records)."""
+    parsed = jsons.with_parsed(bodies, "body", TRIP_REQUEST, "request")
+    good, bad = quality.split(quality.apply_rules(parsed, quality.request_rules()))
+    asked = good.select(
+        "request_id",
+        "requested_at",
+        "rider_id",
+        F.col("request.departure.lat").alias("dep_lat"),
+        F.col("request.departure.lng").alias("dep_lng"),
+        F.col("request.destination.lat").alias("dst_lat"),
+        F.col("request.destination.lng").alias("dst_lng"),
+        F.col("request.timeToDestination").alias("arrive_by"),
+    )
+    errors = bad.select(
+        "request_id",
+        F.lit("Missing required fields").alias("error"),
+        F.array_join("reasons", ",").alias("details"),
+        F.col("body").alias("payload"),
+    )
+    return joins.endpoints_by_place(insight.with_arrival(with_route(asked)), stops), errors
+
+
 def with_box(trips: DataFrame) -> DataFrame:
     return trips.withColumns(geo.bounding_box(F.col("dep_lat"), F.col("dep_lng"), F.col("dst_lat"), F.col("dst_lng")))
 
@@ -135,11 +159,24 @@ def insights(
     params: TripParams = TRIP,
     share_above_bytes: int = SHARE_ABOVE_BYTES,
 ) -> DataFrame:
-    """Request rows to scored trips; requests with unknown stops are left to ``joins.unmatched``.
+    """Request rows to scored trips; requests with unknown stops are left to ``joins.unmatched``."""
+    located = locate(with_route(requests), stops)
+    return insights_of(joins.matched(located), flows, incidents, forecasts, params, share_above_bytes)
+
+
+def insights_of(
+    matched_trips: DataFrame,
+    flows: DataFrame,
+    incidents: DataFrame,
+    forecasts: DataFrame,
+    params: TripParams = TRIP,
+    share_above_bytes: int = SHARE_ABOVE_BYTES,
+) -> DataFrame:
+    """Located trips to scored trips.
 
     Located trips feed three lookups and forecasts are few rows out of a long history, so both are shared.
     """
-    trips = share(joins.matched(locate(with_route(requests), stops)), "trips", share_above_bytes)
+    trips = share(matched_trips, "trips", share_above_bytes)
     steps = share(forecasts, "forecasts", share_above_bytes)
     return scored(bundle(trips, flows, incidents, steps), params)
 

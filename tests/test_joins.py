@@ -117,3 +117,10 @@ def test_lookup_splits_the_input(rows):
     assert good == {1, 5}
     assert bad == {2: "destination", 3: "departure,destination", 4: "departure"}
     assert located.filter(F.col("id") == 5).first()["dep_lat"] == 1.0
+
+
+def test_lookup_by_place_takes_one_stop(rows):
+    stops = rows([("b", 2, 1.0, 2.0), ("a", 1, 1.0, 2.0), ("c", 3, 5.0, 6.0)], "stop string, stop_id bigint, lat double, lng double")
+    asked = rows([(1, 1.0, 2.0, 5.0, 6.0), (2, 1.0, 2.0, 9.0, 9.0)], "id bigint, dep_lat double, dep_lng double, dst_lat double, dst_lng double")
+    got = {r["id"]: (r["dep_stop"], r["dst_stop"]) for r in joins.endpoints_by_place(asked, stops).collect()}
+    assert got == {1: ("a", "c"), 2: ("a", None)}

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES
 from conftest import SMALL
 
 TABLES = (
@@ -30,7 +32,7 @@ def rounded(values):
     return tuple(round(v, 5) if isinstance(v, float) else v for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_twin(spark, duck, name):
     frame = contract.queries()[name](spark, SMALL)
     got = frame.collect()
@@ -48,4 +50,4 @@ def test_entry_is_not_empty(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commutelens.llm import bpe
+from commutelens.llm import bpe, pii, secrets, spans
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,5 +33,15 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return spans.digest_columns(found, secrets.BASE_KINDS)
+
+
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return spans.digest_columns(found, pii.KINDS)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_secrets": op4_secrets, "op8_pii": op8_pii}
 ORACLES: dict[str, str] = {}

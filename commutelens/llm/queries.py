@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commutelens.llm import bpe, pii, secrets, spans
+from commutelens.llm import bpe, pii, secrets, spans, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,10 +38,30 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return spans.digest_columns(found, secrets.BASE_KINDS)
 
 
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.scan(table(spark, folder, "documents").select("doc_id", "text"))
     return spans.digest_columns(found, pii.KINDS)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_secrets": op4_secrets, "op8_pii": op8_pii}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_bpe": op1_bpe, "op4_secrets": op4_secrets, "op7_topk": op7_topk, "op8_pii": op8_pii}
+ORACLES = {
+    "op7_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+}

@@ -5,14 +5,6 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def shared(spark, tmp_path_factory):
-    """Folder that queries may write to, as a cluster names it in spark.checkpoint.dir."""
-    folder = str(tmp_path_factory.mktemp("shared"))
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 @pytest.fixture
 def documents(spark):
     """documents frame from (doc_id, text) pairs, with the other columns of the table."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commutelens.llm import bpe, pii, secrets, spans, topk
+from commutelens.llm import bpe, chat, pii, secrets, shared, spans, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,15 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return spans.digest_columns(found, secrets.BASE_KINDS)
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Each step's list of archives is written before the next one opens them."""
+    archives = shared.run_folder(spark, "warc")
+    monoliths = shared.written(warc.write(table(spark, folder, "pages"), f"{archives}/raw"), "monoliths")
+    normal = shared.written(warc.normalise(monoliths.repartition("archive"), f"{archives}/normal"), "archives")
+    records = warc.read(warc.index_of(normal.repartition("archive")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -47,14 +56,58 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return spans.digest_columns(found, pii.KINDS)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_secrets": op4_secrets, "op7_topk": op7_topk, "op8_pii": op8_pii}
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """A digest of a conversation needs its text in one row; everything before it works on windows."""
+    planted = spark.sql(
+        "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text "
+        "FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    spoken = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    windows = chat.read_back(chat.windows(turns)).select(
+        "conv_id",
+        F.size("turns").alias("n"),
+        "chars",
+        F.struct("window", F.array_join(spoken, "").alias("said"), F.array_join("targets", "").alias("loss")).alias("w"),
+    )
+    whole = windows.groupBy("conv_id").agg(
+        F.sum("n").cast("bigint").alias("n_turns"),
+        F.sum("chars").cast("bigint").alias("formatted_chars"),
+        F.array_sort(F.collect_list("w")).alias("w"),
+    )
+    said, loss = (F.array_join(F.col(f"w.{name}"), "") for name in ("said", "loss"))
+    return whole.select(
+        "conv_id",
+        "n_turns",
+        hex_digest(said).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"),
+        hex_digest(loss).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat}
 ORACLES = {
+    "op5_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top
+  FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, CASE WHEN page_id < top THEN top END AS refers_to,
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+      (CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS BIGINT), 1)),
+      'string_agg', '') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM d
+""",
     "op7_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id

@@ -20,6 +20,5 @@ def test_query_matches_twin(spark, name):
     answer = con.execute(ORACLES[name])
     columns = [d[0] for d in answer.description]
     assert sorted(columns) == sorted(frame.columns)
-    assert sorted(map(repr, frame.select(*columns).toPandas().itertuples(index=False, name=None))) == sorted(
-        map(repr, answer.df()[columns].itertuples(index=False, name=None))
-    )
+    got = [tuple(row[c] for c in columns) for row in frame.collect()]
+    assert sorted(got, key=repr) == sorted(answer.fetchall(), key=repr)

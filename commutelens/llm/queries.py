@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commutelens.llm import bpe, chat, pii, secrets, shared, spans, topk, warc
+from commutelens.llm import bpe, chat, decontam, pii, secrets, shared, spans, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,7 +86,11 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat}
+def op10_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontam": op10_decontam}
 ORACLES = {
     "op5_warc": """
 WITH p AS (

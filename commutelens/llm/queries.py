@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commutelens.llm import bpe, chat, decontam, pii, secrets, shared, spans, topk, warc
+from commutelens.llm import bpe, chat, decontam, pii, quality, secrets, shared, spans, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,18 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    may_learn = quality.learnable(F.col("doc_id"))
+    model = quality.train(docs, labels, may_learn)
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (~may_learn).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
     return spans.digest_columns(found, secrets.BASE_KINDS)
@@ -90,7 +102,7 @@ def op10_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontam": op10_decontam}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontam": op10_decontam}
 ORACLES = {
     "op5_warc": """
 WITH p AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commutelens.llm import bpe, chat, decontam, pii, quality, secrets, shared, spans, topk, warc
+from commutelens.llm import bpe, chat, decontam, ngram_join, pii, quality, secrets, shared, spans, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.classes(table(spark, folder, "documents"), params=ngram_join.JoinParams(words=4, percent=85))
+
+
 def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -102,7 +106,7 @@ def op10_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontam": op10_decontam}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_ngram_join": op6_ngram_join, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontam": op10_decontam}
 ORACLES = {
     "op5_warc": """
 WITH p AS (

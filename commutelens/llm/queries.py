@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commutelens.llm import bpe, chat, decontam, ngram_join, pii, quality, secrets, shared, spans, topk, warc
+from commutelens.llm import bpe, chat, decontam, ngram_join, pii, quality, secrets, shared, spans, suffix, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,17 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
+    return suffix.deduplicate(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
     return spans.digest_columns(found, secrets.BASE_KINDS)
@@ -106,7 +117,7 @@ def op10_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_ngram_join": op6_ngram_join, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontam": op10_decontam}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_ngram_join": op6_ngram_join, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontam": op10_decontam}
 ORACLES = {
     "op5_warc": """
 WITH p AS (

@@ -1,13 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing, with built-in functions only.
 
-Fixed masks select some of several consecutive words and ignore the others. Texts that agree on the selected words
-agree on the hash, whatever stands between, so a passage with replaced words still shares seeds with its original.
+Fixed masks select some of several consecutive words and ignore the others: two pairs of neighbours with a gap between
+them. Texts that agree on the selected words agree on the hash, whatever stands in the gap, so a passage with replaced
+words still shares seeds with its original. Pairs are hashed once and combined for every mask.
 Seeds of the benchmark are joined with seeds of the documents; every hit names a document, an item and the diagonal on
 which both align. Around it the aligned words are compared one by one: a document is contaminated by an item if some
 stretch of ``window`` aligned words (the whole item if it is shorter) agrees in at least ``least_share`` of them.
 
-Words are runs of letters and digits in lower case. Items of fewer than ``least_words`` words are not searched for;
-items shorter than a mask are sought by all their words.
+Words are runs, in lower case, of letters, digits and characters beyond ASCII. Items of fewer than ``least_words``
+words, the span of the shortest mask, are not searched for.
 
 Results: one row per document and item that contaminates it, with the best diagonal. Null and empty texts match
 nothing. Rows repeated under one id count as one document, found if any of them is; a null id is an id like others.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class SeedParams:
-    #: Positions that count, for each mask.
-    masks: tuple[tuple[int, ...], ...] = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 4, 6, 8))
+    #: Distance of the second pair of words from the first, for each mask.
+    gaps: tuple[int, ...] = (3, 5)
     window: int = 16
     least_share: float = 0.8
     least_words: int = 5
@@ -37,23 +38,25 @@ PARAMS = SeedParams()
 
 
 def word_hashes(text: Column) -> Column:
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: str, masks: tuple[tuple[int, ...], ...]) -> Column:
-    """array<struct<seed, at>> over a column of word hashes."""
+def with_seeds(rows: DataFrame, params: SeedParams = PARAMS) -> DataFrame:
+    """Turns ``words`` (hashes) into rows of (seed, at). Arrays are shifted against themselves, which leaves seeds that
+    run over the end; they are dropped by their place."""
 
-    def under(mask: tuple[int, ...]) -> Column:
-        last = F.size(hashes) - (mask[-1] + 1)
-        name = F.lit(",".join(map(str, mask)))
-        found = F.transform(
-            F.sequence(F.lit(0), last),
-            lambda at: F.struct(F.xxhash64(name, *[F.get(F.col(hashes), at + p) for p in mask]).alias("seed"), at.alias("at")),
-        )
-        return F.when(last >= 0, found).otherwise(F.array().cast("array<struct<seed:bigint,at:int>>"))
+    def shifted(array: str, by: int) -> Column:
+        return F.zip_with(array, F.slice(array, by + 1, F.greatest(F.size(array), F.lit(1))), lambda x, y: F.xxhash64(x, y))
 
-    return F.concat(*map(under, masks))
+    others = [c for c in rows.columns if c != "words"]
+    paired = rows.withColumn("pairs", shifted("words", 1)).withColumn("size", F.size("words"))
+    listed = paired.select(*others, "size", F.posexplode(F.concat(*[shifted("pairs", gap) for gap in params.gaps])).alias("place", "seed"))
+    at = F.col("place") % F.col("size")
+    inside = F.lit(False)
+    for i, gap in enumerate(params.gaps):
+        inside |= (F.floor(F.col("place") / F.col("size")) == i) & (at + gap + 2 <= F.col("size"))
+    return listed.filter(inside).select(*others, "seed", at.alias("at"))
 
 
 def find(
@@ -74,20 +77,10 @@ def find(
         .withColumn("n_words", F.size("words"))
         .filter(F.col("n_words") >= params.least_words)
     )
-    longest = max(mask[-1] for mask in params.masks) + 1
-    short = items.filter(F.col("n_words") < longest).select("n_words").distinct().collect()  # fewer than a mask is long
-    masks = (*params.masks, *(tuple(range(n)) for n in sorted(r.n_words for r in short)))
-
-    def of_item(words: str) -> Column:
-        whole = [F.when(F.size(words) == len(m), seeds(words, (m,))).otherwise(F.array()) for m in masks[len(params.masks) :]]
-        return F.concat(seeds(words, params.masks), *whole)
-
-    item_seeds = items.select("item_id", "n_words", F.inline(of_item("words"))).withColumnRenamed("at", "item_at")
+    item_seeds = with_seeds(items.select("item_id", "words"), params).withColumnRenamed("at", "item_at")
     if item_seeds.count() <= params.broadcast_seeds:
         item_seeds = F.broadcast(item_seeds)
-    doc_seeds = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("words")).select(
-        "doc_id", F.inline(seeds("words", masks))
-    )
+    doc_seeds = with_seeds(docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("words")), params)
     hits = (
         doc_seeds.join(item_seeds, "seed")
         .groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start"))

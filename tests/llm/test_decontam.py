@@ -14,7 +14,7 @@ PARAMS = decontam.PARAMS
 
 
 def words(text):
-    return re.split(r"[^\w]+|_+", (text or "").lower())
+    return re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").lower())
 
 
 def brute(docs, items, params=PARAMS):
@@ -24,13 +24,13 @@ def brute(docs, items, params=PARAMS):
         b = [w for w in words(item) if w]
         if len(b) < params.least_words:
             continue
-        masks = [*params.masks, *([tuple(range(len(b)))] if len(b) <= max(m[-1] for m in params.masks) else [])]
+        masks = [(0, 1, gap, gap + 1) for gap in params.gaps]
         width = min(params.window, len(b))
         for doc_id, text in docs:
             a = words(text)
             places = {w: [i for i, x in enumerate(b) if x == w] for w in set(b)}
             agree = Counter(i - j for i, w in enumerate(a) for j in places.get(w, ()))
-            for start in (d for d, n in agree.items() if n >= params.least_words):
+            for start in (d for d, n in agree.items() if n >= 4):
                 equal = [0 <= start + j < len(a) and a[start + j] == b[j] for j in range(len(b))]
                 hit = any(all(equal[s + p] for p in m) for m in masks for s in range(len(b) - m[-1]))
                 if hit and max(sum(equal[s : s + width]) for s in range(len(b) - width + 1)) >= params.least_share * width:

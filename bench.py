@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -58,7 +59,8 @@ def main() -> None:
     names = list(QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or list(HEADLINE)
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
 
-    spark = local_session("bench", cores, int(cores) if cores.isdigit() else 8)
+    work = tempfile.TemporaryDirectory(prefix="bench-")
+    spark = local_session("bench", cores, int(cores) if cores.isdigit() else 8, work.name)
     spark.sparkContext.setLogLevel("OFF")
     timed(spark, "hourly_ridership", folder)  # start-up of the JVM and the scan code is not measured
     seconds = {n: round(min(timed(spark, n, folder) for _ in range(repeat)), 3) for n in names}
@@ -74,6 +76,7 @@ def main() -> None:
         )
     )
     spark.stop()
+    work.cleanup()
 
 
 if __name__ == "__main__":

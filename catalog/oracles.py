@@ -130,10 +130,14 @@ JOIN (SELECT series_key, hour(ts) AS phase, count(*) AS n, quantile_cont(y::DOUB
 PARTS["payment_forecast"] = seasonal_hours("payment_hours")
 PARTS["route_forecast"] = seasonal_hours("route_hours")
 
+PARTS["route_profile"] = """
+SELECT series_key, hour(ts) AS phase, CAST(floor(round(quantile_cont(y::DOUBLE, 0.5), 6)) AS BIGINT) AS prediction
+FROM route_hours WHERE ts < TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1, 2"""
+
 PARTS["bundle"] = """
 SELECT t.*, f.prediction AS predicted_riders, dep_mph, dep_free_mph, dst_mph, dst_free_mph, coalesce(i.n, 0) AS incidents
 FROM trips t
-LEFT JOIN route_forecast f ON f.series_key = t.route AND f.step = t.hours_ahead AND t.hours_ahead > 0
+LEFT JOIN route_profile f ON f.series_key = t.route AND f.phase = hour(t.arrival_at) AND t.hours_ahead > 0
 LEFT JOIN flow_found USING (request_id)
 LEFT JOIN (SELECT request_id, count(*) AS n FROM incident_pairs GROUP BY 1) i USING (request_id)"""
 
@@ -249,6 +253,15 @@ SELECT request_id, CAST(json_extract_string(js, '$.departure.lat') AS DOUBLE) AS
        CAST(json_extract_string(js, '$.destination.lng') AS DOUBLE) AS dst_lng,
        json_extract_string(js, '$.timeToDestination') AS arrive_by, js IS NOT NULL AS is_json
 FROM (SELECT request_id, CASE WHEN json_valid(body) THEN body END AS js FROM bodies)"""
+ORACLES["json_requests_split"] = """
+SELECT request_id, CASE WHEN fields = '' AND places = '' THEN 'accepted' ELSE 'rejected' END AS outcome,
+       CASE WHEN fields <> '' THEN 'Missing required fields: ' || fields WHEN places <> '' THEN 'Unknown stop: ' || places ELSE '' END AS reason
+FROM (SELECT request_id,
+        concat_ws(',', CASE WHEN cut OR no_departure OR (request_id % 29 <> 0 AND (request_id % 31 = 0 OR dep_id IS NULL)) THEN 'departure' END,
+          CASE WHEN cut OR (request_id % 43 <> 0 AND (request_id % 47 = 0 OR dst_id IS NULL)) THEN 'destination' END,
+          CASE WHEN cut OR no_time OR request_id % 37 = 0 THEN 'timeToDestination' END) AS fields,
+        concat_ws(',', CASE WHEN request_id % 29 = 0 THEN 'departure' END, CASE WHEN request_id % 43 = 0 THEN 'destination' END) AS places
+      FROM bodies)"""
 ORACLES["request_rejects"] = """
 SELECT request_id, 'Missing required fields' AS error, details, body AS payload
 FROM (SELECT request_id, body, concat_ws(',', CASE WHEN cut OR no_departure OR dep_id IS NULL THEN 'departure' END,
@@ -404,13 +417,16 @@ def fallback(source: str, phase: str, shift: str, base: int, variation: int, ask
     return f"""
 SELECT c.*,
        CASE WHEN c.horizon <= 0 THEN 0 ELSE coalesce(CAST(floor(round(q50, 6)) AS BIGINT), CAST(floor(round(m, 6)) AS BIGINT),
-            {base - variation} + (c.series_key * 2654435761) % {2 * variation}) END AS prediction,
-       CASE WHEN c.horizon <= 0 THEN 'none' WHEN q50 IS NOT NULL THEN 'phase' WHEN m IS NOT NULL THEN 'series' ELSE 'base' END AS source
+            CAST(floor(round(g.y, 6)) AS BIGINT), {base - variation} + (c.series_key * 2654435761) % {2 * variation}) END AS prediction,
+       CASE WHEN c.horizon <= 0 THEN 'none' WHEN q50 IS NOT NULL THEN 'phase' WHEN m IS NOT NULL THEN 'series'
+            WHEN g.y IS NOT NULL THEN 'pooled' ELSE 'base' END AS source
 FROM ({asked}) c
 LEFT JOIN (SELECT series_key, max(ts) AS last_ts, quantile_cont(y::DOUBLE, 0.5) AS m FROM {source} GROUP BY 1) l
   ON l.series_key = c.series_key
 LEFT JOIN (SELECT series_key, {phase}(ts) AS phase, quantile_cont(y::DOUBLE, 0.5) AS q50 FROM {source} GROUP BY 1, 2) p
-  ON p.series_key = c.series_key AND p.phase = {phase}(l.last_ts + {shift}(CAST(c.horizon AS INTEGER)))"""
+  ON p.series_key = c.series_key AND p.phase = {phase}(l.last_ts + {shift}(CAST(c.horizon AS INTEGER)))
+LEFT JOIN (SELECT {phase}(ts) AS phase, quantile_cont(y::DOUBLE, 0.5) AS y FROM {source} GROUP BY 1) g
+  ON g.phase = {phase}((SELECT max(ts) FROM {source}) + {shift}(CAST(c.horizon AS INTEGER)))"""
 
 
 PARTS["rider_days"] = """
@@ -610,10 +626,50 @@ FROM (SELECT p_brand || '/' || p_type || '/' || p_partkey AS criterion, CAST(p_s
 # --- streaming ------------------------------------------------------------------------------------------
 
 ORACLES["stream_hourly"] = """
-SELECT series_key, ts AS hour, y FROM payment_hours
-WHERE ts + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)"""
-ORACLES["stream_unique_requests"] = "SELECT event_id AS request_id, ts FROM events WHERE event_type = 'click'"
-ORACLES["stream_trip_insights"] = "SELECT request_id, travel_minutes, density, savings_cents, nudge FROM messages"
+SELECT series_key, ts AS hour, y,
+       ts + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events) AS closed
+FROM payment_hours"""
+ORACLES["stream_unique_requests"] = "SELECT event_id AS request_id, ts FROM events"
+ORACLES["stream_trip_insights"] = """
+SELECT request_id, travel_minutes, density, savings_cents, nudge, NULL::VARCHAR AS rejected FROM messages
+UNION ALL
+SELECT request_id, NULL, NULL, NULL, NULL,
+       concat_ws(',', CASE WHEN dep_id IS NULL THEN 'departure' END, CASE WHEN dst_id IS NULL THEN 'destination' END)
+FROM located WHERE dep_id IS NULL OR dst_id IS NULL"""
+
+# --- files and services ---------------------------------------------------------------------------------
+
+ORACLES["hourly_csv_scan"] = """
+SELECT date_trunc('second', transit_timestamp) AS transit_timestamp, bus_route, payment_method, fare_class, ridership, transfers
+FROM ridership_raw WHERE event_id % 97 <> 0 AND event_id % 89 <> 0"""
+ORACLES["hourly_csv_quarantine"] = """
+SELECT 'Unreadable ridership row' AS error, CASE WHEN event_id % 97 = 0 THEN 'transit_timestamp' ELSE 'ridership' END AS details, count(*) AS n
+FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0 GROUP BY ALL"""
+PARTS["daily_lines"] = """
+SELECT day, slot, slot % 41 = 0 AS bad_day, slot % 37 = 0 AS bad_total, round(y, 2) AS total,
+       CASE WHEN slot % 10 <> 0 THEN CAST(slot % 100 AS DOUBLE) END AS part
+FROM (SELECT *, day - DATE '1970-01-01' AS slot FROM order_days)"""
+ORACLES["daily_csv_scan"] = """
+SELECT day AS date, total AS buses_total_riders, part AS buses_pct_of_day FROM daily_lines WHERE NOT bad_day AND NOT bad_total"""
+ORACLES["daily_csv_quarantine"] = """
+SELECT 'Unreadable daily row' AS error,
+       concat_ws(',', CASE WHEN bad_day THEN 'date' END, CASE WHEN bad_total THEN 'buses_total_riders' END) AS details,
+       '{"Date":"' || CASE WHEN bad_day THEN 'someday' ELSE strftime(day, '%m/%d/%Y') END || '","Buses: Total Riders":"'
+         || CASE WHEN bad_total THEN 'n/a' ELSE printf('%.2f', total) END || '"'
+         || coalesce(',"Buses: % of Day":"' || CAST(slot % 100 AS VARCHAR) || '"', '') || '}' AS payload
+FROM (SELECT * REPLACE (CASE WHEN slot % 10 <> 0 THEN slot END AS slot) FROM daily_lines) WHERE bad_day OR bad_total"""
+ORACLES["forecast_table_round_trip"] = "SELECT * FROM route_forecast"
+ORACLES["insight_round_trip"] = "SELECT request_id, travel_minutes, density, nudge FROM messages"
+ORACLES["login_report"] = """
+SELECT c_custkey AS record_id, c_custkey % 9 <> 0 AS accepted, CASE WHEN c_custkey % 9 = 0 THEN 'email' ELSE '' END AS reasons FROM customer"""
+ORACLES["standard_emissions"] = """
+SELECT c_custkey AS rider_id, CASE WHEN c_custkey % 2 = 0 THEN 'bus' ELSE 'car' END AS mode,
+       round((5 + c_custkey % 31) * CASE WHEN c_custkey % 2 = 0 THEN 2680.0::DOUBLE / 30 ELSE 404.0::DOUBLE / 1.5 END, 4) AS daily_grams
+FROM customer"""
+ORACLES["forecast_own_model"] = """
+SELECT series_key, step, round(q10, 4) AS q10, round(q50, 4) AS q50, round(q90, 4) AS q90
+FROM (SELECT series_key, min(y)::DOUBLE AS q10, avg(y)::DOUBLE AS q50, max(y)::DOUBLE AS q90 FROM payment_hours GROUP BY 1),
+     (SELECT unnest(generate_series(1::BIGINT, 24::BIGINT)) AS step)"""
 
 MENTIONED = re.compile(r"\b(" + "|".join(PARTS) + r")\b")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from commutelens.functions import clock, jsons, money, numeric, wording
 from commutelens.operators import forecast, impact, insight, joins, quality, regression, rides, series
 from commutelens.plans import demand, trip_insight
 from commutelens.schemas import CORRUPT, INCIDENT_FEED, TRIP_REQUEST
-from commutelens.session import share, shared_folder, use_utc
+from commutelens.session import shared_folder
 from commutelens.sources import readers, sinks, tables
 from commutelens.streaming import jobs
 
@@ -27,15 +26,13 @@ PROJECTED_DAYS = 5
 FEATURES = ("click_pct", "error_pct", "signup_pct", "view_pct")
 TARGET = "purchase_total"
 BACKTEST_DAYS = (1, 2, 3)
+# First hour slot that trip requests do not know about: 2024-01-25 00:00.
+KNOWN_UNTIL = 19_747 * 24
 
 
 def query(build: Query) -> Query:
-    @wraps(build)
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return build(use_utc(spark), folder)
-
-    QUERIES[build.__name__] = run
-    return run
+    QUERIES[build.__name__] = build
+    return build
 
 
 def joined(array) -> object:
@@ -102,6 +99,17 @@ def requests_from_json(spark, folder):
     )
 
 
+@query
+def json_requests_split(spark, folder):
+    bodies, stops = tables.request_bodies(spark, folder, odd=True), tables.stops(spark, folder)
+    judged = trip_insight.judge_bodies(bodies, stops)
+    return judged.select(
+        "request_id",
+        F.when(F.col("error").isNull(), F.lit("accepted")).otherwise(F.lit("rejected")).alias("outcome"),
+        F.concat_ws(": ", "error", "details").alias("reason"),
+    )
+
+
 @query
 def request_rejects(spark, folder):
     _, errors = trip_insight.locate_bodies(tables.request_bodies(spark, folder), tables.stops(spark, folder))
@@ -478,24 +486,23 @@ def ols_forecast(spark, folder):
 
 
 def located(spark, folder):
-    requests = trip_insight.with_route(tables.trip_requests(spark, folder))
-    return trip_insight.locate(requests, tables.stops(spark, folder))
+    return trip_insight.locate(tables.trip_requests(spark, folder), tables.stops(spark, folder))
 
 
 def matched_trips(spark, folder):
     return joins.matched(located(spark, folder))
 
 
-def route_forecasts(spark, folder):
-    return demand.hourly_forecast(tables.ridership(spark, folder), "bus_route", HORIZON)
+def route_profile(spark, folder):
+    return trip_insight.route_profile(hours_by(spark, folder, "bus_route"), KNOWN_UNTIL)
 
 
 def bundled(spark, folder):
     return trip_insight.bundle(
-        share(matched_trips(spark, folder), "trips"),
+        matched_trips(spark, folder),
         tables.flow_snapshots(spark, folder),
         tables.incidents(spark, folder),
-        share(route_forecasts(spark, folder), "forecasts"),
+        route_profile(spark, folder),
     )
 
 
@@ -572,8 +579,7 @@ def incident_load(spark, folder):
 
 @query
 def trip_ridership(spark, folder):
-    steps = share(route_forecasts(spark, folder), "forecasts")
-    return trip_insight.ridership_ahead(matched_trips(spark, folder), steps).select(
+    return trip_insight.ridership_ahead(matched_trips(spark, folder), route_profile(spark, folder)).select(
         "request_id", "route", "hours_ahead", "predicted_riders"
     )
 
@@ -683,12 +689,12 @@ def trip_insights(spark, folder):
 
 @query
 def insights_from_json(spark, folder):
-    located_, _ = trip_insight.locate_bodies(tables.request_bodies(spark, folder), tables.stops(spark, folder))
+    accepted, _ = trip_insight.locate_bodies(tables.request_bodies(spark, folder), tables.stops(spark, folder))
     trips = trip_insight.insights_of(
-        joins.matched(located_),
+        accepted,
         tables.flow_snapshots(spark, folder),
         tables.incidents(spark, folder),
-        route_forecasts(spark, folder),
+        route_profile(spark, folder),
     )
     return trips.select("request_id", "dep_stop", "dst_stop", "travel_minutes", "density", "savings_cents", "nudge")
 
@@ -724,6 +730,120 @@ def cost_index_long(spark, folder):
     return impact.cost_index_long(tables.cost_texts(spark, folder))
 
 
+# --- files and services -------------------------------------------------------------------------------
+
+
+def run_folder(spark, name):
+    """One folder per run on shared storage; whoever runs the query removes it."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def hourly_files(spark, folder):
+    """The ridership text as CSV files with two orders of columns; every 89th rider count is no number."""
+    rows = tables.ridership_text(spark, folder).withColumn(
+        "ridership", F.when(F.col("event_id") % 89 == 0, F.lit("many")).otherwise(F.col("ridership").cast("string"))
+    )
+    path = run_folder(spark, "hourly-csv")
+    names = ["transit_timestamp", "bus_route", "payment_method", "fare_class_category", "ridership", "transfers"]
+    for part, order in enumerate((names, names[::-1])):
+        half = rows.filter(F.col("event_id") % 2 == part).select(*order)
+        half.write.option("header", True).csv(f"{path}/layout={part}")
+    return f"{path}/*"
+
+
+@query
+def hourly_csv_scan(spark, folder):
+    good, _ = readers.read_hourly(spark, hourly_files(spark, folder))
+    return good
+
+
+@query
+def hourly_csv_quarantine(spark, folder):
+    _, bad = readers.read_hourly(spark, hourly_files(spark, folder))
+    return bad.groupBy("error", "details").agg(F.count(F.lit(1)).alias("n"))
+
+
+DAILY_MEASURES = ("Buses: Total Riders", "Buses: % of Day")
+
+
+def daily_files(spark, folder):
+    """Order days as wide CSV files with two orders of columns; some dates and numbers are unreadable, some empty."""
+    day = F.date_from_unix_date(F.col("slot").cast("int"))
+    slot, total, share = F.col("slot"), F.format_string("%.2f", "y"), F.pmod("slot", F.lit(100)).cast("string")
+    rows = tables.order_days(spark, folder).select(
+        "slot",
+        F.when(slot % 41 == 0, F.lit("someday")).otherwise(F.date_format(day, "MM/dd/yyyy")).alias("Date"),
+        F.when(slot % 37 == 0, F.lit("n/a")).otherwise(total).alias(DAILY_MEASURES[0]),
+        F.when(slot % 10 != 0, share).alias(DAILY_MEASURES[1]),
+        F.lit("x").alias("Subways: Total"),
+    )
+    path = run_folder(spark, "daily-csv")
+    names = ["Date", "Subways: Total", *DAILY_MEASURES]
+    for part, order in enumerate((names, names[::-1])):
+        half = rows.filter(F.col("slot") % 2 == part).select(*[F.col(f"`{c}`") for c in order])
+        half.write.option("header", True).csv(f"{path}/layout={part}")
+    return f"{path}/*"
+
+
+@query
+def daily_csv_scan(spark, folder):
+    good, _ = readers.read_daily(spark, daily_files(spark, folder), DAILY_MEASURES)
+    return good
+
+
+@query
+def daily_csv_quarantine(spark, folder):
+    _, bad = readers.read_daily(spark, daily_files(spark, folder), DAILY_MEASURES)
+    return bad
+
+
+@query
+def forecast_table_round_trip(spark, folder):
+    path = run_folder(spark, "forecasts")
+    sinks.write_forecasts(demand.hourly_forecast(tables.ridership(spark, folder), "bus_route", HORIZON), path)
+    return at_hour(spark.read.parquet(path))
+
+
+@query
+def insight_round_trip(spark, folder):
+    path = run_folder(spark, "insights")
+    sinks.write_insights(trip_insight.response(trip_insight.with_other_rides(scored_trips(spark, folder))), path, "json")
+    kept = spark.read.schema("request_id bigint, travelTime bigint, trafficDensity string, nudgeMessage string").json(path)
+    return kept.withColumnsRenamed({"travelTime": "travel_minutes", "trafficDensity": "density", "nudgeMessage": "nudge"})
+
+
+@query
+def login_report(spark, folder):
+    checked = quality.apply_rules(tables.registrations(spark, folder), quality.login_rules())
+    return checked.select("record_id", "accepted", joined("reasons").alias("reasons"))
+
+
+@query
+def standard_emissions(spark, folder):
+    """Riders' commute, ridden by bus or car, with the table of standard factors."""
+    factors = impact.mode_factors(spark)
+    riders = tables.riders(spark, folder).withColumn(
+        "mode", F.when(F.col("rider_id") % 2 == 0, F.lit("bus")).otherwise(F.lit("car"))
+    )
+    grams = F.round(F.col("miles_per_day") * F.col("grams_per_mile") / F.col("passengers"), 4)
+    return riders.join(factors, "mode").select("rider_id", "mode", grams.alias("daily_grams"))
+
+
+def mean_model(values, horizon):
+    """A user's own model: the mean of what was seen, between the least and the greatest value."""
+    import pandas as pd
+
+    return pd.DataFrame(
+        {"step": range(1, horizon + 1), "q10": float(values.min()), "q50": float(values.mean()), "q90": float(values.max())}
+    )
+
+
+@query
+def forecast_own_model(spark, folder):
+    made = forecast.forecast_with_model(hours_by(spark, folder, "payment_method"), HORIZON, mean_model)
+    return made.select("series_key", "step", *[F.round(c, 4).alias(c) for c in ("q10", "q50", "q90")])
+
+
 # --- streaming ----------------------------------------------------------------------------------------
 
 
@@ -733,41 +853,55 @@ def stream_of_events(spark, folder):
     return jobs.history_stream(spark, f"{folder}/events.parque[t]", schema)
 
 
-def run_folder(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def stream_hourly(spark, folder):
+    """Closed hours come from the stream; hours still open at the end of input are summed from its last hours."""
     rows = stream_of_events(spark, folder).withColumn("ridership", F.floor("value").cast("bigint"))
-    totals = jobs.hourly_totals(rows, "event_type", "ts", "ridership")
     base = run_folder(spark, "hourly")
+    totals = jobs.hourly_totals(rows, "event_type", "ts", "ridership")
     jobs.append_to(totals, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.schema("series_key string, hour timestamp_ntz, y bigint").parquet(f"{base}/out")
+    closed = spark.read.schema("series_key string, hour timestamp_ntz, y bigint").parquet(f"{base}/out")
+    history = tables.table(spark, folder, "events").withColumn("ridership", F.floor("value").cast("bigint"))
+    return jobs.with_open_hours(closed, history, "event_type", "ts", "ridership")
+
+
+def resent_events(spark, folder):
+    """All events in three slices by time, each followed by a slice that resends what came last in it: files that a
+    stream takes one at a time, so copies arrive in different batches."""
+    events = tables.table(spark, folder, "events")
+    path = run_folder(spark, "landing")
+    first, last = (F.unix_seconds(f(F.col("ts").cast("timestamp"))) for f in (F.min, F.max))
+    low, high = events.agg(first, last).first()
+    edge = [low + (high + 1 - low) * i // 3 for i in range(4)]
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    for i in range(3):
+        events.filter((at >= edge[i]) & (at < edge[i + 1])).write.parquet(f"{path}/slice={2 * i}")
+        events.filter((at >= edge[i + 1] - 1800) & (at < edge[i + 1])).write.parquet(f"{path}/slice={2 * i + 1}")
+    return jobs.history_stream(spark, f"{path}/*", events.schema, files_per_batch=1)
 
 
 @query
 def stream_unique_requests(spark, folder):
-    clicks = stream_of_events(spark, folder).filter(F.col("event_type") == "click")
-    resent = clicks.select(F.col("event_id").alias("request_id"), "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
-    unique = jobs.without_resends(resent, "request_id", "ts").select("request_id", "ts")
+    unique = jobs.without_resends(resent_events(spark, folder), "event_id", "ts")
     base = run_folder(spark, "unique")
-    jobs.append_to(unique, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    kept = unique.select(F.col("event_id").alias("request_id"), "ts")
+    jobs.append_to(kept, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.schema("request_id bigint, ts timestamp_ntz").parquet(f"{base}/out")
 
 
 @query
 def stream_trip_insights(spark, folder):
-    events = stream_of_events(spark, folder)
+    """Requests without resends, each micro-batch through the batch plan; rejects come back next to insights."""
     stops, flows = tables.stops(spark, folder), tables.flow_snapshots(spark, folder)
-    hazards, forecasts = tables.incidents(spark, folder), share(route_forecasts(spark, folder), "forecasts")
+    hazards, profile = tables.incidents(spark, folder), route_profile(spark, folder)
+    events = jobs.without_resends(resent_events(spark, folder), "event_id", "ts")
 
     def transform(batch):
-        asked = trip_insight.with_route(tables.requests_of(batch, tables.table(spark, folder, "supplier")))
+        asked = tables.requests_of(batch, tables.table(spark, folder, "supplier"))
         place = trip_insight.locate(asked, stops)
-        known = share(joins.matched(place), "trips")
-        trips = trip_insight.scored(trip_insight.bundle(known, flows, hazards, forecasts))
+        trips = trip_insight.scored(trip_insight.bundle(joins.matched(place), flows, hazards, profile))
         rejected = joins.unmatched(place).select(
+            "request_id",
             F.lit("Unknown stop").alias("error"),
             F.col("unknown").alias("details"),
             F.to_json(F.struct("request_id", "dep_stop", "dst_stop")).alias("payload"),
@@ -777,4 +911,8 @@ def stream_trip_insights(spark, folder):
     base = run_folder(spark, "insights")
     jobs.per_batch(events, transform, f"{base}/accepted", f"{base}/rejected", f"{base}/checkpoint").awaitTermination()
     schema = "request_id bigint, travel_minutes bigint, density string, savings_cents bigint, nudge string"
-    return spark.read.schema(schema).parquet(f"{base}/accepted/batch_id=*")
+    accepted = spark.read.schema(schema).parquet(f"{base}/accepted/batch_id=*")
+    rejected = spark.read.schema("request_id bigint, details string").json(f"{base}/rejected/batch_id=*")
+    return accepted.withColumn("rejected", F.lit(None).cast("string")).unionByName(
+        rejected.select("request_id", F.col("details").alias("rejected")), allowMissingColumns=True
+    )

@@ -22,5 +22,6 @@ def downward(x: Column) -> Column:
 
 
 def arithmetic_hash(key: Column, modulus: int) -> Column:
-    """Hash of an integer key that any SQL engine can repeat, in 0..modulus-1."""
-    return F.pmod(key * F.lit(KNUTH_MULTIPLIER), F.lit(modulus))
+    """Hash of an integer key that any SQL engine can repeat, in 0..modulus-1. The key is reduced first, so that
+    no 64-bit key overflows."""
+    return F.pmod(F.pmod(key, F.lit(modulus)) * F.lit(KNUTH_MULTIPLIER % modulus), F.lit(modulus))

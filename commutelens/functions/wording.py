@@ -10,6 +10,7 @@ from commutelens.functions.numeric import round_half_up
 
 # Fixed value: accepted 12-hour clock text.
 CLOCK12_PATTERN = r"(?i)^(0?[1-9]|1[0-2]):[0-5][0-9] ?(AM|PM)$"
+CLOCK24_PATTERN = r"^([01]?[0-9]|2[0-3]):[0-5]?[0-9]$"
 EMAIL_PATTERN = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}$"
 MISSING = "N/A"
 

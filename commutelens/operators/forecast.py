@@ -139,9 +139,12 @@ def valid_horizon(text: Column) -> Column:
 def with_fallback(
     requests: DataFrame, series: DataFrame, period: int, fallback: FallbackParams, key_number: str
 ) -> DataFrame:
-    """Answers that never fail: phase median, else series median, else a base level that varies with the key.
+    """Answers that never fail: phase median, else series median, else the median of all series at the phase asked
+    for, else a base level that varies with the key.
 
-    ``source`` names the tier; a null horizon is invalid and gets no answer. ``key_number`` is an integer column that feeds the deterministic variation.
+    A series without history has no last slot, so its steps count from the last slot of all series. ``source`` names
+    the tier; a null horizon is invalid and gets no answer. ``key_number`` is an integer column that feeds the
+    deterministic variation.
     """
     answered = answer(requests, seasonal_profile(series, period), period)
     overall = series.groupBy("series_key").agg(
@@ -152,33 +155,62 @@ def with_fallback(
         + arithmetic_hash(F.col(key_number), 2 * fallback.variation)
     ).cast("bigint")
     horizon = F.col("horizon")
-    return answered.join(overall, "series_key", "left").select(
+    pooled = pooled_profile(series, period).select(
+        F.col("phase").alias("_phase"), F.col("pooled_median").alias("_pooled")
+    )
+    end = series.agg(F.max("slot").alias("end")).scalar()
+    placed = answered.join(overall, "series_key", "left").withColumn("_end", end)
+    at = F.pmod(F.col("_end") + horizon, F.lit(period)) == F.col("_phase")
+    return placed.join(pooled, at, "left").select(
         *requests.columns,
         F.when(horizon <= 0, F.lit(0).cast("bigint"))
-        .when(horizon.isNotNull(), F.coalesce("prediction", downward(F.col("series_median")), base))
+        .when(horizon.isNotNull(), F.coalesce("prediction", downward(F.col("series_median")), downward(F.col("_pooled")), base))
         .alias("prediction"),
         F.when(horizon.isNull(), F.lit("invalid"))
         .when(horizon <= 0, F.lit("none"))
         .when(F.col("prediction").isNotNull(), F.lit("phase"))
         .when(F.col("series_median").isNotNull(), F.lit("series"))
+        .when(F.col("_pooled").isNotNull(), F.lit("pooled"))
         .otherwise(F.lit("base"))
         .alias("source"),
     )
 
 
-def pooled_profile(series: DataFrame, period: int) -> DataFrame:
+def pooled_profile(series: DataFrame, period: int, bins: int = 1024) -> DataFrame:
     """Median per phase over all series together, for series that have no history of their own.
 
-    Values are counted first; the percentile then runs on (value, count) pairs, so one phase never gathers
-    the rows of all series in one task.
+    Values are counted, the counts are summed in ranges of equal width between the least and greatest value of a
+    phase, and only the ranges that hold the middle ranks are looked at value by value. So no task gathers all
+    values of a phase.
     """
     counted = series.groupBy(F.pmod("slot", F.lit(period)).alias("phase"), F.col("y").cast("double").alias("y")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return counted.groupBy("phase").agg(
-        F.round(F.percentile("y", F.lit(0.5), F.col("n")), 6).alias("pooled_median"), F.sum("n").alias("n_samples")
+    ends = counted.groupBy(F.col("phase").alias("p")).agg(
+        F.min("y").alias("low"), F.max("y").alias("high"), F.sum("n").alias("total")
+    )
+    width = F.greatest((F.col("high") - F.col("low")) / bins, F.lit(1e-300))
+    ranged = counted.join(ends, F.col("phase") == F.col("p")).withColumn("bin", F.floor((F.col("y") - F.col("low")) / width))
+    sizes = ranged.groupBy("phase", "bin", "total").agg(F.sum("n").alias("size"))
+    before = F.sum("size").over(W.partitionBy("phase").orderBy("bin")) - F.col("size")
+    # Ranks, from zero, of the two values that the median lies between.
+    lower, upper = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+    wanted = (
+        sizes.withColumn("before", before)
+        .filter((F.col("before") <= upper) & (F.col("before") + F.col("size") > lower))
+        .select(F.col("phase").alias("w_phase"), F.col("bin").alias("w_bin"), "before")
+    )
+    inside = ranged.join(wanted, (F.col("phase") == F.col("w_phase")) & (F.col("bin") == F.col("w_bin"))).withColumn(
+        "until", F.col("before") + F.sum("n").over(W.partitionBy("phase", "bin").orderBy("y"))
     )
 
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("until") > rank, F.col("y")))
+
+    return inside.groupBy("phase", F.col("total").alias("n_samples")).agg(
+        F.round((at(lower) + at(upper)) / 2, 6).alias("pooled_median")
+    ).select("phase", "pooled_median", "n_samples")
+
 
 def backtest(series: DataFrame, cutoffs: Column, horizon: int, period: int) -> DataFrame:
     """Rolling-origin forecasts next to what happened.

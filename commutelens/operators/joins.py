@@ -54,14 +54,18 @@ def matched(located: DataFrame) -> DataFrame:
     return located.filter(F.col("dep_id").isNotNull() & F.col("dst_id").isNotNull())
 
 
-def unmatched(located: DataFrame) -> DataFrame:
-    """Requests with an unknown endpoint, naming which."""
-    sides = F.concat_ws(
+def unknown_ends() -> Column:
+    """Names of the ends that are no known stop, empty if both are."""
+    return F.concat_ws(
         ",",
         F.when(F.col("dep_id").isNull(), F.lit("departure")),
         F.when(F.col("dst_id").isNull(), F.lit("destination")),
     )
-    return located.filter(F.col("dep_id").isNull() | F.col("dst_id").isNull()).withColumn("unknown", sides)
+
+
+def unmatched(located: DataFrame) -> DataFrame:
+    """Requests with an unknown endpoint, naming which."""
+    return located.filter(F.col("dep_id").isNull() | F.col("dst_id").isNull()).withColumn("unknown", unknown_ends())
 
 
 def as_of(

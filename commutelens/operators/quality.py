@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commutelens.functions import jsons
-from commutelens.functions.wording import EMAIL_PATTERN
+from commutelens.functions.wording import CLOCK24_PATTERN, EMAIL_PATTERN
 from commutelens.schemas import CORRUPT, DENSITY_CLASSES, INCENTIVE_KEYS, INCENTIVE_TYPES, INSIGHT, INSIGHT_KEYS
 
 
@@ -46,12 +46,17 @@ def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def request_rules() -> dict[str, Column]:
     return {
-        "departure": F.col("request.departure").isNotNull(),
-        "destination": F.col("request.destination").isNotNull(),
-        "timeToDestination": has_text("request.timeToDestination"),
+        "departure": is_place("request.departure"),
+        "destination": is_place("request.destination"),
+        "timeToDestination": F.col("request.timeToDestination").rlike(CLOCK24_PATTERN),
     }
 
 
+def is_place(point: str) -> Column:
+    """Both coordinates are there."""
+    return F.col(f"{point}.lat").isNotNull() & F.col(f"{point}.lng").isNotNull()
+
+
 def registration_rules() -> dict[str, Column]:
     return {
         "name": has_text("name"),

@@ -15,20 +15,39 @@ def first_k(rides: DataFrame, group: Sequence[str], order: Sequence[str], k: int
     return rides.withColumn("position", rank).filter(F.col("position") <= k)
 
 
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> list:
+    return [left[c].eqNullSafe(right[f"_{c}"]) for c in columns]
+
+
 def following(
-    rides: DataFrame, group: Sequence[str], order: str, row_id: str, payload: Sequence[str], k: int, block_bits: int = 22
+    rides: DataFrame,
+    group: Sequence[str],
+    order: str,
+    row_id: str,
+    payload: Sequence[str],
+    k: int,
+    rows_per_block: int = 1 << 16,
 ) -> DataFrame:
     """Each row with the next ``k`` rows of its group in (order, id) order, as array ``next_rides``.
 
-    A group may hold a third of all rows, so its ordering is cut into blocks of equal ``order`` value and at
-    most 2**block_bits consecutive ids, and one window finds the successors inside each block. Only rows at a
-    block's edges (its first and last k) meet in a second window over the group: the successors of a last row
-    are exactly the rows that follow it there. All other rows pass that window in their own block.
+    Ids are integers, of any size and however spaced. A group may hold a third of all rows, so its ordering is cut
+    into blocks of equal ``order`` value and a range of ids whose width follows from the least and greatest id and
+    the number of rows there. One window finds the successors inside each block. Only rows at a block's edges (its
+    first and last k) meet in a second window over the group: the successors of a last row are exactly the rows that
+    follow it there. All other rows are moved once.
     """
-    block = [*group, order, "_block"]
+    key = [*group, order]
+    low, high = F.min(row_id).cast("double"), F.max(row_id).cast("double")
+    width = F.greatest(F.lit(1.0), (high - low + 1) * F.lit(float(rows_per_block)) / F.count(F.lit(1)))
+    spans = rides.groupBy(*key).agg(low.alias("_low"), width.alias("_width"))
+    spans = spans.select(*[F.col(c).alias(f"_{c}") for c in key], "_low", "_width")
+    place = F.floor((F.col(row_id).cast("double") - F.col("_low")) / F.col("_width")).cast("bigint")
+    blocked = rides.join(spans, _same(rides, spans, key)).select(*rides.columns, place.alias("_block"))
+
+    block = [*key, "_block"]
     in_block = W.partitionBy(*block).orderBy(row_id)
     item = F.struct(F.col(row_id), F.col(order), *payload)
-    rows = rides.withColumn("_block", F.shiftright(row_id, block_bits)).withColumns(
+    rows = blocked.withColumns(
         {
             "_position": F.row_number().over(in_block),
             "_size": F.count(F.lit(1)).over(W.partitionBy(*block)),
@@ -36,9 +55,10 @@ def following(
         }
     )
     is_last = F.col("_size") - F.col("_position") < k
-    edges = rows.withColumn("_edge", (F.col("_position") <= k) | is_last)
-    lane = [F.when(~F.col("_edge"), F.col(c)) for c in (order, "_block")]
-    across = W.partitionBy(*group, "_edge", *lane).orderBy(order, "_block", row_id).rowsBetween(1, k)
-    return edges.withColumn("_across", F.collect_list(item).over(across)).select(
-        *rides.columns, F.when(is_last, F.col("_across")).otherwise(F.col("_inside")).alias("next_rides")
-    )
+    at_edge = (F.col("_position") <= k) | is_last
+    across = W.partitionBy(*group).orderBy(order, "_block", row_id).rowsBetween(1, k)
+    edges = rows.filter(at_edge).withColumn("_across", F.collect_list(item).over(across))
+    ends = edges.withColumn("next_rides", F.when(is_last, F.col("_across")).otherwise(F.col("_inside")))
+    inner = rows.filter(~at_edge).withColumn("next_rides", F.col("_inside"))
+    names = [*rides.columns, "next_rides"]
+    return ends.select(*names).unionByName(inner.select(*names))

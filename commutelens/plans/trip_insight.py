@@ -9,38 +9,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commutelens.functions import geo, jsons, money
-from commutelens.operators import insight, joins, quality, rides
+from commutelens.functions import geo, jsons, money, numeric
+from commutelens.operators import forecast, insight, joins, quality, rides
 from commutelens.params import TRIP, TripParams
 from commutelens.schemas import TRIP_REQUEST
-from commutelens.session import SHARE_ABOVE_BYTES, share
+from commutelens.session import stage
 
 
 def locate(requests: DataFrame, stops: DataFrame) -> DataFrame:
     return joins.endpoints(insight.with_arrival(requests), stops)
 
 
-def locate_bodies(bodies: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests as JSON text (``body``, with ``request_id, requested_at, rider_id``): (located requests, error records)."""
+def judge_bodies(bodies: DataFrame, stops: DataFrame) -> DataFrame:
+    """Requests as JSON text (``body``, with ``request_id, requested_at, rider_id, route``), each located as far as it
+    can be and with ``error`` and ``details``, null for good ones: fields that are missing or unreadable, or places
+    that are no stop. One row per request, parsed once."""
     parsed = jsons.with_parsed(bodies, "body", TRIP_REQUEST, "request")
-    good, bad = quality.split(quality.apply_rules(parsed, quality.request_rules()))
-    asked = good.select(
+    asked = quality.apply_rules(parsed, quality.request_rules()).select(
         "request_id",
         "requested_at",
         "rider_id",
+        "route",
+        "body",
+        "accepted",
+        "reasons",
         F.col("request.departure.lat").alias("dep_lat"),
         F.col("request.departure.lng").alias("dep_lng"),
         F.col("request.destination.lat").alias("dst_lat"),
         F.col("request.destination.lng").alias("dst_lng"),
         F.col("request.timeToDestination").alias("arrive_by"),
     )
-    errors = bad.select(
-        "request_id",
-        F.lit("Missing required fields").alias("error"),
-        F.array_join("reasons", ",").alias("details"),
-        F.col("body").alias("payload"),
+    located = joins.endpoints_by_place(insight.with_arrival(asked), stops)
+    lost = joins.unknown_ends()
+    return located.withColumns(
+        {
+            "error": F.when(~F.col("accepted"), F.lit("Missing required fields")).when(lost != "", F.lit("Unknown stop")),
+            "details": F.when(~F.col("accepted"), F.array_join("reasons", ",")).when(lost != "", lost),
+        }
+    ).drop("accepted", "reasons")
+
+
+def locate_bodies(bodies: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JSON requests as (matched requests, error records); every request is in one of them."""
+    judged = judge_bodies(bodies, stops)
+    errors = judged.filter(F.col("error").isNotNull())
+    return (
+        judged.filter(F.col("error").isNull()).drop("error", "details", "body"),
+        errors.select("request_id", "error", "details", F.col("body").alias("payload")),
     )
-    return joins.endpoints_by_place(insight.with_arrival(with_route(asked)), stops), errors
 
 
 def with_box(trips: DataFrame) -> DataFrame:
@@ -82,23 +98,26 @@ def incident_load(trips: DataFrame, incidents: DataFrame) -> DataFrame:
     return incidents_on_way(trips, counted).groupBy("request_id").agg(F.sum("n").alias("incidents"))
 
 
-def ridership_ahead(trips: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """Forecast of the rider's route at the arrival hour; nothing is looked up for an arrival within the hour."""
-    steps = forecasts.select("series_key", "step", F.col("prediction").alias("predicted_riders"))
-    ahead = (
-        (F.col("route") == F.col("series_key")) & (F.col("hours_ahead") == F.col("step")) & (F.col("hours_ahead") > 0)
-    )
-    return trips.join(steps, ahead, "left").drop("series_key", "step")
+def route_profile(history: DataFrame, known_until: int | None = None) -> DataFrame:
+    """Riders to expect per route and hour of day, from an hourly series; ``known_until`` is the first hour slot that
+    is not known yet when requests are answered."""
+    known = history if known_until is None else history.filter(F.col("slot") < known_until)
+    return forecast.seasonal_profile(known, forecast.HOURLY_PERIOD)
 
 
-def with_route(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("route", F.concat(F.lit("R"), (F.col("rider_id") % 20).cast("string")))
+def ridership_ahead(trips: DataFrame, profile: DataFrame) -> DataFrame:
+    """Riders expected on the request's route at its arrival hour; nothing is looked up for an arrival within the hour."""
+    expected = profile.select("series_key", "phase", numeric.downward(F.col("q50")).alias("predicted_riders"))
+    ahead = (
+        (F.col("route") == F.col("series_key")) & (F.hour("arrival_at") == F.col("phase")) & (F.col("hours_ahead") > 0)
+    )
+    return trips.join(expected, ahead, "left").drop("series_key", "phase")
 
 
-def bundle(trips: DataFrame, flows: DataFrame, incidents: DataFrame, forecasts: DataFrame) -> DataFrame:
+def bundle(trips: DataFrame, flows: DataFrame, incidents: DataFrame, profile: DataFrame) -> DataFrame:
     """Matched trips with flow at both ends, incident count and expected riders."""
     return (
-        ridership_ahead(trips, forecasts)
+        ridership_ahead(trips, profile)
         .join(flow_at_endpoints(trips, flows), "request_id", "left")
         .join(incident_load(trips, incidents), "request_id", "left")
         .withColumn("incidents", F.coalesce("incidents", F.lit(0).cast("bigint")))
@@ -155,30 +174,31 @@ def insights(
     stops: DataFrame,
     flows: DataFrame,
     incidents: DataFrame,
-    forecasts: DataFrame,
+    profile: DataFrame,
     params: TripParams = TRIP,
-    share_above_bytes: int = SHARE_ABOVE_BYTES,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Request rows to scored trips; requests with unknown stops are left to ``joins.unmatched``."""
-    located = locate(with_route(requests), stops)
-    return insights_of(joins.matched(located), flows, incidents, forecasts, params, share_above_bytes)
+    """Request rows, each with the ``route`` it asks about, to scored trips; requests with unknown stops are left to
+    ``joins.unmatched``."""
+    return insights_of(joins.matched(locate(requests, stops)), flows, incidents, profile, params, folder)
 
 
 def insights_of(
     matched_trips: DataFrame,
     flows: DataFrame,
     incidents: DataFrame,
-    forecasts: DataFrame,
+    profile: DataFrame,
     params: TripParams = TRIP,
-    share_above_bytes: int = SHARE_ABOVE_BYTES,
+    folder: str | None = None,
 ) -> DataFrame:
     """Located trips to scored trips.
 
-    Located trips feed three lookups and forecasts are few rows out of a long history, so both are shared.
+    Located trips feed three lookups and a profile is few rows out of a long history. A caller that names a shared
+    folder has both written there once; without one the plan stays lazy. Results are the same.
     """
-    trips = share(matched_trips, "trips", share_above_bytes)
-    steps = share(forecasts, "forecasts", share_above_bytes)
-    return scored(bundle(trips, flows, incidents, steps), params)
+    if folder:
+        matched_trips, profile = stage(matched_trips, f"{folder}/trips"), stage(profile, f"{folder}/profile")
+    return scored(bundle(matched_trips, flows, incidents, profile), params)
 
 
 def response(trips: DataFrame) -> DataFrame:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# Input size above which a shared intermediate is written once instead of evaluated per branch.
-SHARE_ABOVE_BYTES = 1 << 30
+# State on disk with changelogs, for streams whose state outgrows the heap.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -20,10 +17,11 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(app: str, cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and the benchmark on one machine."""
+def local_session(app: str, cores: int | str = 8, shuffle_partitions: int = 8, work: str | None = None) -> SparkSession:
+    """Session for tests and the benchmark on one machine; ``work`` is the folder for what queries write."""
+    builder = SparkSession.builder.config("spark.sql.warehouse.dir", work) if work else SparkSession.builder
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -32,6 +30,7 @@ def local_session(app: str, cores: int | str = 8, shuffle_partitions: int = 8) -
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,40 +38,16 @@ def local_session(app: str, cores: int | str = 8, shuffle_partitions: int = 8) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for stream checkpoints and written intermediates.
-
-    The cluster names a shared one in ``spark.checkpoint.dir``. Only where that is unset *and* Spark runs
-    inside this process is a machine-local folder good enough.
-    """
-    configured = spark.conf.get(CHECKPOINT_KEY, None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="commutelens-")
+    """Folder that driver and executors share: the one a cluster names in ``spark.checkpoint.dir``, or else the
+    session's warehouse."""
+    return spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, path: str) -> DataFrame:
     """Writes an intermediate that several branches of a plan read, and returns the written table.
 
     The branches then share one evaluation, lost executors cost no recomputation, and Spark knows the table's
-    true size when it chooses between broadcast and shuffle. The folder belongs to the run.
+    true size when it chooses between broadcast and shuffle. The caller names the folder and removes it.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the tables a frame reads, as Spark knows it before running anything.
-
-    The estimate of the whole plan is no use here: without column statistics it multiplies the sides of joins.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def share(df: DataFrame, name: str, above_bytes: int = SHARE_ABOVE_BYTES) -> DataFrame:
-    """Stages a frame that several branches read, unless its input is small enough to read again."""
-    return stage(df, name) if input_bytes(df) > above_bytes else df
+    return df.sparkSession.read.schema(df.schema).parquet(path)

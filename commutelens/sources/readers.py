@@ -44,16 +44,45 @@ def split_hourly(text_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def layouts(spark: SparkSession, path: str, required: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the order of columns in their header: the line that names all required columns.
+
+    What comes back is one entry per file, as in any listing of files.
+    """
+    names = F.transform(F.split(F.col("value"), ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    wanted = F.array(*[F.lit(c) for c in required])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), names.alias("names"))
+    heads = lines.filter(F.size(F.array_except(wanted, F.col("names"))) == 0).groupBy("file").agg(F.min("names").alias("names"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        found.setdefault(tuple(row["names"]), []).append(row["file"])
+    if not found:
+        raise ValueError(f"missing columns: {', '.join(required)}")
+    return found
+
+
+def read_by_header(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV files whose headers name the schema's columns in any order, and perhaps others: each layout is read by its
+    own header, so values never land in another column. Lines that do not parse are kept in the corrupt record."""
+    kinds = {f.name: f.dataType for f in schema if f.name != CORRUPT}
+    out = None
+    for names, files in layouts(spark, path, list(kinds)).items():
+        layout = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
+        raw = (
+            spark.read.schema(layout.add(CORRUPT, T.StringType()))
+            .option("header", True)
+            .option("enforceSchema", False)
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .csv(files)
+            .select(*kinds, CORRUPT)
+        )
+        out = raw if out is None else out.unionByName(raw)
+    return out
+
+
 def read_hourly(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Hourly ridership CSV with a declared schema: (facts, quarantine). Odd route names are kept."""
-    raw = (
-        spark.read.schema(HOURLY_FILE)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
-    return split_hourly(raw)
+    return split_hourly(read_by_header(spark, path, HOURLY_FILE))
 
 
 def safe_name(name: str) -> str:
@@ -61,19 +90,27 @@ def safe_name(name: str) -> str:
     return re.sub(r"[^0-9a-z]+", "_", name.lower().replace("%", "pct")).strip("_")
 
 
-def read_daily(spark: SparkSession, path: str, measures: Sequence[str]) -> DataFrame:
-    """Daily wide CSV: the date and the named measures as doubles, other columns never read.
-
-    The header gives the file's column order; it is read as one text line, without scanning the data.
-    """
-    header = spark.read.option("header", True).csv(path).columns
-    absent = [c for c in (DATE_COLUMN, *measures) if c not in header]
-    if absent:
-        raise ValueError(f"missing columns: {', '.join(absent)}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.schema(schema).option("header", True).csv(path)
-    columns = [F.col(f"`{m}`").try_cast("double").alias(safe_name(m)) for m in measures]
-    return raw.select(clock.parse_day(F.col(DATE_COLUMN)).alias("date"), *columns)
+def read_daily(spark: SparkSession, path: str, measures: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Daily wide CSV: (the date and the named measures as doubles, quarantine). Other columns are never read, and an
+    empty value is a gap; a date or a number that does not parse puts the line into quarantine."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (DATE_COLUMN, *measures)])
+    raw = read_by_header(spark, path, schema)
+    text = {safe_name(m): F.nullif(F.trim(F.col(f"`{m}`")), F.lit("")) for m in measures}
+    typed = raw.select(
+        clock.parse_day(F.col(DATE_COLUMN)).alias("date"),
+        *[t.try_cast("double").alias(n) for n, t in text.items()],
+        F.array_compact(
+            F.array(
+                F.when(clock.parse_day(F.col(DATE_COLUMN)).isNull(), F.lit("date")),
+                *[F.when(t.isNotNull() & t.try_cast("double").isNull(), F.lit(n)) for n, t in text.items()],
+            )
+        ).alias("_broken"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in (DATE_COLUMN, *measures)])).alias("_payload"),
+    )
+    bad = typed.filter(F.size("_broken") > 0).select(
+        F.lit("Unreadable daily row").alias("error"), F.array_join("_broken", ",").alias("details"), F.col("_payload").alias("payload")
+    )
+    return typed.filter(F.size("_broken") == 0).drop("_broken", "_payload"), bad
 
 
 def daily_long(wide: DataFrame, measures: Sequence[str]) -> DataFrame:
@@ -104,7 +141,8 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRIP_REQUEST).option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
-FLOW_SCHEMA = "flow_id bigint, stop_id bigint, observed_at timestamp_ntz, mph bigint, free_mph bigint"
+# Stops are known by name in landed files, as in the stop list.
+FLOW_SCHEMA = "flow_id bigint, stop_id string, observed_at timestamp_ntz, mph bigint, free_mph bigint"
 INCIDENT_SCHEMA = (
     "incident_id bigint, lat double, lng double, icon_category bigint, valid_from timestamp_ntz, valid_to timestamp_ntz"
 )

@@ -109,6 +109,7 @@ def requests_of(events: DataFrame, supplier: DataFrame) -> DataFrame:
         e.alias("request_id"),
         F.col("ts").alias("requested_at"),
         F.col("user_id").alias("rider_id"),
+        F.concat(F.lit("R"), (F.col("user_id") % 20).cast("string")).alias("route"),
         stop_name((e * 7) % F.col("_k")).alias("dep_stop"),
         stop_name((e * 11 + 5) % F.col("_k")).alias("dst_stop"),
         F.concat_ws(
@@ -146,16 +147,23 @@ def incidents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def request_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """Trip requests as JSON text; some lack a field, some are cut off."""
+def request_bodies(spark: SparkSession, folder: str, odd: bool = False) -> DataFrame:
+    """Trip requests as JSON text; some lack a field, some are cut off. ``odd`` adds places that are no stop, empty
+    places and unreadable times."""
     located = endpoints(trip_requests(spark, folder), stops(spark, folder))
     e = F.col("request_id")
 
     def point(side: str):
         lat, lng = F.col(f"{side}_lat").cast("string"), F.col(f"{side}_lng").cast("string")
-        return F.coalesce(F.concat(F.lit('{"lat":'), lat, F.lit(',"lng":'), lng, F.lit("}")), F.lit("null"))
+        place = F.coalesce(F.concat(F.lit('{"lat":'), lat, F.lit(',"lng":'), lng, F.lit("}")), F.lit("null"))
+        if odd:
+            elsewhere, empty = (29, 31) if side == "dep" else (43, 47)
+            place = F.when(e % elsewhere == 0, F.lit('{"lat":0.5,"lng":0.5}')).when(e % empty == 0, F.lit("{}")).otherwise(place)
+        return place
 
     clock_text = F.when(e % 19 == 0, F.lit("")).otherwise(F.col("arrive_by"))
+    if odd:
+        clock_text = F.when(e % 37 == 0, F.lit("soon")).otherwise(clock_text)
     body = F.concat(
         F.lit("{"),
         F.concat_ws(
@@ -167,7 +175,7 @@ def request_bodies(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("}"),
     )
     cut = F.when(e % 23 == 0, F.substring(body, 1, 20)).otherwise(body)
-    return located.select("request_id", "requested_at", "rider_id", cut.alias("body"))
+    return located.select("request_id", "requested_at", "rider_id", "route", cut.alias("body"))
 
 
 def response_texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 LATENESS = "1 hour"
+FILES_PER_BATCH = 256
 
 
-def history_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
-    """New history files as they arrive."""
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+def history_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """New history files as they arrive, a bounded number per micro-batch."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if fmt == "csv":
         reader = reader.option("header", True)
     return reader.format(fmt).load(path)
@@ -35,6 +34,20 @@ def hourly_totals(rides: DataFrame, key: str, ts: str, y: str, lateness: str = L
     )
 
 
+def with_open_hours(closed: DataFrame, history: DataFrame, key: str, ts: str, y: str) -> DataFrame:
+    """Emitted hours, and those that were still open when the input ended, summed from the history after the last
+    emitted hour; ``closed`` tells them apart."""
+    last = closed.agg(F.max("hour").alias("last")).scalar()
+    hour = F.date_trunc("hour", F.col(ts).cast("timestamp")).cast("timestamp_ntz")
+    rest = history.withColumn("hour", hour).withColumn("_last", last)
+    open_ = (
+        rest.filter(F.col("_last").isNull() | (F.col("hour") > F.col("_last")))
+        .groupBy(F.col(key).alias("series_key"), "hour")
+        .agg(F.sum(y).alias("y"))
+    )
+    return closed.withColumn("closed", F.lit(True)).unionByName(open_.withColumn("closed", F.lit(False)))
+
+
 def without_resends(requests: DataFrame, request_id: str, ts: str, lateness: str = LATENESS) -> DataFrame:
     """First copy of each request; a copy that arrives within the watermark delay is dropped."""
     timed = requests.withColumn("_event_time", F.col(ts).cast("timestamp")).withWatermark("_event_time", lateness)

@@ -13,8 +13,8 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", 8, 4)
+def spark(tmp_path_factory):
+    session = local_session("tests", 8, 4, str(tmp_path_factory.mktemp("work")))
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

@@ -59,13 +59,14 @@ def test_horizon_text(rows):
 @pytest.mark.parametrize("fallback", [HOURLY_FALLBACK, DAILY_FALLBACK])
 def test_fallback_tiers(rows, fallback):
     history = rows([(1, 0, 5), (1, 24, 7), (2, 0, 11)], "series_key bigint, slot bigint, y bigint")
-    asked = rows([(1, 24), (2, 3), (3, 1), (4, 1), (3, 0), (1, None)], "series_key bigint, horizon bigint")
+    asked = rows([(1, 24), (2, 3), (3, 1), (4, 1), (4, 24), (3, 0), (1, None), (2**62, 1), (-(2**62), 1)], "series_key bigint, horizon bigint")
     got = {(r["series_key"], r["horizon"]): (r["prediction"], r["source"]) for r in forecast.with_fallback(asked, history, 24, fallback, "series_key").collect()}
     assert got[1, 24] == (6, "phase")
     assert got[2, 3] == (11, "series")
     assert got[3, 0] == (0, "none")
     assert got[1, None] == (None, "invalid")
-    for key in (3, 4):
+    assert got[4, 24] == (7, "pooled")
+    for key in (3, 4, 2**62, -(2**62)):
         value, source = got[key, 1]
         assert source == "base" and fallback.base - fallback.variation <= value < fallback.base + fallback.variation
 

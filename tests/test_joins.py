@@ -90,11 +90,13 @@ def test_boxes_without_coordinates_match_nothing(rows):
     assert joins.boxes_with_points(b, p, "asked", "since", "until").count() == 0
 
 
-@pytest.mark.parametrize("block_bits", [0, 1, 3, 18])
-def test_following_equals_brute_force_in_a_hot_group(rows, block_bits):
+@pytest.mark.parametrize("rows_per_block", [1, 2, 5, 1 << 16])
+@pytest.mark.parametrize("spread", ["dense", "sparse", "hashed"])
+def test_following_equals_brute_force_in_a_hot_group(rows, rows_per_block, spread):
     rng = random.Random(5)
-    data = [(i, 1 if rng.random() < 0.6 else rng.randrange(5), rng.randrange(6), f"n{i}") for i in range(200)]
-    got = rides.following(rows(data, "id bigint, g bigint, o bigint, name string"), ["g"], "o", "id", ["name"], 3, block_bits)
+    ids = {"dense": range(200), "sparse": range(-(10**9), 10**9, 10**7), "hashed": [rng.randrange(-(2**63), 2**63) for _ in range(200)]}
+    data = [(i, 1 if rng.random() < 0.6 else rng.randrange(5), rng.randrange(6), f"n{i}") for i in ids[spread]]
+    got = rides.following(rows(data, "id bigint, g bigint, o bigint, name string"), ["g"], "o", "id", ["name"], 3, rows_per_block)
     result = {r["id"]: [x["id"] for x in r["next_rides"]] for r in got.collect()}
     for i, g, o, _ in data:
         later = sorted((o2, i2) for i2, g2, o2, _ in data if g2 == g and (o2, i2) > (o, i))

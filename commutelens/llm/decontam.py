@@ -87,6 +87,11 @@ def find(
         .agg(F.count(F.lit(1)).alias("n_hits"))
     )
     texts = docs.select(F.col(doc_id).alias("d_id"), F.col(text).alias("d_text"))
+    # Words before the document's first one agree with nothing. The document's words are an argument, not a name inside
+    # a function of elements, so they are made once.
+    missed = F.greatest(-F.col("start"), F.lit(0))
+    found = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("n_words") - missed)
+    meant = F.slice("item_words", missed + 1, F.col("n_words"))
     aligned = (
         hits.join(items.withColumnsRenamed({"item_id": "i_id", "words": "item_words"}), F.col("item_id").eqNullSafe(F.col("i_id")))
         .join(texts, F.col("doc_id").eqNullSafe(F.col("d_id")))
@@ -96,10 +101,9 @@ def find(
             "item_id",
             "start",
             "n_words",
-            F.transform(
-                F.sequence(F.lit(0), F.col("n_words") - 1),
-                lambda j: F.coalesce(F.get(F.col("words"), F.col("start") + j) == F.get(F.col("item_words"), j), F.lit(False)),
-            ).alias("equal"),
+            F.concat(F.array_repeat(F.lit(False), missed), F.zip_with(found, meant, lambda a, b: F.coalesce(a == b, F.lit(False)))).alias(
+                "equal"
+            ),
             F.least(F.lit(params.window), F.col("n_words")).alias("width"),
         )
     )

@@ -103,14 +103,13 @@ class Vocabulary:
         for token in range(256, len(self.pieces)):
             left, right = self.halves[token]
             reached.append(reached[left] and reached[right] and self.compatible(left, right, token))
-        # Every suffix of a token, with the token it is itself, if merging reaches it.
-        self.suffixes: dict[bytes, int] = {}
-        for piece in self.pieces:
-            for i in range(len(piece)):
-                self.suffixes.setdefault(piece[i:], -1)
-        for token, piece in enumerate(self.pieces):
-            if reached[token]:
-                self.suffixes[piece] = token
+        # Every prefix of a token, with the tokens that it ends in, longest first.
+        own_token = {piece: token for token, piece in enumerate(self.pieces) if reached[token]}
+        self.prefixes: dict[bytes, tuple[int, ...]] = {b"": ()}
+        for prefix in sorted({p[:i] for p in self.pieces for i in range(1, len(p) + 1)}, key=len):
+            shorter = next(prefix[i:] for i in range(1, len(prefix) + 1) if prefix[i:] in self.prefixes)
+            own = (own_token[prefix],) if prefix in own_token else ()
+            self.prefixes[prefix] = own + self.prefixes[shorter]
 
     def compatible(self, left: int, right: int, limit: int = 1 << 60) -> bool:
         """Whether merging the bytes of both tokens leaves these two tokens: undoes merges on both sides of the cut,
@@ -135,21 +134,19 @@ class Vocabulary:
                     right = halves[right][0]
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Encodings as packed 32-bit ids. state[d] is the last token of the prefix of length d on the current path."""
+        """Encodings as packed 32-bit ids. On the current path, state[d] is the last token of the prefix of length d, and
+        start[d] the place from which on it begins some token; that place never moves back as the prefix grows."""
         trie = Trie()
         trie.insert_sorted(sorted({word.encode("utf-8", "surrogatepass") for word in words}))
-        suffix, sizes, allowed, public = self.suffixes.get, self.sizes, self.allowed, self.public
-        state, found = [-1], {}
+        ending, sizes, allowed, public = self.prefixes.get, self.sizes, self.allowed, self.public
+        state, start, found = [-1], [0], {}
         for shared, word in trie.branches:
-            del state[shared + 1 :]
+            del state[shared + 1 :], start[shared + 1 :]
+            at = start[shared]
             for depth in range(shared + 1, len(word) + 1):
-                candidates, at = [], depth - 1
-                while at >= 0 and (token := suffix(word[at:depth])) is not None:
-                    if token >= 0:
-                        candidates.append(token)
-                    at -= 1
-                while True:  # a single byte is compatible with any state if nothing longer is
-                    token = candidates.pop()
+                while (candidates := ending(word[at:depth])) is None:
+                    at += 1
+                for token in candidates:  # a single byte fits if nothing longer does
                     rest = depth - sizes[token]
                     if not rest:
                         break
@@ -160,10 +157,11 @@ class Vocabulary:
                     if fits:
                         break
                 state.append(token)
-            ids, at = array("i"), len(word)
-            while at:
-                ids.append(public[state[at]])
-                at -= sizes[state[at]]
+                start.append(at)
+            ids, place = array("i"), len(word)
+            while place:
+                ids.append(public[state[place]])
+                place -= sizes[state[place]]
             ids.reverse()
             found[word.decode("utf-8", "surrogatepass")] = ids.tobytes()
         if len(allowed) > 1_000_000:
@@ -202,10 +200,11 @@ class Vocabulary:
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         split = [[*chain.from_iterable(self.words(text))] for text in texts]
-        fresh = {w for words in split for w in words if w not in self.known and isinstance(w, str)}
+        whole = set().union(*split) - {*self.special.values()}
+        fresh = whole - self.known.keys()
         if len(self.known) + len(fresh) > WORDS_KEPT:
             self.known.clear()
-            fresh = {w for words in split for w in words if isinstance(w, str)}
+            fresh = whole
         self.known |= self.encode_words(fresh)
         for token in self.special.values():
             self.known[token] = array("i", [token]).tobytes()

@@ -4,10 +4,12 @@ A document's n-gram set is a sorted array of tokens. Tokens are ordered the same
 they are, then by hash. Two sets as similar as asked share a token among the first few of either (the prefix), so
 documents are candidates only where prefixes meet. Common tokens are those that repeat within a block of documents;
 their counts go into a table of fixed size, which makes frequent passages last in every set, whatever the corpus.
+With a prefix longer by k - 1 tokens similar sets share at least k tokens of their prefixes.
 
 Documents that share a prefix token go to the token's leader, the smallest id among them. Most tokens of a group of
-copies have the same leader, so a document travels to few leaders rather than once per token. There the sets are stored
-in a trie by global order. A probe walks it depth first, carrying the overlap counted so far along the path it shares
+copies have the same leader, so a document travels to few leaders rather than once per token. Two documents that meet
+only in tokens which nobody else holds need k of them and compatible sizes; if they share further tokens, those have
+three holders or more, whose leaders always get both. At the leader the sets are stored in a trie by global order. A probe walks it depth first, carrying the overlap counted so far along the path it shares
 with the set before, and leaves a subtree when the tokens that remain on either side cannot reach the overlap needed.
 
 Groups are cut into chunks. A chunk is joined with itself and with the leader; members that end up connected to the
@@ -45,9 +47,11 @@ class JoinParams:
     cells: int = 1 << 18
     block: int = 4_000_000
     repeats: int = 4
+    #: Tokens that the prefixes of two documents must share, if the sets are large enough.
+    meet: int = 4
 
     def prefix(self, size: int) -> int:
-        return size - -(-self.percent * size // 100) + 1
+        return min(size, size - -(-self.percent * size // 100) + self.meet)
 
     def needed(self, size: int, other: int) -> int:
         """Least overlap of sets of these sizes: percent * union <= 100 * overlap."""
@@ -321,27 +325,31 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
     keys = ["key_a", "key_b", "n"]
     able = signed.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = able.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
-    tokens = nodes.select("node", F.explode("prefix").alias("token"))
+    tokens = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    member = F.struct("node", "n")
     leads = (
         tokens.groupBy("token")
-        .agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-        .filter("lead < last")
-        .select(F.col("token").alias("t"), "lead")
+        .agg(F.min(member).alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("holders"))
+        .filter("holders > 1 AND first.node < last")
+        .select(F.col("token").alias("t"), F.col("first.node").alias("lead"), F.col("first.n").alias("lead_n"), "holders")
     )
-    routes = tokens.join(leads, F.col("token") == F.col("t")).groupBy("lead", "node").agg(F.count(F.lit(1)).alias("met"))
-    routes = written(routes.select("lead", "node"), "routes")
+    least = F.ceil(F.greatest("n", "lead_n") * params.percent / 100)
+    follows = (
+        tokens.join(leads, F.col("token") == F.col("t"))
+        .filter("node <> lead")
+        .groupBy("lead", "node", "n", "lead_n")
+        .agg(F.count(F.lit(1)).alias("met"), F.max("holders").alias("holders"))
+        .filter((F.col("holders") > 2) | (F.col("met") >= F.least(F.lit(params.meet), least)) & (F.least("n", "lead_n") >= least))
+    )
+    routes = written(follows.select("lead", "node").distinct(), "routes")
     chunks = routes.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / params.chunk).alias("chunks"))
-    sized = routes.join(chunks.withColumnRenamed("lead", "l"), F.col("lead") == F.col("l")).drop("l")
     own: Column = F.pmod(F.xxhash64("node"), F.col("chunks"))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)
-    is_lead = F.col("node") == F.col("lead")
-    places = sized.select(
-        "lead",
-        "node",
-        "chunks",
-        F.when(is_lead, 0).otherwise(1).alias("role"),
-        F.explode(F.when(is_lead, every).otherwise(F.array(own))).alias("chunk"),
+    members = routes.join(chunks.withColumnRenamed("lead", "l"), F.col("lead") == F.col("l")).select(
+        "lead", "node", "chunks", F.lit(1).alias("role"), own.alias("chunk")
     )
+    leaders = chunks.select("lead", F.col("lead").alias("node"), "chunks", F.lit(0).alias("role"), F.explode(every).alias("chunk"))
+    places = members.unionByName(leaders)
     texts = docs.filter(F.col("doc_id").isNotNull())
 
     def with_texts(rows: DataFrame) -> DataFrame:
@@ -357,7 +365,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
             .filter("chunk <> home")
             .drop("home")
         )
-        members = places.filter("role = 1")
         crossed = _joined(with_texts(members.unionByName(visitors.select(*members.columns))), common, params)
         links = links.unionByName(written(crossed.filter("kind = 'link'").select("a", "b"), "crossed"))
     roots = components(links)

@@ -94,13 +94,13 @@ PARTS["incident_facts"] = """
 SELECT event_id AS incident_id, 32.6::DOUBLE + (event_id % 600) * 0.001::DOUBLE AS lat,
        -80.2::DOUBLE + ((event_id * 3) % 400) * 0.001::DOUBLE AS lng,
        CAST(json_extract_string(props, '$.k') AS BIGINT) % 12 AS icon_category,
-       ts AS valid_from, ts + INTERVAL 2 HOUR AS valid_to
+       ts AS valid_from, CASE WHEN event_id % 211 <> 0 THEN ts + INTERVAL 2 HOUR END AS valid_to
 FROM events WHERE event_type = 'error'"""
 
 PARTS["incident_pairs"] = """
 SELECT request_id, incident_id, icon_category, lat, lng
 FROM trips JOIN incident_facts ON lat BETWEEN south AND north AND lng BETWEEN west AND east
-  AND valid_from <= requested_at AND requested_at < valid_to"""
+  AND valid_from <= requested_at AND (valid_to IS NULL OR requested_at < valid_to)"""
 
 
 def hourly(key: str) -> str:
@@ -546,6 +546,7 @@ ORACLES["trip_savings"] = """
 SELECT request_id, greatest(0, CAST(floor(miles * 350 / 25 + 0.5) AS BIGINT) - 200) AS savings_cents FROM trips"""
 ORACLES["flow_asof"] = "SELECT * FROM flow_found"
 ORACLES["incidents_in_bbox"] = "SELECT * FROM incident_pairs"
+ORACLES["incident_categories"] = "SELECT request_id, icon_category, count(*) AS incidents FROM incident_pairs GROUP BY 1, 2"
 ORACLES["incident_load"] = "SELECT request_id, count(*) AS incidents FROM incident_pairs GROUP BY 1"
 ORACLES["trip_ridership"] = "SELECT request_id, route, hours_ahead, predicted_riders FROM bundle"
 ORACLES["traffic_bundle"] = "SELECT request_id, dep_mph, dst_mph, incidents, predicted_riders FROM bundle"

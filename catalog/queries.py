@@ -572,6 +572,11 @@ def incidents_in_bbox(spark, folder):
     return pairs.select("request_id", "incident_id", "icon_category", "lat", "lng")
 
 
+@query
+def incident_categories(spark, folder):
+    return trip_insight.incident_categories(matched_trips(spark, folder), tables.incidents(spark, folder))
+
+
 @query
 def incident_load(spark, folder):
     return trip_insight.incident_load(matched_trips(spark, folder), tables.incidents(spark, folder))

@@ -77,52 +77,69 @@ def as_of(
     fact_id: str,
     values: Sequence[str],
     bucket_minutes: int = 60,
+    fine_minutes: int = 1,
 ) -> DataFrame:
     """Each probe with the latest fact of its key at or before it; probes without one keep nulls.
 
-    A window over a whole key would put a hot key into one task. Here the timeline of a key is cut into
-    buckets: each bucket's closing fact is aggregated (map side first), carried forward over the buckets of
-    its key, and enters the next bucket as its opening row. The sorted window then only spans one bucket,
-    and the carry window only sees one row per bucket.
+    A window over a whole key would put a hot key into one task, and a window over an hour a hot hour. Here the
+    timeline of a key is cut into buckets and those into fine buckets: each fine bucket's closing fact is aggregated
+    (map side first), carried forward over the buckets of its key and then over the fine buckets inside a bucket, and
+    enters the next fine bucket as its opening row. The sorted window then spans one fine bucket only, and the carry
+    windows see one row per bucket.
     """
-    f = facts.filter(F.col(key).isNotNull() & F.col(fact_time).isNotNull()).select(
-        F.col(key),
-        F.col(fact_time).alias("_t"),
-        F.col(fact_id).alias("_id"),
-        F.struct(F.col(fact_time).alias("fact_time"), *values).alias("_fact"),
-        clock.minute_bucket(F.col(fact_time), bucket_minutes).alias("_bucket"),
+
+    def buckets(time: str) -> dict[str, Column]:
+        return {
+            "_bucket": clock.minute_bucket(F.col(time), bucket_minutes),
+            "_fine": clock.minute_bucket(F.col(time), fine_minutes),
+        }
+
+    f = (
+        facts.filter(F.col(key).isNotNull() & F.col(fact_time).isNotNull())
+        .withColumns(buckets(fact_time))
+        .select(
+            F.col(key),
+            F.col(fact_time).alias("_t"),
+            F.col(fact_id).alias("_id"),
+            F.struct(F.col(fact_time).alias("fact_time"), *values).alias("_fact"),
+            "_bucket",
+            "_fine",
+        )
     )
     probe_columns = [c for c in probes.columns if c != key]
-    p = probes.select(
-        F.col(key),
-        F.struct(*probe_columns).alias("_probe"),
-        F.col(probe_time).alias("_t"),
-        clock.minute_bucket(F.col(probe_time), bucket_minutes).alias("_bucket"),
+    p = probes.withColumns(buckets(probe_time)).select(
+        F.col(key), F.struct(*probe_columns).alias("_probe"), F.col(probe_time).alias("_t"), "_bucket", "_fine"
     )
 
-    closing = f.groupBy(key, "_bucket").agg(F.max_by("_fact", F.struct("_t", "_id")).alias("_fact"))
-    wanted = p.select(key, "_bucket").distinct()
-    timeline = (
-        closing.withColumn("_asked", F.lit(False))
-        .unionByName(wanted.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-        .groupBy(key, "_bucket")
-        .agg(F.max("_asked").alias("_asked"), F.first("_fact", ignorenulls=True).alias("_fact"))
-    )
-    before = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    opening = (
-        timeline.withColumn("_fact", F.last("_fact", ignorenulls=True).over(before))
-        .filter(F.col("_asked") & F.col("_fact").isNotNull())
-        .select(key, "_bucket", "_fact")
-    )
+    def openings(closings: DataFrame, asked: DataFrame, within: list[str], order: str) -> DataFrame:
+        """The fact that is current when each asked bucket begins."""
+        timeline = (
+            closings.withColumn("_asked", F.lit(False))
+            .unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+            .groupBy(*within, order)
+            .agg(F.max("_asked").alias("_asked"), F.first("_fact", ignorenulls=True).alias("_fact"))
+        )
+        before = W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        current = timeline.withColumn("_fact", F.last("_fact", ignorenulls=True).over(before))
+        return current.filter(F.col("_asked") & F.col("_fact").isNotNull()).select(*within, order, "_fact")
+
+    fine = f.groupBy(key, "_bucket", "_fine").agg(F.max_by("_fact", F.struct("_t", "_id")).alias("_fact"))
+    coarse = fine.groupBy(key, "_bucket").agg(F.max_by("_fact", "_fine").alias("_fact"))
+    wanted = p.select(key, "_bucket", "_fine").distinct()
+    carried = openings(coarse, wanted.select(key, "_bucket").distinct(), [key], "_bucket")
+    # What a bucket opens with stands before its first fine bucket.
+    first = carried.withColumn("_fine", F.lit(None).cast("bigint"))
+    opening = openings(fine.unionByName(first), wanted, [key, "_bucket"], "_fine").drop("_bucket")
 
     rows = (
-        f.withColumn("_rank", F.lit(1))
+        f.drop("_bucket")
+        .withColumn("_rank", F.lit(1))
         .unionByName(opening.withColumn("_rank", F.lit(0)), allowMissingColumns=True)
-        .unionByName(p.withColumn("_rank", F.lit(2)), allowMissingColumns=True)
+        .unionByName(p.drop("_bucket").withColumn("_rank", F.lit(2)), allowMissingColumns=True)
     )
     # The opening row has no time and sorts first; at equal times facts come before probes.
     inside = (
-        W.partitionBy(key, "_bucket")
+        W.partitionBy(key, "_fine")
         .orderBy(F.col("_t").asc_nulls_first(), "_rank", "_id")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
@@ -153,7 +170,9 @@ def boxes_with_points(
     * a box uses the one grid level on which it spans few cells, a point is listed on every level, so large
       boxes do not explode into many cells;
     * a point's validity uses the one time rung on which it spans few buckets, a box is listed on every
-      rung that some point uses (a scalar subquery of a few values), so a busy cell is split by time.
+      rung that some point uses (a scalar subquery of a few values), so a busy cell is split by time;
+    * a point without a known end, or valid for longer than two of the widest buckets, stands on a rung of its own
+      that has one bucket, so it is listed once per cell.
 
     Box and point agree on at most one key, so no pair appears twice.
     """
@@ -163,16 +182,19 @@ def boxes_with_points(
     level = F.when(ratio <= 1, F.lit(0)).otherwise(F.least(F.lit(top), F.ceil(F.log2(ratio)).cast("int")))
     minutes = (F.col(valid_to) - F.col(valid_from)).cast("interval minute").cast("bigint")
     last = len(grid.time_rungs_minutes) - 1
-    rung = F.lit(last)
+    open_rung = last + 1
+    rung = F.when(minutes <= 2 * grid.time_rungs_minutes[last], F.lit(last)).otherwise(F.lit(open_rung))
     for i in range(last - 1, -1, -1):
         rung = F.when(minutes <= grid.time_rungs_minutes[i], F.lit(i)).otherwise(rung)
-    valid_points = points.filter(F.col(valid_to) > F.col(valid_from)).withColumn("_rung", rung)
+    has_time = F.col(valid_to).isNull() | (F.col(valid_to) > F.col(valid_from))
+    valid_points = points.filter(F.col(valid_from).isNotNull() & has_time).withColumn("_rung", rung)
 
     rungs = F.array(
         *[
             F.struct(F.lit(i).alias("_rung"), clock.minute_bucket(F.col(moment), m).alias("_bucket"))
             for i, m in enumerate(grid.time_rungs_minutes)
-        ]
+        ],
+        F.struct(F.lit(open_rung).alias("_rung"), F.lit(0).cast("bigint").alias("_bucket")),
     )
     used = valid_points.agg(F.collect_set("_rung").alias("used")).scalar()
 
@@ -190,8 +212,8 @@ def boxes_with_points(
     )
 
     def buckets(edge: str) -> Column:
-        value = clock.minute_bucket(F.col(edge), grid.time_rungs_minutes[last])
-        for i in range(last - 1, -1, -1):
+        value = F.lit(0).cast("bigint")
+        for i in range(last, -1, -1):
             value = F.when(F.col("_rung") == i, clock.minute_bucket(F.col(edge), grid.time_rungs_minutes[i])).otherwise(value)
         return value
 
@@ -206,6 +228,6 @@ def boxes_with_points(
         F.col("lat").between(F.col("south"), F.col("north"))
         & F.col("lng").between(F.col("west"), F.col("east"))
         & (F.col(valid_from) <= F.col(moment))
-        & (F.col(moment) < F.col(valid_to))
+        & (F.col(valid_to).isNull() | (F.col(moment) < F.col(valid_to)))
     )
     return box_rows.join(point_rows, on_key).filter(exact).drop(*on_key)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from commutelens.functions import geo, jsons, money, numeric
 from commutelens.operators import forecast, insight, joins, quality, rides
 from commutelens.params import TRIP, TripParams
-from commutelens.schemas import TRIP_REQUEST
+from commutelens.schemas import INCIDENT_FEED, TRIP_REQUEST
 from commutelens.session import stage
 
 
@@ -63,14 +63,14 @@ def with_box(trips: DataFrame) -> DataFrame:
     return trips.withColumns(geo.bounding_box(F.col("dep_lat"), F.col("dep_lng"), F.col("dst_lat"), F.col("dst_lng")))
 
 
-def flow_at_endpoints(trips: DataFrame, flows: DataFrame) -> DataFrame:
+def flow_at_endpoints(trips: DataFrame, flows: DataFrame, bucket_minutes: int = 60, fine_minutes: int = 1) -> DataFrame:
     """Speed last seen at both ends of each trip: one as-of join over both ends, then one row per request."""
     ends = F.array(
         F.struct(F.lit("dep").alias("side"), F.col("dep_id").alias("stop_id")),
         F.struct(F.lit("dst").alias("side"), F.col("dst_id").alias("stop_id")),
     )
     probes = trips.select("request_id", "requested_at", F.inline(ends))
-    found = joins.as_of(probes, flows, "stop_id", "requested_at", "observed_at", "flow_id", ["mph", "free_mph"])
+    found = joins.as_of(probes, flows, "stop_id", "requested_at", "observed_at", "flow_id", ["mph", "free_mph"], bucket_minutes, fine_minutes)
 
     def at(side: str, value: str, name: str):
         return F.max(F.when(F.col("side") == side, F.col(value))).alias(name)
@@ -98,6 +98,25 @@ def incident_load(trips: DataFrame, incidents: DataFrame) -> DataFrame:
     return incidents_on_way(trips, counted).groupBy("request_id").agg(F.sum("n").alias("incidents"))
 
 
+def incident_categories(trips: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Number of incidents per request and icon category, counted like ``incident_load``."""
+    counted = incidents.groupBy("lat", "lng", "valid_from", "valid_to", "icon_category").agg(F.count(F.lit(1)).alias("n"))
+    return incidents_on_way(trips, counted).groupBy("request_id", "icon_category").agg(F.sum("n").alias("incidents"))
+
+
+def feed_incidents(feeds: DataFrame, feed: str = "feed") -> DataFrame:
+    """Incident rows from feed texts with ``valid_from`` and ``valid_to``, as the box join takes them; null as end
+    means still open."""
+    each = jsons.with_parsed(feeds, feed, INCIDENT_FEED, "f").select("valid_from", "valid_to", F.explode("f.incidents").alias("i"))
+    return each.select(
+        F.col("i.geometry.coordinates")[1].alias("lat"),
+        F.col("i.geometry.coordinates")[0].alias("lng"),
+        F.col("i.properties.iconCategory").alias("icon_category"),
+        "valid_from",
+        "valid_to",
+    )
+
+
 def route_profile(history: DataFrame, known_until: int | None = None) -> DataFrame:
     """Riders to expect per route and hour of day, from an hourly series; ``known_until`` is the first hour slot that
     is not known yet when requests are answered."""

@@ -134,7 +134,7 @@ def flow_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def incidents(spark: SparkSession, folder: str) -> DataFrame:
-    """Traffic incidents, valid for two hours."""
+    """Traffic incidents, valid for two hours; a few have no known end."""
     errors = table(spark, folder, "events").filter(F.col("event_type") == "error")
     e = F.col("event_id")
     return errors.select(
@@ -143,7 +143,7 @@ def incidents(spark: SparkSession, folder: str) -> DataFrame:
         (F.lit(-80.2) + ((e * 3) % 400) * F.lit(0.001)).alias("lng"),
         (F.get_json_object("props", "$.k").cast("bigint") % 12).alias("icon_category"),
         F.col("ts").alias("valid_from"),
-        (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(2))).alias("valid_to"),
+        F.when(e % 211 != 0, F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(2))).alias("valid_to"),
     )
 
 

@@ -103,6 +103,33 @@ def test_following_equals_brute_force_in_a_hot_group(rows, rows_per_block, sprea
         assert result[i] == [i2 for _, i2 in later[:3]]
 
 
+def test_open_ended_points_are_found(rows):
+    boxes = rows([(1, "2024-05-01 10:00:00", 0.0, 0.0, 1.0, 1.0)], "id bigint, asked timestamp_ntz, south double, west double, north double, east double")
+    data = [
+        (1, 0.5, 0.5, "2023-01-01 00:00:00", None),
+        (2, 0.5, 0.5, "2023-01-01 00:00:00", "9999-01-01 00:00:00"),
+        (3, 0.5, 0.5, "2024-06-01 00:00:00", None),
+        (4, 0.5, 0.5, "2024-05-01 09:00:00", "2024-05-01 11:00:00"),
+        (5, 2.0, 0.5, "2023-01-01 00:00:00", None),
+    ]
+    points = rows(data, "p bigint, lat double, lng double, since timestamp_ntz, until timestamp_ntz")
+    got = joins.boxes_with_points(boxes, points, "asked", "since", "until").collect()
+    assert sorted(r["p"] for r in got) == [1, 2, 4]
+
+
+def test_all_probes_in_one_hour_of_one_stop(rows):
+    rng = random.Random(4)
+    moment = lambda: f"2024-05-01 10:{rng.randrange(60):02d}:{rng.randrange(60):02d}"
+    facts = [(i, 1, moment(), i) for i in range(50)] + [(99, 1, "2024-04-01 00:00:00", 99)]
+    probes = [(i, 1, moment()) for i in range(300)] + [(400, 1, "2024-05-01 10:00:00"), (401, 2, moment())]
+    f = rows(facts, "fid bigint, stop bigint, seen timestamp_ntz, v bigint")
+    p = rows(probes, "id bigint, stop bigint, asked timestamp_ntz")
+    got = {r["id"]: r["v"] for r in joins.as_of(p, f, "stop", "asked", "seen", "fid", ["v"]).collect()}
+    for i, stop, asked in probes:
+        known = [(t, fid, v) for fid, s, t, v in facts if s == stop and t <= asked]
+        assert got[i] == (max(known)[2] if known else None)
+
+
 def test_first_k_limits_before_the_shuffle(rows):
     df = rows([(i, i % 2, i % 7) for i in range(50)], "id bigint, g bigint, o bigint")
     top = rides.first_k(df, ["g"], ["o", "id"], 3)

@@ -10,6 +10,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from commutelens.operators import joins, rides
+from commutelens.plans import trip_insight
 from commutelens.params import GridParams
 
 START = datetime(2024, 1, 1)
@@ -153,3 +154,11 @@ def test_lookup_by_place_takes_one_stop(rows):
     asked = rows([(1, 1.0, 2.0, 5.0, 6.0), (2, 1.0, 2.0, 9.0, 9.0)], "id bigint, dep_lat double, dep_lng double, dst_lat double, dst_lng double")
     got = {r["id"]: (r["dep_stop"], r["dst_stop"]) for r in joins.endpoints_by_place(asked, stops).collect()}
     assert got == {1: ("a", "c"), 2: ("a", None)}
+
+
+def test_feed_text_reaches_the_box_join(rows):
+    feed = '{"incidents":[{"type":"Feature","geometry":{"type":"Point","coordinates":[2.5,1.5]},"properties":{"iconCategory":7}}]}'
+    feeds = rows([(feed, "2024-05-01 00:00:00", None), ('{"incidents":[]}', "2024-05-01 00:00:00", None), ("{", "2024-05-01 00:00:00", None)], "feed string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    trips = rows([(1, "2024-05-02 00:00:00", 1.0, 2.0, 2.0, 3.0)], "request_id bigint, requested_at timestamp_ntz, dep_lat double, dep_lng double, dst_lat double, dst_lng double")
+    got = trip_insight.incident_categories(trips, trip_insight.feed_incidents(feeds)).collect()
+    assert [tuple(r) for r in got] == [(1, 7, 1)]

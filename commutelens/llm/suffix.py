@@ -41,7 +41,7 @@ class SuffixParams:
     frequent: int = 8
     #: Lists of anchors are exchanged by this many parts of the hash.
     bucket_bits: int = 12
-    #: Bytes of a shard.
+    #: Bytes of a leader beyond which it is split; shards of small leaders are closed at half of it.
     shard: int = 4 << 20
 
 
@@ -303,30 +303,34 @@ def _induced_by_bucket(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, s
 
 def _induced_one_by_one(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
     """The same for large alphabets, where buckets hold few suffixes: one scan in either direction."""
-    n, t, s = len(text), text.tolist(), smaller.tolist()
+    n, t = len(text), text.tolist()
     counts = np.bincount(text, minlength=size)
     ends = np.cumsum(counts).tolist()
     heads = (np.cumsum(counts) - counts).tolist()
-    array, tails = [-1] * n, ends.copy()
+    # First character of the suffix one to the left if it is of the kind a scan writes, else -1; n marks an empty place.
+    larger_before, smaller_before = np.full(n + 1, -1), np.full(n + 1, -1)
+    larger_before[1:n] = np.where(smaller[:-1], -1, text[:-1])
+    smaller_before[1:n] = np.where(smaller[:-1], text[:-1], -1)
+    array, tails = [n] * n, ends.copy()
     for i in reversed(lms.tolist()):
         tails[t[i]] -= 1
         array[tails[t[i]]] = i
-    c = t[n - 1]
-    array[heads[c]] = n - 1
-    heads[c] += 1
-    for place in range(n):
-        i = array[place]
-        if i > 0 and not s[i - 1]:
-            c = t[i - 1]
-            array[heads[c]] = i - 1
-            heads[c] += 1
-    tails = ends
-    for place in range(n - 1, -1, -1):
-        i = array[place]
-        if i > 0 and s[i - 1]:
-            c = t[i - 1]
-            tails[c] -= 1
-            array[tails[c]] = i - 1
+    head = heads[t[n - 1]]
+    array[head] = n - 1
+    heads[t[n - 1]] = head + 1
+    before = larger_before.tolist()
+    for i in array:
+        c = before[i]
+        if c >= 0:
+            head = heads[c]
+            array[head] = i - 1
+            heads[c] = head + 1
+    before = smaller_before.tolist()
+    for i in reversed(array):
+        c = before[i]
+        if c >= 0:
+            ends[c] = tail = ends[c] - 1
+            array[tail] = i - 1
     return np.array(array)
 
 
@@ -503,7 +507,7 @@ def _covers(segments: DataFrame, params: SuffixParams) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 now = (row["leader"], row["part"])
-                if now != group and size >= params.shard:
+                if now != group and size >= params.shard // 2:
                     yield shard()
                     held, size = [], 0
                 group = now

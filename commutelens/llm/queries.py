@@ -132,6 +132,32 @@ WITH p AS (
 )
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
 FROM d
+""",
+    "op6_ngram_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS g
+  FROM w
+), e AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c
+  FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p WHERE 100 * c >= 85 * (nx + ny - c)
+), both_ways AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT doc_id AS node, doc_id AS root FROM s
+  UNION
+  SELECT b.y, r.root FROM r JOIN both_ways b ON b.x = r.node
+)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON c.node = s.doc_id
 """,
     "op7_topk": """
 WITH v AS (

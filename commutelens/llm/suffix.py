@@ -438,7 +438,8 @@ def _segments(docs: DataFrame, routes: DataFrame, params: SuffixParams) -> DataF
     """Stretches of documents that follow one leader (and part of it), with a 128-bit fingerprint of their bytes."""
     weight = routes.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") * (params.length - params.gram) / 2 / params.shard)
-    heavy = weight.select(F.col("leader").alias("heavy"), parts.alias("parts")).filter("parts > 1")
+    # Written, so that Spark knows how few there are and need not move all routes for them.
+    heavy = written(weight.select(F.col("leader").alias("heavy"), parts.alias("parts")).filter("parts > 1"), "heavy")
     listed = (
         routes.join(heavy, F.col("leader") == F.col("heavy"), "left")
         .groupBy(F.col("doc_id").alias("r_id"))

@@ -9,7 +9,8 @@ With a prefix longer by k - 1 tokens similar sets share at least k tokens of the
 Documents that share a prefix token go to the token's leader, the smallest id among them. Most tokens of a group of
 copies have the same leader, so a document travels to few leaders rather than once per token. Two documents that meet
 only in tokens which nobody else holds need k of them and compatible sizes; if they share further tokens, those have
-three holders or more, whose leaders always get both. At the leader the sets are stored in a trie by global order. A probe walks it depth first, carrying the overlap counted so far along the path it shares
+three holders or more, whose leaders always get both. A member whose size no other of the group comes near stays away.
+At the leader the sets are stored in a trie by global order. A probe walks it depth first, carrying the overlap counted so far along the path it shares
 with the set before, and leaves a subtree when the tokens that remain on either side cannot reach the overlap needed.
 
 Groups are cut into chunks. A chunk is joined with itself and with the leader; members that end up connected to the
@@ -30,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from commutelens.llm.components import components
@@ -341,14 +343,28 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
         .agg(F.count(F.lit(1)).alias("met"), F.max("holders").alias("holders"))
         .filter((F.col("holders") > 2) | (F.col("met") >= F.least(F.lit(params.meet), least)) & (F.least("n", "lead_n") >= least))
     )
-    routes = written(follows.select("lead", "node").distinct(), "routes")
-    chunks = routes.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / params.chunk).alias("chunks"))
+    # A member stays if the next smaller or larger one of its group, the leader included, is near enough in size.
+    rows = follows.groupBy("lead", "lead_n", "node", "n").agg(F.max("met").alias("met"))
+    whole = rows.select("lead", "node", "n").unionByName(
+        rows.groupBy("lead", F.col("lead_n").alias("n")).agg(F.max("met").alias("met")).select("lead", F.col("lead").alias("node"), "n")
+    )
+    by_size = W.partitionBy("lead").orderBy("n", "node")
+    near = (F.lag("n").over(by_size) * 100 >= F.col("n") * params.percent) | (
+        F.col("n") * 100 >= F.lead("n").over(by_size) * params.percent
+    )
+    routes = written(whole.withColumn("near", near).filter("near").groupBy("lead", "node").agg(F.max("n").alias("n")), "routes")
+    chunks = (
+        routes.groupBy("lead")
+        .agg(F.ceil(F.count(F.lit(1)) / params.chunk).alias("chunks"), F.bool_or(F.col("node") == F.col("lead")).alias("led"))
+        .withColumn("led", F.col("led") | (F.col("chunks") > 1))
+    )
     own: Column = F.pmod(F.xxhash64("node"), F.col("chunks"))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)
-    members = routes.join(chunks.withColumnRenamed("lead", "l"), F.col("lead") == F.col("l")).select(
+    members = routes.filter("node <> lead").join(chunks.withColumnRenamed("lead", "l"), F.col("lead") == F.col("l")).select(
         "lead", "node", "chunks", F.lit(1).alias("role"), own.alias("chunk")
     )
-    leaders = chunks.select("lead", F.col("lead").alias("node"), "chunks", F.lit(0).alias("role"), F.explode(every).alias("chunk"))
+    # A leader far from all others in size is only needed to tell the loose members of several chunks.
+    leaders = chunks.filter("led").select("lead", F.col("lead").alias("node"), "chunks", F.lit(0).alias("role"), F.explode(every).alias("chunk"))
     places = members.unionByName(leaders)
     texts = docs.filter(F.col("doc_id").isNotNull())
 

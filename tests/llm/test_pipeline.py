@@ -10,8 +10,8 @@ import __spark_entry__ as contract
 import corpus_pipeline
 from commutelens.llm import secrets
 from conftest import SMALL
-from test_decontam import brute as leaks
-from test_ngram_join import brute as classes
+from llm.test_decontam import brute as leaks
+from llm.test_ngram_join import brute as classes
 
 
 @pytest.fixture(scope="module")

@@ -4,13 +4,12 @@ A document's n-gram set is a sorted array of tokens. Tokens are ordered the same
 they are, then by hash. Two sets as similar as asked share a token among the first few of either (the prefix), so
 documents are candidates only where prefixes meet. Common tokens are those that repeat within a block of documents;
 their counts go into a table of fixed size, which makes frequent passages last in every set, whatever the corpus.
-With a prefix longer by k - 1 tokens similar sets share at least k tokens of their prefixes.
+With a prefix longer by k - 1 tokens similar sets share at least k tokens of their prefixes (k grows with the set).
 
 Documents that share a prefix token go to the token's leader, the smallest id among them. Most tokens of a group of
-copies have the same leader, so a document travels to few leaders rather than once per token. Two documents that meet
-only in tokens which nobody else holds need k of them and compatible sizes; if they share further tokens, those have
-three holders or more, whose leaders always get both. A member whose size no other of the group comes near stays away.
-At the leader the sets are stored in a trie by global order. A probe walks it depth first, carrying the overlap counted so far along the path it shares
+copies have the same leader, so a document travels to few leaders rather than once per token. A document
+stays away from leaders with which it shares fewer than k tokens, unless so many of its tokens are spread that way that a
+similar one might be missed, and where no other member is near in size. At the leader the sets are stored in a trie by global order. A probe walks it depth first, carrying the overlap counted so far along the path it shares
 with the set before, and leaves a subtree when the tokens that remain on either side cannot reach the overlap needed.
 
 Groups are cut into chunks. A chunk is joined with itself and with the leader; members that end up connected to the
@@ -49,11 +48,12 @@ class JoinParams:
     cells: int = 1 << 18
     block: int = 4_000_000
     repeats: int = 4
-    #: Tokens that the prefixes of two documents must share, if the sets are large enough.
+    #: Prefixes are longer than they need be for one common token, by a fixed number and a share in percent.
     meet: int = 4
+    meet_percent: int = 5
 
     def prefix(self, size: int) -> int:
-        return min(size, size - -(-self.percent * size // 100) + self.meet)
+        return min(size, size - -(-self.percent * size // 100) + self.meet + size * self.meet_percent // 100)
 
     def needed(self, size: int, other: int) -> int:
         """Least overlap of sets of these sizes: percent * union <= 100 * overlap."""
@@ -319,6 +319,33 @@ def _joined(groups: DataFrame, common: np.ndarray, params: JoinParams) -> DataFr
     )
 
 
+def _enough_met(meets: DataFrame, params: JoinParams) -> DataFrame:
+    """Rows (lead, lead_n, node, n, met) that similar documents may need to come together.
+
+    Similar sets share at least ``due`` tokens of their prefixes. A row with fewer is weak. If no leader has strong rows
+    of both documents of a similar pair, all tokens they share are in weak rows, so one of both holds half of its due
+    in weak rows. Leaders that such a document touches keep all their rows; elsewhere weak rows go.
+    """
+    partner = F.ceil(F.col("n") * params.percent / 100)
+    due = F.least(partner, params.meet + F.floor(partner * params.meet_percent / 100))
+    judged = meets.withColumn("due", due).withColumn("weak", F.col("met") < F.col("due"))
+    torn = (
+        judged.groupBy("node", "n", "due")
+        .agg(F.sum(F.when(F.col("weak"), F.col("met")).otherwise(0)).alias("in_weak"))
+        .filter(2 * F.col("in_weak") >= F.col("due"))
+        .select(F.col("node").alias("torn"))
+        .distinct()
+    )
+    touched = (
+        judged.join(torn, F.col("node") == F.col("torn"))
+        .select(F.col("lead").alias("whole"))
+        .unionByName(torn.select(F.col("torn").alias("whole")))
+        .distinct()
+    )
+    kept = judged.join(touched, F.col("lead") == F.col("whole"), "left")
+    return kept.filter(~F.col("weak") | F.col("whole").isNotNull()).select("lead", "lead_n", "node", "n", "met")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: JoinParams = PARAMS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: size of its set and the smallest id it is linked with."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -331,20 +358,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
     member = F.struct("node", "n")
     leads = (
         tokens.groupBy("token")
-        .agg(F.min(member).alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("holders"))
-        .filter("holders > 1 AND first.node < last")
-        .select(F.col("token").alias("t"), F.col("first.node").alias("lead"), F.col("first.n").alias("lead_n"), "holders")
+        .agg(F.min(member).alias("first"), F.max("node").alias("last"))
+        .filter("first.node < last")
+        .select(F.col("token").alias("t"), F.col("first.node").alias("lead"), F.col("first.n").alias("lead_n"))
     )
-    least = F.ceil(F.greatest("n", "lead_n") * params.percent / 100)
-    follows = (
+    meets = written(
         tokens.join(leads, F.col("token") == F.col("t"))
         .filter("node <> lead")
-        .groupBy("lead", "node", "n", "lead_n")
-        .agg(F.count(F.lit(1)).alias("met"), F.max("holders").alias("holders"))
-        .filter((F.col("holders") > 2) | (F.col("met") >= F.least(F.lit(params.meet), least)) & (F.least("n", "lead_n") >= least))
+        .groupBy("lead", "lead_n", "node", "n")
+        .agg(F.count(F.lit(1)).alias("met")),
+        "meets",
     )
+    rows = _enough_met(meets, params)
     # A member stays if the next smaller or larger one of its group, the leader included, is near enough in size.
-    rows = follows.groupBy("lead", "lead_n", "node", "n").agg(F.max("met").alias("met"))
     whole = rows.select("lead", "node", "n").unionByName(
         rows.groupBy("lead", F.col("lead_n").alias("n")).agg(F.max("met").alias("met")).select("lead", F.col("lead").alias("node"), "n")
     )

@@ -50,7 +50,7 @@ class JoinParams:
     repeats: int = 4
     #: Prefixes are longer than they need be for one common token, by a fixed number and a share in percent.
     meet: int = 4
-    meet_percent: int = 5
+    meet_percent: int = 8
 
     def prefix(self, size: int) -> int:
         return min(size, size - -(-self.percent * size // 100) + self.meet + size * self.meet_percent // 100)
@@ -320,7 +320,7 @@ def _joined(groups: DataFrame, common: np.ndarray, params: JoinParams) -> DataFr
 
 
 def _enough_met(meets: DataFrame, params: JoinParams) -> DataFrame:
-    """Rows (lead, lead_n, node, n, met) that similar documents may need to come together.
+    """Rows (lead, node, n) that similar documents may need to come together.
 
     Similar sets share at least ``due`` tokens of their prefixes. A row with fewer is weak. If no leader has strong rows
     of both documents of a similar pair, all tokens they share are in weak rows, so one of both holds half of its due
@@ -343,7 +343,7 @@ def _enough_met(meets: DataFrame, params: JoinParams) -> DataFrame:
         .distinct()
     )
     kept = judged.join(touched, F.col("lead") == F.col("whole"), "left")
-    return kept.filter(~F.col("weak") | F.col("whole").isNotNull()).select("lead", "lead_n", "node", "n", "met")
+    return kept.filter(~F.col("weak") | F.col("whole").isNotNull()).select("lead", "node", "n")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: JoinParams = PARAMS) -> DataFrame:
@@ -355,25 +355,25 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
     able = signed.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = able.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
     tokens = nodes.select("node", "n", F.explode("prefix").alias("token"))
-    member = F.struct("node", "n")
     leads = (
         tokens.groupBy("token")
-        .agg(F.min(member).alias("first"), F.max("node").alias("last"))
-        .filter("first.node < last")
-        .select(F.col("token").alias("t"), F.col("first.node").alias("lead"), F.col("first.n").alias("lead_n"))
+        .agg(F.min("node").alias("lead"), F.max("node").alias("last"))
+        .filter("lead < last")
+        .select(F.col("token").alias("t"), "lead")
     )
     meets = written(
         tokens.join(leads, F.col("token") == F.col("t"))
         .filter("node <> lead")
-        .groupBy("lead", "lead_n", "node", "n")
+        .groupBy("lead", "node", "n")
         .agg(F.count(F.lit(1)).alias("met")),
         "meets",
     )
     rows = _enough_met(meets, params)
     # A member stays if the next smaller or larger one of its group, the leader included, is near enough in size.
-    whole = rows.select("lead", "node", "n").unionByName(
-        rows.groupBy("lead", F.col("lead_n").alias("n")).agg(F.max("met").alias("met")).select("lead", F.col("lead").alias("node"), "n")
+    heads = able.select(F.col("doc_id").alias("node"), "n").join(
+        rows.select("lead").distinct(), F.col("node") == F.col("lead")
     )
+    whole = rows.select("lead", "node", "n").unionByName(heads.select("lead", "node", "n"))
     by_size = W.partitionBy("lead").orderBy("n", "node")
     near = (F.lag("n").over(by_size) * 100 >= F.col("n") * params.percent) | (
         F.col("n") * 100 >= F.lead("n").over(by_size) * params.percent

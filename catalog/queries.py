@@ -870,27 +870,32 @@ def stream_hourly(spark, folder):
     return jobs.with_open_hours(closed, history, "event_type", "ts", "ridership")
 
 
-def resent_events(spark, folder):
-    """All events in three slices by time, each followed by a slice that resends what came last in it: files that a
-    stream takes one at a time, so copies arrive in different batches."""
+def resent_events(spark, folder, run):
+    """All events in three slices by time, each followed by a slice that resends what came last in it. ``run`` starts a
+    job over the landing folder on one checkpoint. It runs once per slice, which it reads as one batch, in however many
+    files the slice was written: the watermark only moves past rows that have all been read."""
     events = tables.table(spark, folder, "events")
     path = run_folder(spark, "landing")
     first, last = (F.unix_seconds(f(F.col("ts").cast("timestamp"))) for f in (F.min, F.max))
     low, high = events.agg(first, last).first()
     edge = [low + (high + 1 - low) * i // 3 for i in range(4)]
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    for i in range(3):
-        events.filter((at >= edge[i]) & (at < edge[i + 1])).write.parquet(f"{path}/slice={2 * i}")
-        events.filter((at >= edge[i + 1] - 1800) & (at < edge[i + 1])).write.parquet(f"{path}/slice={2 * i + 1}")
-    return jobs.history_stream(spark, f"{path}/*", events.schema, files_per_batch=1)
+    starts = [s for i in range(3) for s in (edge[i], edge[i + 1] - 1800)]
+    for i, start in enumerate(starts):
+        events.filter((at >= start) & (at < edge[i // 2 + 1])).write.parquet(f"{path}/slice={i}")
+        run(jobs.history_stream(spark, f"{path}/*", events.schema)).awaitTermination()
 
 
 @query
 def stream_unique_requests(spark, folder):
-    unique = jobs.without_resends(resent_events(spark, folder), "event_id", "ts")
     base = run_folder(spark, "unique")
-    kept = unique.select(F.col("event_id").alias("request_id"), "ts")
-    jobs.append_to(kept, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+
+    def run(events):
+        unique = jobs.without_resends(events, "event_id", "ts")
+        kept = unique.select(F.col("event_id").alias("request_id"), "ts")
+        return jobs.append_to(kept, f"{base}/out", f"{base}/checkpoint")
+
+    resent_events(spark, folder, run)
     return spark.read.schema("request_id bigint, ts timestamp_ntz").parquet(f"{base}/out")
 
 
@@ -899,7 +904,6 @@ def stream_trip_insights(spark, folder):
     """Requests without resends, each micro-batch through the batch plan; rejects come back next to insights."""
     stops, flows = tables.stops(spark, folder), tables.flow_snapshots(spark, folder)
     hazards, profile = tables.incidents(spark, folder), route_profile(spark, folder)
-    events = jobs.without_resends(resent_events(spark, folder), "event_id", "ts")
 
     def transform(batch):
         asked = tables.requests_of(batch, tables.table(spark, folder, "supplier"))
@@ -914,7 +918,12 @@ def stream_trip_insights(spark, folder):
         return trips.select("request_id", "travel_minutes", "density", "savings_cents", "nudge"), rejected
 
     base = run_folder(spark, "insights")
-    jobs.per_batch(events, transform, f"{base}/accepted", f"{base}/rejected", f"{base}/checkpoint").awaitTermination()
+
+    def run(events):
+        unique = jobs.without_resends(events, "event_id", "ts")
+        return jobs.per_batch(unique, transform, f"{base}/accepted", f"{base}/rejected", f"{base}/checkpoint")
+
+    resent_events(spark, folder, run)
     schema = "request_id bigint, travel_minutes bigint, density string, savings_cents bigint, nudge string"
     accepted = spark.read.schema(schema).parquet(f"{base}/accepted/batch_id=*")
     rejected = spark.read.schema("request_id bigint, details string").json(f"{base}/rejected/batch_id=*")

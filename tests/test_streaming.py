@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from catalog.queries import QUERIES
@@ -69,3 +71,24 @@ def test_batch_plan_per_micro_batch_covers_every_request(spark, tmp_path):
     assert ok.select("batch_id").distinct().count() == 3
     assert ok.count() + bad.count() == tables.trip_requests(spark, SMALL).count()
 
+
+
+def in_unsorted_files(spark, folder, n):
+    """The small tables, with events dealt over n files that each span the whole time, the late rows first."""
+    folder.mkdir()
+    for table in Path(SMALL).glob("*.parquet"):
+        if table.stem != "events":
+            (folder / table.name).symlink_to(table)
+    events = tables.table(spark, SMALL, "events")
+    events.repartition(n, "event_id").sortWithinPartitions(F.desc("ts")).write.parquet(f"{folder}/events.parquet")
+    assert len(list((folder / "events.parquet").glob("part-*"))) == n
+    return str(folder)
+
+
+def test_requests_in_unsorted_files_all_come_out(spark, tmp_path):
+    folder = in_unsorted_files(spark, tmp_path / "in", 6)
+    unique = [r["request_id"] for r in QUERIES["stream_unique_requests"](spark, folder).collect()]
+    ids = [r["event_id"] for r in tables.table(spark, SMALL, "events").collect()]
+    assert sorted(unique) == sorted(ids)
+    insights = [r["request_id"] for r in QUERIES["stream_trip_insights"](spark, folder).collect()]
+    assert sorted(insights) == sorted(r["request_id"] for r in tables.trip_requests(spark, SMALL).collect())

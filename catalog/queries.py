@@ -860,7 +860,8 @@ def stream_of_events(spark, folder):
 
 @query
 def stream_hourly(spark, folder):
-    """Closed hours come from the stream; hours still open at the end of input are summed from its last hours."""
+    """Closed hours come from the stream, which takes the whole table as one batch; hours still open at the end of input
+    are summed from the table."""
     rows = stream_of_events(spark, folder).withColumn("ridership", F.floor("value").cast("bigint"))
     base = run_folder(spark, "hourly")
     totals = jobs.hourly_totals(rows, "event_type", "ts", "ridership")

@@ -36,18 +36,21 @@ def hourly_totals(rides: DataFrame, key: str, ts: str, y: str, lateness: str = L
     )
 
 
-def with_open_hours(closed: DataFrame, history: DataFrame, key: str, ts: str, y: str) -> DataFrame:
-    """Emitted hours, and those that were still open when the input ended, summed from the history after the last
-    emitted hour; ``closed`` tells them apart."""
-    last = closed.agg(F.max("hour").alias("last")).scalar()
-    hour = F.date_trunc("hour", F.col(ts).cast("timestamp")).cast("timestamp_ntz")
-    rest = history.withColumn("hour", hour).withColumn("_last", last)
-    open_ = (
-        rest.filter(F.col("_last").isNull() | (F.col("hour") > F.col("_last")))
-        .groupBy(F.col(key).alias("series_key"), "hour")
+def with_open_hours(closed: DataFrame, history: DataFrame, key: str, ts: str, y: str, lateness: str = LATENESS) -> DataFrame:
+    """Every hour of the history: those that the stream emitted, those still open when the input ended, and those that
+    it emitted too low or not at all because rows came after the watermark; sums are the history's wherever it has
+    rows. ``closed`` tells hours that the stream emitted or the watermark has passed from open ones."""
+    moment = F.col(ts).cast("timestamp")
+    passed = history.agg((F.date_trunc("millisecond", F.max(moment)) - F.expr(f"INTERVAL {lateness}")).alias("at")).scalar()
+    sums = (
+        history.filter(F.col(ts).isNotNull())
+        .groupBy(F.col(key).alias("series_key"), F.date_trunc("hour", moment).cast("timestamp_ntz").alias("hour"))
         .agg(F.sum(y).alias("y"))
     )
-    return closed.withColumn("closed", F.lit(True)).unionByName(open_.withColumn("closed", F.lit(False)))
+    both = closed.withColumn("emitted", F.lit(True)).unionByName(sums.withColumn("emitted", F.lit(False)))
+    whole = both.groupBy("series_key", "hour").agg(F.max_by("y", ~F.col("emitted")).alias("y"), F.max("emitted").alias("emitted"))
+    ended = F.col("hour").cast("timestamp") + F.expr("INTERVAL 1 hour") <= F.col("passed")
+    return whole.withColumn("passed", passed).select("series_key", "hour", "y", (F.col("emitted") | F.coalesce(ended, F.lit(False))).alias("closed"))
 
 
 def without_resends(requests: DataFrame, request_id: str, ts: str, lateness: str = LATENESS) -> DataFrame:

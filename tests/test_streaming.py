@@ -92,3 +92,26 @@ def test_requests_in_unsorted_files_all_come_out(spark, tmp_path):
     assert sorted(unique) == sorted(ids)
     insights = [r["request_id"] for r in QUERIES["stream_trip_insights"](spark, folder).collect()]
     assert sorted(insights) == sorted(r["request_id"] for r in tables.trip_requests(spark, SMALL).collect())
+
+
+def test_hours_are_whole_when_files_come_out_of_order(spark, tmp_path):
+    folder = in_unsorted_files(spark, tmp_path / "in", 6)
+    ridership = F.floor("value").cast("bigint")
+    stream = jobs.history_stream(spark, f"{folder}/events.parquet", tables.SCHEMAS["events"], files_per_batch=1)
+    totals = jobs.hourly_totals(stream.withColumn("ridership", ridership), "event_type", "ts", "ridership")
+    jobs.append_to(totals, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    emitted = spark.read.parquet(str(tmp_path / "out"))
+    history = tables.table(spark, folder, "events").withColumn("ridership", ridership)
+    got = jobs.with_open_hours(emitted, history, "event_type", "ts", "ridership").collect()
+    want = {(r["series_key"], r["ts"]): r["y"] for r in QUERIES["hourly_ridership"](spark, SMALL).collect()}
+    assert {(r["series_key"], r["hour"]): r["y"] for r in got} == want and len(got) == len(want)
+    assert {r["hour"] for r in got if r["closed"]} >= {r["hour"] for r in emitted.collect()}
+
+
+def test_stream_takes_a_history_of_many_files_as_one_batch(spark, rows, tmp_path):
+    landing = str(tmp_path / "in")
+    data = [("a", f"2024-01-{1 + i % 20:02d} 00:10:00", 1) for i in range(600)]
+    rows(data, SCHEMA).repartition(600).write.option("maxRecordsPerFile", 1).parquet(landing)
+    totals = jobs.hourly_totals(jobs.history_stream(spark, landing, SCHEMA), "k", "ts", "n")
+    jobs.append_to(totals, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert sorted(r["y"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [30] * 19

@@ -7,8 +7,8 @@ Seeds of the benchmark are joined with seeds of the documents; every hit names a
 which both align. Around it the aligned words are compared one by one: a document is contaminated by an item if some
 stretch of ``window`` aligned words (the whole item if it is shorter) agrees in at least ``least_share`` of them.
 
-Words are runs, in lower case, of letters, digits and characters beyond ASCII. Items of fewer than ``least_words``
-words, the span of the shortest mask, are not searched for.
+Words are runs of letters and digits of any script, in lower case. Items of fewer than ``least_words`` words, the span
+of the shortest mask, are not searched for.
 
 Results: one row per document and item that contaminates it, with the best diagonal. Null and empty texts match
 nothing. Rows repeated under one id count as one document, found if any of them is; a null id is an id like others.
@@ -38,7 +38,7 @@ PARAMS = SeedParams()
 
 
 def word_hashes(text: Column) -> Column:
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 

@@ -83,3 +83,41 @@ def test_query_over_whole_table(spark):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert {(r.doc_id, r.item_id) for r in frame.collect()} == brute(docs, load("benchmark"))
+
+
+def by_script(text):
+    """Runs of letters and digits of any script."""
+    return re.split(r"[\W_]+", (text or "").lower())
+
+
+PASSAGE = "don't stop the reader's well known way of asking what isn't said in one long and winding line of words that nobody else wrote down before"
+
+
+@pytest.mark.parametrize(
+    "copy",
+    [
+        PASSAGE.replace("'", "’"),
+        "“" + PASSAGE.replace(" ", "” “") + "”",
+        PASSAGE.replace(" ", "\u00a0"),
+        PASSAGE.replace(" ", "—"),
+        PASSAGE.replace(" ", "–"),
+        PASSAGE.replace(" ", " … "),
+    ],
+)
+def test_typographic_signs_part_words(spark, documents, copy):
+    bench = spark.createDataFrame([(7, PASSAGE)], "item_id bigint, text string")
+    (row,) = decontam.find(documents([(1, f"before it — {copy} — after it")]), bench).collect()
+    assert (row.doc_id, row.item_id, row.n_equal, row.best) == (1, 7, row.n_words, 1.0)
+    assert row.n_words == len(by_script(PASSAGE))
+
+
+def test_cjk_clauses_are_words(spark, documents):
+    item = "今天天气很好，我们去公园。他说了什么？没有人知道！明天再来，好不好？"
+    bench = spark.createDataFrame([(3, item)], "item_id bigint, text string")
+    docs = documents([(1, f"「开始」　{item}结束"), (2, "今天天气很好，结束")])
+    assert [(r.doc_id, r.n_words, r.best) for r in decontam.find(docs, bench).collect()] == [(1, 6, 1.0)]
+
+
+def test_query_over_whole_table_with_words_of_any_script(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "words", by_script)
+    test_query_over_whole_table(spark)

@@ -5,7 +5,8 @@ ordinary identifiers. Both are trained from labelled samples by counting transit
 patterns find are samples of random strings, all other runs of token characters are samples of ordinary ones. Counts
 cover the whole table; what reaches the driver is one number per pair of characters and label. A run of token
 characters that mixes letters and digits, overlaps no pattern's span and scores above a threshold becomes a span of
-kind ``markov``.
+kind ``markov``, however long it is. Only the content of an embedded image, sound, video or font, told by the ``data:``
+URI in front of it, is left alone if it is long.
 
 Results: null and empty texts have no spans. With an empty table both models are uniform and add nothing. Repeated
 rows and other columns of the input stay as they are.
@@ -40,6 +41,9 @@ STATES = len(ALPHABET) + 1
 _CLASS = np.zeros(256, np.int64)
 _CLASS[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, STATES)
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What stands in front of embedded media; no part of it is longer than ``_MEDIA_REACH``.
+_MEDIA = re.compile(r"data:(?:image|audio|video|font)/[A-Za-z0-9.+-]{1,80}(?:;[A-Za-z0-9=._-]{1,60}){0,2};base64,\Z", re.IGNORECASE)
+_MEDIA_REACH = 256
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 
 
@@ -50,7 +54,7 @@ class SecretParams:
     least_total: float = 24.0
     #: Weight of the uniform prior, in transitions per character.
     prior: float = 50.0
-    #: Runs longer than this are data (images, archives) rather than secrets.
+    #: Runs longer than this are data rather than secrets where a ``data:`` URI says that they are media.
     longest: int = 512
 
 
@@ -128,7 +132,9 @@ def find(text: str, models: Models, params: SecretParams = PARAMS) -> list[Span]
     for m in _TOKEN.finditer(text):
         token = m.group()
         size = len(token)
-        if size > params.longest or not (_DIGIT.search(token) and _LETTER.search(token)) or not is_free(*m.span()):
+        if not (_DIGIT.search(token) and _LETTER.search(token)) or not is_free(*m.span()):
+            continue
+        if size > params.longest and _MEDIA.search(text, max(0, m.start() - _MEDIA_REACH), m.start()):
             continue
         score = models.score(token)
         if score >= params.least_total and score >= params.least_per_char * size:

@@ -112,3 +112,32 @@ def test_queries_over_whole_table(spark, query, kinds):
         assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert [row[f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in want) for k in kinds]
         assert set(listed.split(",")) <= set(row.spans.split(","))
+
+
+def key_in_base64(n_bytes):
+    """A private key's text as one line of base64, as kubeconfig holds it."""
+    import base64
+
+    der = base64.b64encode(random.Random(5).randbytes(n_bytes)).decode()
+    lines = [der[i : i + 64] for i in range(0, len(der), 64)]
+    pem = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----", ""])
+    return base64.b64encode(pem.encode()).decode()
+
+
+def test_secrets_of_any_length_are_found(spark, documents):
+    models = secrets.train(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    markov = lambda text: [text[s:e] for k, s, e, _ in secrets.find(text, models) if k == "markov"]
+    key = key_in_base64(1190)
+    assert len(key) > 2000
+    assert markov(f"users:\n  client-key-data: {key}\n") == [key]
+    draw = random.Random(6)
+    for size in (512, 513, 5_000, 200_000):
+        bearer = "".join(draw.choice(secrets.ALPHABET[:62]) for _ in range(size))
+        assert markov(f"Authorization: Bearer {bearer}\nHost: a") == [bearer]
+        assert markov(f"see base64, {bearer}") == [bearer]
+        assert markov(f"data:application/x-pem-file;base64,{bearer}") == [bearer]
+        image = f'<img src="data:image/svg+xml;charset=utf-8;base64,{bearer}">'
+        assert markov(image) == ([bearer] if size <= 512 else [])
+    assert markov("my_variable_name_for_item_12_" * 100) == []
+    (row,) = secrets.redact(documents([(1, f"client-key-data: {key}")]), models=models).collect()
+    assert row.text == "client-key-data: [secret]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commutelens.llm import bpe, chat, decontam, ngram_join, pii, quality, secrets, shared, spans, suffix, topk, warc
+from commutelens.llm import bpe, chat, decontam, ngram_join, pieces, pii, quality, secrets, shared, spans, suffix, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -117,7 +117,20 @@ def op10_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_ngram_join": op6_ngram_join, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontam": op10_decontam}
+def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = table(spark, folder, "documents").select("doc_id", pieces.both_ways(F.col("text"), path).alias("c"))
+    return coded.select(
+        "doc_id",
+        F.size("c.ids").cast("bigint").alias("n_tokens"),
+        hex_digest(F.array_join(F.col("c.ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        hex_digest(F.col("c.decoded")).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_ngram_join": op6_ngram_join, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontam": op10_decontam, "op13_sentencepiece": op13_sentencepiece}
 ORACLES = {
     "op5_warc": """
 WITH p AS (

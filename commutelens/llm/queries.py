@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commutelens.llm import bpe, chat, decontam, ngram_join, pieces, pii, quality, secrets, shared, spans, suffix, topk, warc
+from commutelens.llm import bpe, chat, decontam, importance, lexical, ngram_join, pieces, pii, quality, secrets, shared, spans, suffix, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -117,6 +117,14 @@ def op10_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -130,7 +138,7 @@ def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_ngram_join": op6_ngram_join, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontam": op10_decontam, "op13_sentencepiece": op13_sentencepiece}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_ngram_join": op6_ngram_join, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontam": op10_decontam, "op11_lexical": op11_lexical, "op12_resample": op12_resample, "op13_sentencepiece": op13_sentencepiece}
 ORACLES = {
     "op5_warc": """
 WITH p AS (
@@ -186,5 +194,75 @@ WITH v AS (
   FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op11_lexical": """
+WITH x AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM x
+), c AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM w WHERE kind = 'd' AND len(w) > 0
+), t AS (
+  SELECT kind, id, term, count(*) AS tf FROM (SELECT kind, id, unnest(w) AS term FROM w) GROUP BY ALL
+), g AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM t, c WHERE kind = 'd' GROUP BY term, n_docs
+), m AS (
+  SELECT id, 25 + (75 * len(w) * n_docs) // n_terms AS m FROM w, c WHERE kind = 'd' AND len(w) > 0
+), s AS (
+  SELECT q.id AS item_id, d.id AS doc_id,
+    CAST(sum(q.tf * g.weight * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m.m))) AS BIGINT) AS score
+  FROM t q JOIN t d ON q.kind = 'b' AND d.kind = 'd' AND d.term = q.term JOIN g ON g.term = q.term JOIN m ON m.id = d.id
+  GROUP BY ALL
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+""",
+    "op12_resample": """
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), x AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM x
+), f AS (
+  SELECT kind, id, f, count(*) AS n FROM (
+    SELECT kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+      list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+    FROM w) GROUP BY ALL
+), b AS (
+  SELECT f, list_transform(range(CAST(strlen(f) AS BIGINT)), lambda i: CAST('0x' || substr(hex(f), 2 * i + 1, 2) AS BIGINT)) AS bytes
+  FROM (SELECT DISTINCT f FROM f)
+), h AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+    lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]))) % 10000 AS bucket
+  FROM b, crc
+), k AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t FROM f JOIN h USING (f) GROUP BY bucket
+), g AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM k) + 10000) AS DOUBLE)
+    / CAST((s + 1) * ((SELECT sum(t) FROM k) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM k
+), p AS (
+  SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight
+  FROM f JOIN h USING (f) JOIN g USING (bucket) WHERE kind = 'd' GROUP BY id
+), s AS (
+  SELECT w.id AS doc_id, len(w.w) >= 20 AS eligible, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN p ON p.id = w.id WHERE w.kind = 'd'
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY eligible) AS n FROM s
+)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN eligible AND place <= 5 * n // 100 THEN place END AS BIGINT) AS rank FROM r
 """,
 }

@@ -6,6 +6,7 @@ memory as one list of words.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 BLOCK_BYTES = 4_000_000
@@ -17,19 +18,14 @@ def _letter(byte: int) -> int:
 
 
 LETTERS = bytes(map(_letter, range(256)))
+SEPARATOR = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 
 
 def word_blocks(text: bytes | None, block: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
-    """Words in order, in lists; every list but the last holds at least ``block`` bytes of text."""
+    """Words in order, in lists; a list ends with the word that its last byte stands in."""
     text, at = text or b"", 0
     while at < len(text):
-        end = at + block
-        piece = text[at:end].translate(LETTERS)
-        # A block ends with its last whole word: read on until a sign that parts words.
-        while end < len(text) and piece[-1] != 32:
-            piece += text[end : end + 1024].translate(LETTERS)
-            end += 1024
-            if (cut := piece.rfind(b" ", block)) >= 0 and end < len(text):
-                end, piece = at + cut + 1, piece[: cut + 1]
-        yield piece.split()
+        part = SEPARATOR.search(text, at + block)
+        end = part.end() if part else len(text)
+        yield text[at:end].translate(LETTERS).split()
         at = end

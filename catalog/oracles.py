@@ -130,16 +130,21 @@ JOIN (SELECT series_key, hour(ts) AS phase, count(*) AS n, quantile_cont(y::DOUB
 PARTS["payment_forecast"] = seasonal_hours("payment_hours")
 PARTS["route_forecast"] = seasonal_hours("route_hours")
 
-PARTS["route_profile"] = """
-SELECT series_key, hour(ts) AS phase, CAST(floor(round(quantile_cont(y::DOUBLE, 0.5), 6)) AS BIGINT) AS prediction
-FROM route_hours WHERE ts < TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1, 2"""
+PARTS["riders_ahead"] = """
+SELECT route, hour(arrival_at) AS phase, CAST(requested_at AS DATE) AS day,
+       CAST(floor(round(quantile_cont(y::DOUBLE, 0.5), 6)) AS BIGINT) AS prediction
+FROM (SELECT DISTINCT route, arrival_at, requested_at FROM trips) JOIN route_hours
+  ON series_key = route AND hour(ts) = hour(arrival_at) AND ts < date_trunc('day', requested_at)
+GROUP BY ALL"""
 
 PARTS["bundle"] = """
-SELECT t.*, f.prediction AS predicted_riders, dep_mph, dep_free_mph, dst_mph, dst_free_mph, coalesce(i.n, 0) AS incidents
+SELECT t.*, f.prediction AS predicted_riders, dep_mph, dep_free_mph, dst_mph, dst_free_mph, coalesce(i.n, 0) AS incidents,
+       coalesce(by_category, '') AS by_category
 FROM trips t
-LEFT JOIN route_profile f ON f.series_key = t.route AND f.phase = hour(t.arrival_at) AND t.hours_ahead > 0
+LEFT JOIN riders_ahead f ON f.route = t.route AND f.phase = hour(t.arrival_at) AND f.day = CAST(t.requested_at AS DATE) AND t.hours_ahead > 0
 LEFT JOIN flow_found USING (request_id)
-LEFT JOIN (SELECT request_id, count(*) AS n FROM incident_pairs GROUP BY 1) i USING (request_id)"""
+LEFT JOIN (SELECT request_id, CAST(sum(n) AS BIGINT) AS n, string_agg(format('{:02d}:{}', kind, n), ',' ORDER BY kind) AS by_category
+           FROM (SELECT request_id, coalesce(icon_category, -1) AS kind, count(*) AS n FROM incident_pairs GROUP BY 1, 2) GROUP BY 1) i USING (request_id)"""
 
 PARTS["speeds"] = """
 SELECT *, CAST(floor(least(dep_mph * 100 / dep_free_mph, dst_mph * 100 / dst_free_mph)) AS BIGINT) AS flow_percent,
@@ -457,13 +462,10 @@ ORACLES["forecast_pooled"] = """
 SELECT hour(ts) AS phase, round(quantile_cont(y::DOUBLE, 0.5), 6) AS pooled_median, count(*) AS n_samples
 FROM rider_hours GROUP BY 1"""
 ORACLES["backtest_error"] = """
-WITH cut AS (SELECT CAST(max(ts) AS DATE) + 1 - d AS c FROM events, (SELECT unnest([1, 2, 3]) AS d) GROUP BY d),
-train AS (SELECT series_key, c, hour(ts) AS phase, quantile_cont(y::DOUBLE, [0.1, 0.5, 0.9]) AS q
-          FROM payment_hours, cut WHERE ts < c GROUP BY 1, 2, 3),
-res AS (SELECT date_diff('hour', CAST(h.c AS TIMESTAMP), ts) + 1 AS step, y::DOUBLE AS actual,
-               round(q[1], 6) AS q10, round(q[2], 6) AS q50, round(q[3], 6) AS q90
-        FROM (SELECT * FROM payment_hours, cut WHERE ts >= c AND ts < CAST(c AS TIMESTAMP) + INTERVAL 24 HOUR) h
-        JOIN train t ON t.series_key = h.series_key AND t.c = h.c AND t.phase = hour(h.ts))
+WITH past AS (SELECT hour(ts) + 1 AS step, y::DOUBLE AS actual, quantile_cont(y::DOUBLE, [0.1, 0.5, 0.9]) OVER (
+               PARTITION BY series_key, hour(ts) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q
+             FROM payment_hours),
+res AS (SELECT step, actual, round(q[1], 6) AS q10, round(q[2], 6) AS q50, round(q[3], 6) AS q90 FROM past WHERE q IS NOT NULL)
 SELECT step, count(*) AS n, round(avg((actual - q50) * (actual - q50)), 6) AS mse,
        round(avg(CASE WHEN actual <> 0 THEN abs(actual - q50) / abs(actual) END), 6) AS mape,
        round(avg(CASE WHEN actual BETWEEN q10 AND q90 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS coverage_80,
@@ -549,7 +551,7 @@ ORACLES["incidents_in_bbox"] = "SELECT * FROM incident_pairs"
 ORACLES["incident_categories"] = "SELECT request_id, icon_category, count(*) AS incidents FROM incident_pairs GROUP BY 1, 2"
 ORACLES["incident_load"] = "SELECT request_id, count(*) AS incidents FROM incident_pairs GROUP BY 1"
 ORACLES["trip_ridership"] = "SELECT request_id, route, hours_ahead, predicted_riders FROM bundle"
-ORACLES["traffic_bundle"] = "SELECT request_id, dep_mph, dst_mph, incidents, predicted_riders FROM bundle"
+ORACLES["traffic_bundle"] = "SELECT request_id, dep_mph, dst_mph, incidents, by_category, predicted_riders FROM bundle"
 ORACLES["trip_density"] = "SELECT request_id, flow_percent, incidents, density FROM scored"
 ORACLES["trip_travel_time"] = "SELECT request_id, miles, travel_minutes FROM scored"
 ORACLES["be_at_stop"] = """

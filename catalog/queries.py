@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,8 @@ from commutelens.functions import clock, jsons, money, numeric, wording
 from commutelens.operators import forecast, impact, insight, joins, quality, regression, rides, series
 from commutelens.plans import demand, trip_insight
 from commutelens.schemas import CORRUPT, INCIDENT_FEED, TRIP_REQUEST
-from commutelens.session import shared_folder
+from commutelens.session import new_folder as run_folder
+from commutelens.session import stage
 from commutelens.sources import readers, sinks, tables
 from commutelens.streaming import jobs
 
@@ -25,9 +25,6 @@ DAILY_HORIZON = 14
 PROJECTED_DAYS = 5
 FEATURES = ("click_pct", "error_pct", "signup_pct", "view_pct")
 TARGET = "purchase_total"
-BACKTEST_DAYS = (1, 2, 3)
-# First hour slot that trip requests do not know about: 2024-01-25 00:00.
-KNOWN_UNTIL = 19_747 * 24
 
 
 def query(build: Query) -> Query:
@@ -420,11 +417,7 @@ def forecast_pooled(spark, folder):
 @query
 def backtest_error(spark, folder):
     hourly = hours_by(spark, folder, "payment_method")
-    last_day = tables.table(spark, folder, "events").agg(F.max(clock.day_slot(F.col("ts"))).alias("d")).scalar()
-    cutoffs = F.transform(F.array(*[F.lit(d).cast("bigint") for d in BACKTEST_DAYS]), lambda d: (F.col("_last") + 1 - d) * 24)
-    origin = hourly.withColumn("_last", last_day)
-    results = forecast.backtest(origin, cutoffs, HORIZON, forecast.HOURLY_PERIOD)
-    return forecast.error_by_step(results)
+    return forecast.error_by_step(forecast.rolling_backtest(hourly, forecast.HOURLY_PERIOD))
 
 
 def rider_service(spark, folder, history, service):
@@ -494,12 +487,13 @@ def matched_trips(spark, folder):
 
 
 def route_profile(spark, folder):
-    return trip_insight.route_profile(hours_by(spark, folder, "bus_route"), KNOWN_UNTIL)
+    return trip_insight.route_profile(hours_by(spark, folder, "bus_route"))
 
 
 def bundled(spark, folder):
+    """Located trips feed four branches of the bundle, so they are written once."""
     return trip_insight.bundle(
-        matched_trips(spark, folder),
+        stage(matched_trips(spark, folder), run_folder(spark, "trips")),
         tables.flow_snapshots(spark, folder),
         tables.incidents(spark, folder),
         route_profile(spark, folder),
@@ -591,12 +585,14 @@ def trip_ridership(spark, folder):
 
 @query
 def traffic_bundle(spark, folder):
+    named = lambda e: F.format_string("%02d:%d", e["key"], e["value"])
     nested = trip_insight.nested_bundle(bundled(spark, folder))
     return nested.select(
         "request_id",
         F.col("traffic.flow.current.mph").alias("dep_mph"),
         F.col("traffic.flow.destination.mph").alias("dst_mph"),
-        F.col("traffic.incidents").alias("incidents"),
+        F.col("traffic.incidents.total").alias("incidents"),
+        F.array_join(F.array_sort(F.transform(F.map_entries("traffic.incidents.byCategory"), named)), ",").alias("by_category"),
         F.col("traffic.ridership.predictedHourly").alias("predicted_riders"),
     )
 
@@ -738,11 +734,6 @@ def cost_index_long(spark, folder):
 # --- files and services -------------------------------------------------------------------------------
 
 
-def run_folder(spark, name):
-    """One folder per run on shared storage; whoever runs the query removes it."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def hourly_files(spark, folder):
     """The ridership text as CSV files with two orders of columns; every 89th rider count is no number."""
     rows = tables.ridership_text(spark, folder).withColumn(

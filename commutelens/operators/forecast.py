@@ -45,6 +45,22 @@ def seasonal_profile(series: DataFrame, period: int) -> DataFrame:
     )
 
 
+def _with_past(series: DataFrame, period: int, last: int) -> DataFrame:
+    """Each row with the quantiles of its phase over the rows up to the one ``last`` places away. The window's state is a
+    count per value that grows with every row, so no row is copied for the versions that see it."""
+    so_far = W.partitionBy("series_key", "phase").orderBy("slot").rowsBetween(W.unboundedPreceding, last)
+    phased = series.withColumn("phase", F.pmod("slot", F.lit(period)))
+    return phased.withColumns({"band": _band(F.col("y").cast("double")).over(so_far), "n": F.count("y").over(so_far)})
+
+
+def profile_versions(series: DataFrame, period: int) -> DataFrame:
+    """Quantiles per (series, phase) as they were known over time: each version holds from slot ``since``, the start of the
+    season after the one that it last learned from, until the next one's."""
+    seen = _with_past(series, period, W.currentRow)
+    since = (F.floor(F.col("slot") / period) + 1) * period
+    return seen.select("series_key", "phase", since.alias("since"), "n", *_unpack("band"))
+
+
 def unroll(profile: DataFrame, horizon: int, period: int) -> DataFrame:
     """Profile to one row per step 1..horizon. Each phase lists its own steps, so no join is needed."""
     first = F.pmod(F.col("phase") - F.col("last_slot") - 1, F.lit(period)) + 1
@@ -231,6 +247,19 @@ def backtest(series: DataFrame, cutoffs: Column, horizon: int, period: int) -> D
     )
 
 
+def rolling_backtest(series: DataFrame, period: int) -> DataFrame:
+    """Forecasts from the start of every season, over one season, next to what happened; a season's first slot is step 1.
+    Rows without any earlier value at their phase have no forecast and are left out."""
+    past = _with_past(series, period, -1).filter(F.col("band").isNotNull())
+    return past.select(
+        "series_key",
+        (F.col("slot") - F.col("phase")).alias("cutoff"),
+        (F.col("phase") + 1).alias("step"),
+        F.col("y").cast("double").alias("actual"),
+        *_unpack("band"),
+    )
+
+
 def error_by_step(results: DataFrame) -> DataFrame:
     """Error of the median and coverage of the band for each step."""
     error = F.col("actual") - F.col("q50")

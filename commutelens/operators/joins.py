@@ -76,70 +76,48 @@ def as_of(
     fact_time: str,
     fact_id: str,
     values: Sequence[str],
-    bucket_minutes: int = 60,
-    fine_minutes: int = 1,
+    bucket_minutes: int = 1,
 ) -> DataFrame:
     """Each probe with the latest fact of its key at or before it; probes without one keep nulls.
 
-    A window over a whole key would put a hot key into one task, and a window over an hour a hot hour. Here the
-    timeline of a key is cut into buckets and those into fine buckets: each fine bucket's closing fact is aggregated
-    (map side first), carried forward over the buckets of its key and then over the fine buckets inside a bucket, and
-    enters the next fine bucket as its opening row. The sorted window then spans one fine bucket only, and the carry
-    windows see one row per bucket.
+    A window over a whole key would put a hot key into one task. Here a key's timeline is cut into buckets: each bucket's
+    closing fact is aggregated (map side first), carried forward over one row per bucket, and enters the next bucket as
+    its opening row. The sorted window then spans one bucket only, and the carry window grows with the time covered, not
+    with the number of facts.
     """
-
-    def buckets(time: str) -> dict[str, Column]:
-        return {
-            "_bucket": clock.minute_bucket(F.col(time), bucket_minutes),
-            "_fine": clock.minute_bucket(F.col(time), fine_minutes),
-        }
-
-    f = (
-        facts.filter(F.col(key).isNotNull() & F.col(fact_time).isNotNull())
-        .withColumns(buckets(fact_time))
-        .select(
-            F.col(key),
-            F.col(fact_time).alias("_t"),
-            F.col(fact_id).alias("_id"),
-            F.struct(F.col(fact_time).alias("fact_time"), *values).alias("_fact"),
-            "_bucket",
-            "_fine",
-        )
+    f = facts.filter(F.col(key).isNotNull() & F.col(fact_time).isNotNull()).select(
+        F.col(key),
+        clock.minute_bucket(F.col(fact_time), bucket_minutes).alias("_bucket"),
+        F.col(fact_time).alias("_t"),
+        F.col(fact_id).alias("_id"),
+        F.struct(F.col(fact_time).alias("fact_time"), *values).alias("_fact"),
     )
     probe_columns = [c for c in probes.columns if c != key]
-    p = probes.withColumns(buckets(probe_time)).select(
-        F.col(key), F.struct(*probe_columns).alias("_probe"), F.col(probe_time).alias("_t"), "_bucket", "_fine"
+    p = probes.select(
+        F.col(key),
+        clock.minute_bucket(F.col(probe_time), bucket_minutes).alias("_bucket"),
+        F.col(probe_time).alias("_t"),
+        F.struct(*probe_columns).alias("_probe"),
+    )
+    closings = f.groupBy(key, "_bucket").agg(F.max_by("_fact", F.struct("_t", "_id")).alias("_fact"), F.lit(False).alias("_asked"))
+    asked = p.select(key, "_bucket").distinct().withColumn("_asked", F.lit(True))
+    timeline = (
+        closings.unionByName(asked, allowMissingColumns=True)
+        .groupBy(key, "_bucket")
+        .agg(F.first("_fact", ignorenulls=True).alias("_fact"), F.max("_asked").alias("_asked"))
+    )
+    before = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    openings = timeline.withColumn("_fact", F.last("_fact", ignorenulls=True).over(before)).filter(
+        F.col("_asked") & F.col("_fact").isNotNull()
     )
-
-    def openings(closings: DataFrame, asked: DataFrame, within: list[str], order: str) -> DataFrame:
-        """The fact that is current when each asked bucket begins."""
-        timeline = (
-            closings.withColumn("_asked", F.lit(False))
-            .unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-            .groupBy(*within, order)
-            .agg(F.max("_asked").alias("_asked"), F.first("_fact", ignorenulls=True).alias("_fact"))
-        )
-        before = W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        current = timeline.withColumn("_fact", F.last("_fact", ignorenulls=True).over(before))
-        return current.filter(F.col("_asked") & F.col("_fact").isNotNull()).select(*within, order, "_fact")
-
-    fine = f.groupBy(key, "_bucket", "_fine").agg(F.max_by("_fact", F.struct("_t", "_id")).alias("_fact"))
-    coarse = fine.groupBy(key, "_bucket").agg(F.max_by("_fact", "_fine").alias("_fact"))
-    wanted = p.select(key, "_bucket", "_fine").distinct()
-    carried = openings(coarse, wanted.select(key, "_bucket").distinct(), [key], "_bucket")
-    # What a bucket opens with stands before its first fine bucket.
-    first = carried.withColumn("_fine", F.lit(None).cast("bigint"))
-    opening = openings(fine.unionByName(first), wanted, [key, "_bucket"], "_fine").drop("_bucket")
-
     rows = (
-        f.drop("_bucket")
-        .withColumn("_rank", F.lit(1))
-        .unionByName(opening.withColumn("_rank", F.lit(0)), allowMissingColumns=True)
-        .unionByName(p.drop("_bucket").withColumn("_rank", F.lit(2)), allowMissingColumns=True)
+        f.withColumn("_rank", F.lit(1))
+        .unionByName(openings.drop("_asked").withColumn("_rank", F.lit(0)), allowMissingColumns=True)
+        .unionByName(p.withColumn("_rank", F.lit(2)), allowMissingColumns=True)
     )
     # The opening row has no time and sorts first; at equal times facts come before probes.
     inside = (
-        W.partitionBy(key, "_fine")
+        W.partitionBy(key, "_bucket")
         .orderBy(F.col("_t").asc_nulls_first(), "_rank", "_id")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
@@ -180,15 +158,52 @@ def boxes_with_points(
     span = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
     ratio = span / F.lit(grid.base_degrees * grid.cells_per_axis)
     level = F.when(ratio <= 1, F.lit(0)).otherwise(F.least(F.lit(top), F.ceil(F.log2(ratio)).cast("int")))
+    valid = valid_points(points, valid_from, valid_to, grid)
+
+    def cells(low: str, high: str) -> Column:
+        level_ = F.col("_level")
+        return F.explode(F.sequence(_cell(F.col(low), level_, grid), _cell(F.col(high), level_, grid)))
+
+    box_rows = (
+        boxes_by_time(boxes.filter(F.col("south").isNotNull()).withColumn("_level", level), valid, moment, grid)
+        .withColumn("_x", cells("south", "north"))
+        .withColumn("_y", cells("west", "east"))
+    )
+    point_rows = (
+        points_by_time(valid, valid_from, valid_to, grid)
+        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+        .withColumn("_x", _cell(F.col("lat"), F.col("_level"), grid))
+        .withColumn("_y", _cell(F.col("lng"), F.col("_level"), grid))
+    )
+    on_key = ["_level", "_x", "_y", "_rung", "_bucket"]
+    return box_rows.join(point_rows, on_key).filter(is_inside(moment, valid_from, valid_to)).drop(*on_key)
+
+
+def is_inside(moment: str, valid_from: str, valid_to: str) -> Column:
+    """Whether the point lies in the box, edges included, and is valid at the box's moment."""
+    return (
+        F.col("lat").between(F.col("south"), F.col("north"))
+        & F.col("lng").between(F.col("west"), F.col("east"))
+        & (F.col(valid_from) <= F.col(moment))
+        & (F.col(valid_to).isNull() | (F.col(moment) < F.col(valid_to)))
+    )
+
+
+def valid_points(points: DataFrame, valid_from: str, valid_to: str, grid: GridParams = GRID) -> DataFrame:
+    """Points that are valid at some time, each with the time rung (``_rung``) on which it spans few buckets; those
+    without a known end, or valid for longer than two of the widest buckets, stand on a rung of their own."""
     minutes = (F.col(valid_to) - F.col(valid_from)).cast("interval minute").cast("bigint")
     last = len(grid.time_rungs_minutes) - 1
-    open_rung = last + 1
-    rung = F.when(minutes <= 2 * grid.time_rungs_minutes[last], F.lit(last)).otherwise(F.lit(open_rung))
+    rung = F.when(minutes <= 2 * grid.time_rungs_minutes[last], F.lit(last)).otherwise(F.lit(last + 1))
     for i in range(last - 1, -1, -1):
         rung = F.when(minutes <= grid.time_rungs_minutes[i], F.lit(i)).otherwise(rung)
     has_time = F.col(valid_to).isNull() | (F.col(valid_to) > F.col(valid_from))
-    valid_points = points.filter(F.col(valid_from).isNotNull() & has_time).withColumn("_rung", rung)
+    return points.filter(F.col(valid_from).isNotNull() & has_time).withColumn("_rung", rung)
+
 
+def boxes_by_time(boxes: DataFrame, valid: DataFrame, moment: str, grid: GridParams = GRID) -> DataFrame:
+    """Boxes once per rung that some point uses, with the bucket of their moment there."""
+    open_rung = len(grid.time_rungs_minutes)
     rungs = F.array(
         *[
             F.struct(F.lit(i).alias("_rung"), clock.minute_bucket(F.col(moment), m).alias("_bucket"))
@@ -196,38 +211,18 @@ def boxes_with_points(
         ],
         F.struct(F.lit(open_rung).alias("_rung"), F.lit(0).cast("bigint").alias("_bucket")),
     )
-    used = valid_points.agg(F.collect_set("_rung").alias("used")).scalar()
+    used = valid.agg(F.collect_set("_rung").alias("used")).scalar()
+    listed = F.inline(F.filter(rungs, lambda r: F.array_contains("_used", r["_rung"])))
+    return boxes.withColumn("_used", used).select("*", listed).drop("_used")
 
-    def cells(low: str, high: str) -> Column:
-        level_ = F.col("_level")
-        return F.explode(F.sequence(_cell(F.col(low), level_, grid), _cell(F.col(high), level_, grid)))
 
-    box_rows = (
-        boxes.filter(F.col("south").isNotNull())
-        .withColumns({"_level": level, "_used": used})
-        .select("*", F.inline(F.filter(rungs, lambda r: F.array_contains("_used", r["_rung"]))))
-        .drop("_used")
-        .withColumn("_x", cells("south", "north"))
-        .withColumn("_y", cells("west", "east"))
-    )
+def points_by_time(valid: DataFrame, valid_from: str, valid_to: str, grid: GridParams = GRID) -> DataFrame:
+    """Valid points once per bucket of their rung that they are valid in."""
 
     def buckets(edge: str) -> Column:
         value = F.lit(0).cast("bigint")
-        for i in range(last, -1, -1):
+        for i in range(len(grid.time_rungs_minutes) - 1, -1, -1):
             value = F.when(F.col("_rung") == i, clock.minute_bucket(F.col(edge), grid.time_rungs_minutes[i])).otherwise(value)
         return value
 
-    point_rows = (
-        valid_points.withColumn("_bucket", F.explode(F.sequence(buckets(valid_from), buckets(valid_to))))
-        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top))))
-        .withColumn("_x", _cell(F.col("lat"), F.col("_level"), grid))
-        .withColumn("_y", _cell(F.col("lng"), F.col("_level"), grid))
-    )
-    on_key = ["_level", "_x", "_y", "_rung", "_bucket"]
-    exact = (
-        F.col("lat").between(F.col("south"), F.col("north"))
-        & F.col("lng").between(F.col("west"), F.col("east"))
-        & (F.col(valid_from) <= F.col(moment))
-        & (F.col(valid_to).isNull() | (F.col(moment) < F.col(valid_to)))
-    )
-    return box_rows.join(point_rows, on_key).filter(exact).drop(*on_key)
+    return valid.withColumn("_bucket", F.explode(F.sequence(buckets(valid_from), buckets(valid_to))))

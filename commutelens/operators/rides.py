@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from commutelens.session import new_folder, stage
+
 
 def first_k(rides: DataFrame, group: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """First k rows per group; Spark cuts each task's rows to k per group before the shuffle."""
@@ -15,10 +19,6 @@ def first_k(rides: DataFrame, group: Sequence[str], order: Sequence[str], k: int
     return rides.withColumn("position", rank).filter(F.col("position") <= k)
 
 
-def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> list:
-    return [left[c].eqNullSafe(right[f"_{c}"]) for c in columns]
-
-
 def following(
     rides: DataFrame,
     group: Sequence[str],
@@ -26,39 +26,42 @@ def following(
     row_id: str,
     payload: Sequence[str],
     k: int,
-    rows_per_block: int = 1 << 16,
+    ranges: int | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Each row with the next ``k`` rows of its group in (order, id) order, as array ``next_rides``.
 
-    Ids are integers, of any size and however spaced. A group may hold a third of all rows, so its ordering is cut
-    into blocks of equal ``order`` value and a range of ids whose width follows from the least and greatest id and
-    the number of rows there. One window finds the successors inside each block. Only rows at a block's edges (its
-    first and last k) meet in a second window over the group: the successors of a last row are exactly the rows that
-    follow it there. All other rows are moved once.
+    A group may hold a third of all rows, so rows are dealt to ranges of (group, order, id), which cut any group, and
+    written once with the number of their range; ``rides`` is evaluated for that and never again. One window finds the
+    successors inside a group's part of a range. The last k rows there go on in a halo: the first k rows of the group's
+    parts after it, of which there is one row per part.
+
+    ``ranges`` is the number of ranges, or the session's number of shuffle partitions. The written rows lie in
+    ``folder``, or in a new folder on shared storage; whoever owns the run removes it.
     """
-    key = [*group, order]
-    low, high = F.min(row_id).cast("double"), F.max(row_id).cast("double")
-    width = F.greatest(F.lit(1.0), (high - low + 1) * F.lit(float(rows_per_block)) / F.count(F.lit(1)))
-    spans = rides.groupBy(*key).agg(low.alias("_low"), width.alias("_width"))
-    spans = spans.select(*[F.col(c).alias(f"_{c}") for c in key], "_low", "_width")
-    place = F.floor((F.col(row_id).cast("double") - F.col("_low")) / F.col("_width")).cast("bigint")
-    blocked = rides.join(spans, _same(rides, spans, key)).select(*rides.columns, place.alias("_block"))
+    key = [*group, order, row_id]
+    dealt = rides.repartitionByRange(ranges, *key) if ranges else rides.repartitionByRange(*key)
+    rows = stage(dealt.withColumn("_range", F.spark_partition_id()), folder or new_folder(rides.sparkSession, "following"))
 
-    block = [*key, "_block"]
-    in_block = W.partitionBy(*block).orderBy(row_id)
+    part = [*group, "_range"]
     item = F.struct(F.col(row_id), F.col(order), *payload)
-    rows = blocked.withColumns(
-        {
-            "_position": F.row_number().over(in_block),
-            "_size": F.count(F.lit(1)).over(W.partitionBy(*block)),
-            "_inside": F.collect_list(item).over(in_block.rowsBetween(1, k)),
-        }
+    inside = W.partitionBy(*part).orderBy(order, row_id).rowsBetween(1, k)
+    placed = rows.withColumn("_inside", F.collect_list(item).over(inside))
+
+    first = F.row_number().over(W.partitionBy(*part).orderBy(order, row_id))
+    heads = (
+        rows.select(*part, row_id, order, *[c for c in payload if c not in key])
+        .withColumn("_place", first)
+        .filter(F.col("_place") <= k)
+        .groupBy(*part)
+        .agg(F.array_sort(F.collect_list(F.struct("_place", item.alias("item")))).alias("_head"))
+    )
+    # Every part has a row, so k parts after this one hold k rows.
+    after = W.partitionBy(*group).orderBy("_range").rowsBetween(1, k)
+    halo = heads.select(
+        *[F.col(c).alias(f"_of_{c}") for c in part],
+        F.slice(F.flatten(F.collect_list(F.transform("_head", lambda h: h["item"])).over(after)), 1, k).alias("_halo"),
     )
-    is_last = F.col("_size") - F.col("_position") < k
-    at_edge = (F.col("_position") <= k) | is_last
-    across = W.partitionBy(*group).orderBy(order, "_block", row_id).rowsBetween(1, k)
-    edges = rows.filter(at_edge).withColumn("_across", F.collect_list(item).over(across))
-    ends = edges.withColumn("next_rides", F.when(is_last, F.col("_across")).otherwise(F.col("_inside")))
-    inner = rows.filter(~at_edge).withColumn("next_rides", F.col("_inside"))
-    names = [*rides.columns, "next_rides"]
-    return ends.select(*names).unionByName(inner.select(*names))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part])
+    both = F.slice(F.concat("_inside", F.coalesce("_halo", F.array().cast(halo.schema["_halo"].dataType))), 1, k)
+    return placed.join(halo, same, "left").select(*rides.columns, both.alias("next_rides"))

@@ -43,6 +43,15 @@ class GridParams:
     time_rungs_minutes: tuple[int, ...] = (120, 1440, 46080)
 
 
+@dataclass(frozen=True)
+class SumGridParams:
+    """Layout of the box sums: cells of one size, runs of 1, 2, 4 ... cells, and the buckets of running totals."""
+
+    cell_degrees: float = 0.025
+    heights: int = 4
+    bucket_minutes: int = 60
+
+
 @dataclass(frozen=True)
 class FallbackParams:
     """Deterministic stand-in level for a series without history."""
@@ -89,4 +98,5 @@ BUS_COST_INDEX = {
 
 TRIP = TripParams()
 GRID = GridParams()
+SUM_GRID = SumGridParams()
 EMISSION = EmissionParams()

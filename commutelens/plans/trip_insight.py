@@ -6,11 +6,13 @@ then looked up for what is left, each keyed by request, and joined one to one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commutelens.functions import geo, jsons, money, numeric
-from commutelens.operators import forecast, insight, joins, quality, rides
+from commutelens.functions import clock, geo, jsons, money, numeric
+from commutelens.operators import boxsums, forecast, insight, joins, quality, rides
 from commutelens.params import TRIP, TripParams
 from commutelens.schemas import INCIDENT_FEED, TRIP_REQUEST
 from commutelens.session import stage
@@ -63,45 +65,68 @@ def with_box(trips: DataFrame) -> DataFrame:
     return trips.withColumns(geo.bounding_box(F.col("dep_lat"), F.col("dep_lng"), F.col("dst_lat"), F.col("dst_lng")))
 
 
-def flow_at_endpoints(trips: DataFrame, flows: DataFrame, bucket_minutes: int = 60, fine_minutes: int = 1) -> DataFrame:
-    """Speed last seen at both ends of each trip: one as-of join over both ends, then one row per request."""
+def _flows_by_side(trips: DataFrame, flows: DataFrame) -> DataFrame:
+    """(request_id, side, mph, free_mph): speed last seen at both ends of each trip, by one as-of join."""
     ends = F.array(
         F.struct(F.lit("dep").alias("side"), F.col("dep_id").alias("stop_id")),
         F.struct(F.lit("dst").alias("side"), F.col("dst_id").alias("stop_id")),
     )
     probes = trips.select("request_id", "requested_at", F.inline(ends))
-    found = joins.as_of(probes, flows, "stop_id", "requested_at", "observed_at", "flow_id", ["mph", "free_mph"], bucket_minutes, fine_minutes)
+    found = joins.as_of(probes, flows, "stop_id", "requested_at", "observed_at", "flow_id", ["mph", "free_mph"])
+    return found.select("request_id", "side", "mph", "free_mph")
 
-    def at(side: str, value: str, name: str):
-        return F.max(F.when(F.col("side") == side, F.col(value))).alias(name)
 
-    return found.groupBy("request_id").agg(
-        at("dep", "mph", "dep_mph"),
-        at("dep", "free_mph", "dep_free_mph"),
-        at("dst", "mph", "dst_mph"),
-        at("dst", "free_mph", "dst_free_mph"),
-    )
+def _both_sides() -> list:
+    return [
+        F.max(F.when(F.col("side") == side, F.col(value))).alias(f"{side}_{value}")
+        for side in ("dep", "dst")
+        for value in ("mph", "free_mph")
+    ]
+
+
+def flow_at_endpoints(trips: DataFrame, flows: DataFrame) -> DataFrame:
+    """Speed last seen at both ends of each trip, one row per request."""
+    return _flows_by_side(trips, flows).groupBy("request_id").agg(*_both_sides())
 
 
 def incidents_on_way(trips: DataFrame, incidents: DataFrame) -> DataFrame:
-    boxes = with_box(trips).select("request_id", "requested_at", "south", "west", "north", "east")
-    return joins.boxes_with_points(boxes, incidents, "requested_at", "valid_from", "valid_to")
+    return joins.boxes_with_points(_way(trips), incidents, "requested_at", "valid_from", "valid_to")
 
 
 def incident_load(trips: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Number of incidents per request.
+    """Number of incidents per request that meets any.
 
-    A polled feed reports the same incident again and again: equal places and times are counted before the
-    join. After it the sums are partial before the shuffle, so pairs are never moved.
+    A polled feed reports the same incident again and again: equal places and times are counted first.
     """
-    counted = incidents.groupBy("lat", "lng", "valid_from", "valid_to").agg(F.count(F.lit(1)).alias("n"))
-    return incidents_on_way(trips, counted).groupBy("request_id").agg(F.sum("n").alias("incidents"))
+    counted = incidents.groupBy("lat", "lng", "valid_from", "valid_to").agg(F.count(F.lit(1)).alias("incidents"))
+    return boxsums.totals_in_boxes(_way(trips), counted, "request_id", "requested_at", "valid_from", "valid_to", ["incidents"])
+
+
+#: Categories that are counted in one go, a column each.
+CATEGORIES_AT_ONCE = 32
+
+
+def _counts_by_category(trips: DataFrame, incidents: DataFrame) -> DataFrame:
+    """(request_id, counts: array of category and number). Categories are a feed's few codes; their list is read first."""
+    kinds = [r[0] for r in incidents.select("icon_category").distinct().orderBy("icon_category").collect()]
+    found = []
+    for at in range(0, max(1, len(kinds)), CATEGORIES_AT_ONCE):
+        names = {f"_n{i}": F.lit(kind).cast("bigint") for i, kind in enumerate(kinds[at : at + CATEGORIES_AT_ONCE] or [None])}
+        is_kind = {n: F.col("icon_category").eqNullSafe(kind) for n, kind in names.items()}
+        counted = incidents.groupBy("lat", "lng", "valid_from", "valid_to").agg(*[F.count_if(c).alias(n) for n, c in is_kind.items()])
+        totals = boxsums.totals_in_boxes(_way(trips), counted, "request_id", "requested_at", "valid_from", "valid_to", list(names))
+        each = F.array(*[F.struct(kind.alias("icon_category"), F.col(n).alias("incidents")) for n, kind in names.items()])
+        found.append(totals.select("request_id", F.filter(each, lambda c: c["incidents"] > 0).alias("counts")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def incident_categories(trips: DataFrame, incidents: DataFrame) -> DataFrame:
     """Number of incidents per request and icon category, counted like ``incident_load``."""
-    counted = incidents.groupBy("lat", "lng", "valid_from", "valid_to", "icon_category").agg(F.count(F.lit(1)).alias("n"))
-    return incidents_on_way(trips, counted).groupBy("request_id", "icon_category").agg(F.sum("n").alias("incidents"))
+    return _counts_by_category(trips, incidents).select("request_id", F.inline("counts"))
+
+
+def _way(trips: DataFrame) -> DataFrame:
+    return with_box(trips).select("request_id", "requested_at", "south", "west", "north", "east")
 
 
 def feed_incidents(feeds: DataFrame, feed: str = "feed") -> DataFrame:
@@ -117,29 +142,55 @@ def feed_incidents(feeds: DataFrame, feed: str = "feed") -> DataFrame:
     )
 
 
-def route_profile(history: DataFrame, known_until: int | None = None) -> DataFrame:
-    """Riders to expect per route and hour of day, from an hourly series; ``known_until`` is the first hour slot that
-    is not known yet when requests are answered."""
-    known = history if known_until is None else history.filter(F.col("slot") < known_until)
-    return forecast.seasonal_profile(known, forecast.HOURLY_PERIOD)
+def route_profile(history: DataFrame) -> DataFrame:
+    """Riders to expect per route and hour of day as known from each day on, from an hourly series."""
+    return forecast.profile_versions(history, forecast.HOURLY_PERIOD)
+
+
+def _riders(trips: DataFrame, profile: DataFrame) -> DataFrame:
+    """(request_id, predicted_riders) of requests that look ahead, from the days before the request's own."""
+    at = lambda route, phase: F.concat_ws("/", F.lpad(phase.cast("string"), 2, "0"), route)
+    facts = profile.select(
+        at(F.col("series_key"), F.col("phase")).alias("route_hour"),
+        clock.hour_of_slot(F.col("since")).alias("known_from"),
+        "since",
+        numeric.downward(F.col("q50")).alias("predicted_riders"),
+    )
+    probes = trips.filter((F.col("hours_ahead") > 0) & F.col("route").isNotNull()).select(
+        "request_id", "requested_at", at(F.col("route"), F.hour("arrival_at")).alias("route_hour")
+    )
+    found = joins.as_of(probes, facts, "route_hour", "requested_at", "known_from", "since", ["predicted_riders"], 1440)
+    return found.select("request_id", "predicted_riders")
 
 
 def ridership_ahead(trips: DataFrame, profile: DataFrame) -> DataFrame:
     """Riders expected on the request's route at its arrival hour; nothing is looked up for an arrival within the hour."""
-    expected = profile.select("series_key", "phase", numeric.downward(F.col("q50")).alias("predicted_riders"))
-    ahead = (
-        (F.col("route") == F.col("series_key")) & (F.hour("arrival_at") == F.col("phase")) & (F.col("hours_ahead") > 0)
-    )
-    return trips.join(expected, ahead, "left").drop("series_key", "phase")
+    return trips.join(_riders(trips, profile), "request_id", "left")
 
 
 def bundle(trips: DataFrame, flows: DataFrame, incidents: DataFrame, profile: DataFrame) -> DataFrame:
-    """Matched trips with flow at both ends, incident count and expected riders."""
+    """Matched trips with flow at both ends, incidents by category and in all, and expected riders.
+
+    What the lookups find is keyed by request, put under the trips and folded in one aggregation, so each of them moves
+    once and no join follows another. ``request_id`` is unique. Incidents without a category count under -1.
+    """
+    names = [c for c in trips.columns if c != "request_id"]
+    trip = trips.select("request_id", F.struct(*names).alias("trip"))
+    kinds = F.transform("counts", lambda c: F.struct(F.coalesce(c["icon_category"], F.lit(-1).cast("bigint")), c["incidents"]))
+    counts = _counts_by_category(trips, incidents).select("request_id", kinds.alias("kinds"))
+    parts = (trip, _flows_by_side(trips, flows), counts, _riders(trips, profile))
+    all_parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    folded = all_parts.groupBy("request_id").agg(
+        F.first("trip", ignorenulls=True).alias("trip"),
+        F.max("predicted_riders").alias("predicted_riders"),
+        *_both_sides(),
+        F.flatten(F.collect_list("kinds")).alias("kinds"),
+    )
+    by_category = F.map_from_entries("kinds")
+    total = F.aggregate(F.map_values("incidents_by_category"), F.lit(0).cast("bigint"), lambda a, n: a + n)
     return (
-        ridership_ahead(trips, profile)
-        .join(flow_at_endpoints(trips, flows), "request_id", "left")
-        .join(incident_load(trips, incidents), "request_id", "left")
-        .withColumn("incidents", F.coalesce("incidents", F.lit(0).cast("bigint")))
+        folded.select("request_id", "trip.*", "predicted_riders", *[f"{s}_{v}" for s in ("dep", "dst") for v in ("mph", "free_mph")], by_category.alias("incidents_by_category"))
+        .withColumn("incidents", total)
     )
 
 
@@ -152,7 +203,7 @@ def nested_bundle(bundled: DataFrame) -> DataFrame:
                 F.struct(F.col("dep_mph").alias("mph"), F.col("dep_free_mph").alias("free_mph")).alias("current"),
                 F.struct(F.col("dst_mph").alias("mph"), F.col("dst_free_mph").alias("free_mph")).alias("destination"),
             ).alias("flow"),
-            F.col("incidents"),
+            F.struct(F.col("incidents").alias("total"), F.col("incidents_by_category").alias("byCategory")).alias("incidents"),
             F.struct(F.col("predicted_riders").alias("predictedHourly")).alias("ridership"),
         ).alias("traffic"),
     )
@@ -175,14 +226,14 @@ def complete_rides(trips: DataFrame) -> DataFrame:
     return quality.complete(trips, ["travel_minutes", "density"])
 
 
-def with_other_rides(trips: DataFrame, params: TripParams = TRIP) -> DataFrame:
+def with_other_rides(trips: DataFrame, params: TripParams = TRIP, folder: str | None = None) -> DataFrame:
     """Runner-ups per trip: the next slower rides to the same stop in the same traffic class.
 
     Trips that are no complete rides have no runner-ups and are nobody's: without a traffic class they only
     share a group with their like, and a zero travel time sorts before every real one.
     """
     ranked = rides.following(
-        trips, ["dst_id", "density"], "travel_minutes", "request_id", ["arrive_by"], params.runner_ups
+        trips, ["dst_id", "density"], "travel_minutes", "request_id", ["arrive_by"], params.runner_ups, folder=folder
     )
     is_ride = quality.truthy(trips, "travel_minutes") & quality.truthy(trips, "density")
     return ranked.withColumn("next_rides", F.when(is_ride, F.col("next_rides")))
@@ -212,11 +263,11 @@ def insights_of(
 ) -> DataFrame:
     """Located trips to scored trips.
 
-    Located trips feed three lookups and a profile is few rows out of a long history. A caller that names a shared
-    folder has both written there once; without one the plan stays lazy. Results are the same.
+    Located trips feed three lookups. A caller that names a shared folder has them written there once; without one the
+    plan stays lazy. Results are the same.
     """
     if folder:
-        matched_trips, profile = stage(matched_trips, f"{folder}/trips"), stage(profile, f"{folder}/profile")
+        matched_trips = stage(matched_trips, f"{folder}/trips")
     return scored(bundle(matched_trips, flows, incidents, profile), params)
 
 

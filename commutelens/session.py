@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -43,6 +45,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run, on shared storage; whoever runs the job removes it."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, path: str) -> DataFrame:
     """Writes an intermediate that several branches of a plan read, and returns the written table.
 

@@ -123,3 +123,13 @@ def test_service_answers_every_request(rows):
     assert by_text["24"][1]["prediction"] == 6 and by_text["24"][1]["hours_future"] == 24
     assert 30 <= by_text["2"][1]["prediction"] < 70
     assert by_text["x"][0] and by_text["x"][1]["hours_requested"] == "x"
+
+
+def test_rolling_backtest_sees_only_earlier_days(rows):
+    data = [("a", day * 24 + hour, 10 * day + hour) for day in (0, 1, 2, 4) for hour in (0, 5)] + [("b", 24 + 5, 1)]
+    got = forecast.rolling_backtest(rows(data, SERIES), 24).collect()
+    assert {(r["series_key"], r["cutoff"], r["step"]): (r["actual"], r["q50"]) for r in got} == {
+        ("a", day * 24, hour + 1): (10.0 * day + hour, past + hour) for day, past in ((1, 0.0), (2, 5.0), (4, 10.0)) for hour in (0, 5)
+    }
+    versions = forecast.profile_versions(rows(data, SERIES), 24).filter("series_key = 'a' AND phase = 5").orderBy("since").collect()
+    assert [(r["since"], r["q50"], r["n"]) for r in versions] == [(24, 5.0, 1), (48, 10.0, 2), (72, 15.0, 3), (120, 20.0, 4)]

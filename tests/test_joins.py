@@ -9,9 +9,9 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
-from commutelens.operators import joins, rides
+from commutelens.operators import boxsums, joins, rides
 from commutelens.plans import trip_insight
-from commutelens.params import GridParams
+from commutelens.params import GridParams, SumGridParams
 
 START = datetime(2024, 1, 1)
 
@@ -91,17 +91,68 @@ def test_boxes_without_coordinates_match_nothing(rows):
     assert joins.boxes_with_points(b, p, "asked", "since", "until").count() == 0
 
 
-@pytest.mark.parametrize("rows_per_block", [1, 2, 5, 1 << 16])
+@pytest.mark.parametrize("grid", [SumGridParams(), SumGridParams(0.3, 3, 5), SumGridParams(2.0, 1, 100_000)])
+def test_box_totals_equal_brute_force(rows, grid):
+    b, p, truth = incident_case(rows, random.Random(11))
+    got = boxsums.totals_in_boxes(b, p.withColumns({"one": F.lit(1), "id": F.col("pid") - 40}), "bid", "asked", "since", "until", ["one", "id"], grid)
+    want = {}
+    for box, point in truth:
+        n, total = want.get(box, (0, 0))
+        want[box] = (n + 1, total + point - 40)
+    assert {r["bid"]: (r["one"], r["id"]) for r in got.collect()} == {i: v for i, v in want.items() if v != (0, 0)}
+
+
+def test_box_totals_without_coordinates_moments_and_points(rows):
+    b = rows(
+        [(1, "2024-01-01 00:00:00", None, 0.0, 1.0, 1.0), (2, None, 0.0, 0.0, 1.0, 1.0), (3, "2024-01-01 00:00:00", 0.0, 0.0, 1.0, 1.0)],
+        "bid bigint, asked timestamp_ntz, south double, west double, north double, east double",
+    )
+    schema = "lat double, lng double, since timestamp_ntz, until timestamp_ntz, n bigint"
+    data = [(0.5, 0.5, "2023-01-01 00:00:00", None, 2), (0.5, 0.5, None, None, 7), (None, 0.5, "2023-01-01 00:00:00", None, 9), (0.5, 0.5, "2024-01-01 00:00:00", "2024-01-01 00:00:00", 5)]
+    total = lambda points: boxsums.totals_in_boxes(b, rows(points, schema), "bid", "asked", "since", "until", ["n"]).collect()
+    assert [tuple(r) for r in total(data)] == [(3, 2)]
+    assert total([]) == []
+
+
+def test_inner_rectangles_of_a_box_make_no_pairs(rows, monkeypatch):
+    """Boxes and points that all meet: pairs are made along the edges only."""
+    made = []
+    monkeypatch.setattr(joins, "is_inside", lambda *names: F.lit(True))
+    b = rows([(i, "2024-01-02 00:00:00", 0.01, 0.01, 1.59, 1.59) for i in range(40)], "bid bigint, asked timestamp_ntz, south double, west double, north double, east double")
+    p = rows([(0.03 + 0.01 * (i % 150), 0.03 + 0.01 * (i // 2), "2024-01-01 00:00:00", "2024-01-03 00:00:00", 1) for i in range(300)], "lat double, lng double, since timestamp_ntz, until timestamp_ntz, n bigint")
+    union = type(b).unionByName
+    monkeypatch.setattr(type(b), "unionByName", lambda self, other, **k: made.append(other) or union(self, other, **k))
+    got = boxsums.totals_in_boxes(b, p, "bid", "asked", "since", "until", ["n"]).collect()
+    pairs = made[-1].count()
+    assert len(got) == 40 and all(r["n"] == 300 for r in got) and pairs < 40 * 300 / 5
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 40])
 @pytest.mark.parametrize("spread", ["dense", "sparse", "hashed"])
-def test_following_equals_brute_force_in_a_hot_group(rows, rows_per_block, spread):
+def test_following_equals_brute_force_in_a_hot_group(rows, ranges, spread):
     rng = random.Random(5)
     ids = {"dense": range(200), "sparse": range(-(10**9), 10**9, 10**7), "hashed": [rng.randrange(-(2**63), 2**63) for _ in range(200)]}
-    data = [(i, 1 if rng.random() < 0.6 else rng.randrange(5), rng.randrange(6), f"n{i}") for i in ids[spread]]
-    got = rides.following(rows(data, "id bigint, g bigint, o bigint, name string"), ["g"], "o", "id", ["name"], 3, rows_per_block)
-    result = {r["id"]: [x["id"] for x in r["next_rides"]] for r in got.collect()}
+    data = [(i, None if rng.random() < 0.1 else 1 if rng.random() < 0.6 else rng.randrange(5), rng.choice([None, 1, 2, 3, 4, 5]), f"n{i}") for i in ids[spread]]
+    got = rides.following(rows(data, "id bigint, g bigint, o bigint, name string"), ["g"], "o", "id", ["name"], 3, ranges)
+    result = {r["id"]: [(x["id"], x["name"]) for x in r["next_rides"]] for r in got.collect()}
+    place = lambda o, i: (o is not None, o or 0, i)
     for i, g, o, _ in data:
-        later = sorted((o2, i2) for i2, g2, o2, _ in data if g2 == g and (o2, i2) > (o, i))
-        assert result[i] == [i2 for _, i2 in later[:3]]
+        later = sorted(place(o2, i2) for i2, g2, o2, _ in data if g2 == g and place(o2, i2) > place(o, i))
+        assert result[i] == [(i2, f"n{i2}") for _, _, i2 in later[:3]]
+    assert len(result) == len(data)
+
+
+def test_following_evaluates_its_input_once(rows):
+    runs = rows([], "x int").sparkSession.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(x):
+        runs.add(1)
+        return x
+
+    data = rows([(i, 1, i % 5) for i in range(100)], "id bigint, g bigint, o bigint").select("id", "g", seen.asNondeterministic()("o").alias("o"))
+    assert rides.following(data.repartition(1), ["g"], "o", "id", [], 2, 4).count() == 100
+    assert runs.value <= 200  # the range partitioning's sample and the write
 
 
 def test_open_ended_points_are_found(rows):

@@ -113,11 +113,45 @@ def test_ride_list_text(rows):
     assert df.select(insight.ride_list_text(F.slice("r", 1, 0))).first()[0] is None
 
 
-def test_no_forecast_lookup_within_the_hour(rows):
-    trips = rows([(1, "R1", 0), (2, "R1", 3), (3, "R9", 3)], "request_id bigint, route string, hours_ahead bigint")
-    steps = rows([("R1", 0, 99), ("R1", 3, 7)], "series_key string, step bigint, prediction bigint")
-    got = {r["request_id"]: r["predicted_riders"] for r in trip_insight.ridership_ahead(trips, steps).collect()}
-    assert got == {1: None, 2: 7, 3: None}
+def test_riders_are_those_known_on_the_day_of_the_request(rows):
+    day = 19_723 * 24  # 2024-01-01
+    history = rows(
+        [("R1", day + 9, 10), ("R1", day + 24 + 9, 20), ("R1", day + 48 + 9, 90), ("R1", day + 10, 7)], "series_key string, slot bigint, y bigint"
+    )
+    trips = rows(
+        [
+            (1, "R1", "2024-01-03 08:00:00", "2024-01-03 09:30:00", 1),  # two days known: median of 10 and 20
+            (2, "R1", "2024-01-09 08:00:00", "2024-01-09 09:30:00", 1),  # all three
+            (3, "R1", "2024-01-01 23:00:00", "2024-01-02 09:30:00", 10),  # nothing before its own day
+            (4, "R1", "2024-01-09 09:00:00", "2024-01-09 09:30:00", 0),  # within the hour
+            (5, "R9", "2024-01-09 08:00:00", "2024-01-09 09:30:00", 1),
+            (6, None, "2024-01-09 08:00:00", "2024-01-09 09:30:00", 1),
+            (7, "R1", "2024-01-02 00:00:00", "2024-01-02 10:00:00", 10),
+        ],
+        "request_id bigint, route string, requested_at timestamp_ntz, arrival_at timestamp_ntz, hours_ahead bigint",
+    )
+    profile = trip_insight.route_profile(history)
+    got = {r["request_id"]: r["predicted_riders"] for r in trip_insight.ridership_ahead(trips, profile).collect()}
+    assert got == {1: 15, 2: 20, 3: None, 4: None, 5: None, 6: None, 7: 7}
+
+
+def test_bundle_folds_what_was_found_under_each_request(rows):
+    at = "2024-01-05 10:00:00"
+    trips = rows(
+        [(1, at, "2024-01-05 12:00:00", 2, "R1", 1, 2, 1.0, 1.0, 2.0, 2.0), (2, at, "2024-01-05 12:00:00", 2, "R2", 3, 3, 8.0, 8.0, 9.0, 9.0)],
+        "request_id bigint, requested_at timestamp_ntz, arrival_at timestamp_ntz, hours_ahead bigint, route string, dep_id bigint, dst_id bigint, "
+        "dep_lat double, dep_lng double, dst_lat double, dst_lng double".replace(", ", ","),
+    )
+    flows = rows([(1, 1, "2024-01-05 09:00:00", 20, 40), (2, 1, "2024-01-05 11:00:00", 1, 40), (3, 2, "2024-01-04 09:00:00", 30, 40)], "flow_id bigint,stop_id bigint,observed_at timestamp_ntz,mph bigint,free_mph bigint")
+    schema = "lat double,lng double,valid_from timestamp_ntz,valid_to timestamp_ntz,icon_category bigint"
+    hazards = rows([(1.5, 1.5, "2024-01-05 09:00:00", None, 3)] * 2 + [(1.0, 2.0, "2024-01-05 09:00:00", "2024-01-05 10:30:00", None), (1.5, 1.5, "2024-01-05 11:00:00", None, 4)], schema)
+    profile = trip_insight.route_profile(rows([("R1", 19_724 * 24 + 12, 33)], "series_key string,slot bigint,y bigint"))
+    got = {r["request_id"]: r for r in trip_insight.bundle(trips, flows, hazards, profile).collect()}
+    assert (got[1]["dep_mph"], got[1]["dst_mph"], got[1]["predicted_riders"]) == (20, 30, 33)
+    assert got[1]["incidents"] == 3 and got[1]["incidents_by_category"] == {3: 2, -1: 1} and got[1]["route"] == "R1"
+    assert (got[2]["dep_mph"], got[2]["incidents"], got[2]["incidents_by_category"], got[2]["predicted_riders"]) == (None, 0, {}, None)
+    nothing = trip_insight.bundle(trips, flows.limit(0), hazards.limit(0), profile.limit(0)).collect()
+    assert len(nothing) == 2 and all(r["incidents"] == 0 for r in nothing)
 
 
 def test_standard_commute_emissions(rows):

@@ -576,6 +576,20 @@ def incident_load(spark, folder):
     return trip_insight.incident_load(matched_trips(spark, folder), tables.incidents(spark, folder))
 
 
+@query
+def flow_nearest(spark, folder):
+    """Traffic at places that are no stops: at the stop nearest to each."""
+    e = F.col("request_id")
+    asked = tables.trip_requests(spark, folder).select(
+        "request_id",
+        "requested_at",
+        (F.lit(32.5) + (e * 17 % 8000) * F.lit(0.0001)).alias("lat"),
+        (F.lit(-80.3) + (e * 29 % 6000) * F.lit(0.0001)).alias("lng"),
+    )
+    found = trip_insight.flow_at_points(asked, tables.stops(spark, folder), tables.flow_snapshots(spark, folder))
+    return found.select("request_id", "stop_id", "degrees", "mph", "free_mph")
+
+
 @query
 def trip_ridership(spark, folder):
     return trip_insight.ridership_ahead(matched_trips(spark, folder), route_profile(spark, folder)).select(
@@ -851,15 +865,11 @@ def stream_of_events(spark, folder):
 
 @query
 def stream_hourly(spark, folder):
-    """Closed hours come from the stream, which takes the whole table as one batch; hours still open at the end of input
-    are summed from the table."""
+    """All hours come from what the stream wrote, batch by batch."""
     rows = stream_of_events(spark, folder).withColumn("ridership", F.floor("value").cast("bigint"))
     base = run_folder(spark, "hourly")
-    totals = jobs.hourly_totals(rows, "event_type", "ts", "ridership")
-    jobs.append_to(totals, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    closed = spark.read.schema("series_key string, hour timestamp_ntz, y bigint").parquet(f"{base}/out")
-    history = tables.table(spark, folder, "events").withColumn("ridership", F.floor("value").cast("bigint"))
-    return jobs.with_open_hours(closed, history, "event_type", "ts", "ridership")
+    jobs.sums_by_batch(rows, "event_type", "ts", "ridership", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return jobs.hours_so_far(spark, f"{base}/out").drop("corrected")
 
 
 def resent_events(spark, folder, run):

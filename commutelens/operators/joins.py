@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from commutelens.functions import clock
-from commutelens.params import GRID, GridParams
+from commutelens.params import GRID, NEAR_GRID, GridParams, NearGridParams
 
 
 def endpoints(requests: DataFrame, stops: DataFrame) -> DataFrame:
@@ -226,3 +226,49 @@ def points_by_time(valid: DataFrame, valid_from: str, valid_to: str, grid: GridP
         return value
 
     return valid.withColumn("_bucket", F.explode(F.sequence(buckets(valid_from), buckets(valid_to))))
+
+
+def degrees_apart(lat: Column, lng: Column, other_lat: Column, other_lng: Column) -> Column:
+    """Distance in degrees of latitude over a flat earth around the first point, to nine places."""
+    across = (other_lng - lng) * F.cos(F.radians(lat))
+    return F.round(F.sqrt(F.pow(other_lat - lat, F.lit(2)) + F.pow(across, F.lit(2))), 9)
+
+
+def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str, grid: NearGridParams = NEAR_GRID) -> DataFrame:
+    """Each point with the id of the place nearest to it by ``degrees_apart`` (``degrees``), the smallest id among equals.
+
+    Both have ``lat, lng``. Points and places lie on grids of cells that double in size. A point first finds the finest
+    grid on which the nine cells around it hold any place; that place is at most 2.9 cells away, so the nearest one lies
+    in the nine cells of a grid with cells of that size, wider still where meridians lie close. The first step joins with
+    the occupied cells only, the second with places; both are equi-joins, and places at one spot count as one.
+
+    Points without a coordinate, or within a degree of a pole, and points of an empty table of places get nulls; the date
+    line is not crossed. ``point_id`` is unique.
+    """
+    spots = places.filter("lat IS NOT NULL AND lng IS NOT NULL").groupBy("lat", "lng").agg(F.min(place_id).alias("_place"))
+    levels = F.sequence(F.lit(0), F.lit(grid.levels - 1))
+
+    def cell(x: str) -> Column:
+        # Doubling is exact, so a cell lies in one cell of every wider grid.
+        return F.floor(F.col(x) / (F.lit(grid.cell_degrees) * F.pow(F.lit(2.0), F.col("_level")))).cast("bigint")
+
+    def on_levels(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_level", F.explode(levels)).withColumns({"_x": cell("lat"), "_y": cell("lng")})
+
+    def around(frame: DataFrame) -> DataFrame:
+        sides = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        near = frame.select("*", F.inline(sides))
+        return near.withColumns({"_x": cell("lat") + F.col("_i"), "_y": cell("lng") + F.col("_j")}).drop("_i", "_j")
+
+    key = ["_level", "_x", "_y"]
+    located = points.filter(F.abs("lat") < 89).filter(F.col("lng").isNotNull()).select(point_id, "lat", "lng")
+    occupied = on_levels(spots).select(*key).distinct()
+    finest = around(located.withColumn("_level", F.explode(levels))).join(occupied, key).groupBy(point_id, "lat", "lng").agg(F.min("_level").alias("_level"))
+    narrow = F.ceil(-F.log2(F.cos(F.radians("lat")))).cast("int")
+    wide = finest.withColumn("_level", F.least(F.col("_level") + 2 + narrow, F.lit(grid.levels - 1)))
+    listed = on_levels(spots.withColumnsRenamed({"lat": "_lat", "lng": "_lng"}).withColumns({"lat": F.col("_lat"), "lng": F.col("_lng")})).drop("lat", "lng")
+    pairs = around(wide).join(listed, key)
+    apart = degrees_apart(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng"))
+    best = pairs.groupBy(point_id).agg(F.min(F.struct(apart.alias("degrees"), "_place")).alias("_best"))
+    found = best.select(point_id, F.col("_best._place").alias(place_id), "_best.degrees")
+    return points.join(found, point_id, "left")

@@ -52,6 +52,14 @@ class SumGridParams:
     bucket_minutes: int = 60
 
 
+@dataclass(frozen=True)
+class NearGridParams:
+    """Layout of the nearest-place join: the finest cells, and how often they double; the widest ones hold half the globe."""
+
+    cell_degrees: float = 0.01
+    levels: int = 16
+
+
 @dataclass(frozen=True)
 class FallbackParams:
     """Deterministic stand-in level for a series without history."""
@@ -99,4 +107,5 @@ BUS_COST_INDEX = {
 TRIP = TripParams()
 GRID = GridParams()
 SUM_GRID = SumGridParams()
+NEAR_GRID = NearGridParams()
 EMISSION = EmissionParams()

@@ -89,6 +89,13 @@ def flow_at_endpoints(trips: DataFrame, flows: DataFrame) -> DataFrame:
     return _flows_by_side(trips, flows).groupBy("request_id").agg(*_both_sides())
 
 
+def flow_at_points(points: DataFrame, stops: DataFrame, flows: DataFrame) -> DataFrame:
+    """Points with ``request_id, requested_at, lat, lng``, each with its nearest stop (``stop_id``, ``degrees`` away) and
+    the speed last seen there; nulls where a point has no place or the stop no observation."""
+    near = joins.nearest(points, stops.select("stop_id", "lat", "lng"), "request_id", "stop_id")
+    return joins.as_of(near, flows, "stop_id", "requested_at", "observed_at", "flow_id", ["mph", "free_mph"]).drop("fact_time")
+
+
 def incidents_on_way(trips: DataFrame, incidents: DataFrame) -> DataFrame:
     return joins.boxes_with_points(_way(trips), incidents, "requested_at", "valid_from", "valid_to")
 

@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from commutelens.functions import clock
+
 LATENESS = "1 hour"
 
 
@@ -36,21 +39,37 @@ def hourly_totals(rides: DataFrame, key: str, ts: str, y: str, lateness: str = L
     )
 
 
-def with_open_hours(closed: DataFrame, history: DataFrame, key: str, ts: str, y: str, lateness: str = LATENESS) -> DataFrame:
-    """Every hour of the history: those that the stream emitted, those still open when the input ended, and those that
-    it emitted too low or not at all because rows came after the watermark; sums are the history's wherever it has
-    rows. ``closed`` tells hours that the stream emitted or the watermark has passed from open ones."""
-    moment = F.col(ts).cast("timestamp")
-    passed = history.agg((F.date_trunc("millisecond", F.max(moment)) - F.expr(f"INTERVAL {lateness}")).alias("at")).scalar()
-    sums = (
-        history.filter(F.col(ts).isNotNull())
-        .groupBy(F.col(key).alias("series_key"), F.date_trunc("hour", moment).cast("timestamp_ntz").alias("hour"))
-        .agg(F.sum(y).alias("y"))
-    )
-    both = closed.withColumn("emitted", F.lit(True)).unionByName(sums.withColumn("emitted", F.lit(False)))
-    whole = both.groupBy("series_key", "hour").agg(F.max_by("y", ~F.col("emitted")).alias("y"), F.max("emitted").alias("emitted"))
-    ended = F.col("hour").cast("timestamp") + F.expr("INTERVAL 1 hour") <= F.col("passed")
-    return whole.withColumn("passed", passed).select("series_key", "hour", "y", (F.col("emitted") | F.coalesce(ended, F.lit(False))).alias("closed"))
+def sums_by_batch(rides: DataFrame, key: str, ts: str, y: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Hourly sums of each micro-batch, in a folder of its own that a repeated batch overwrites, over everything available
+    now. No state is kept and no row is too late: a row that comes after its hour was answered is a correction in the
+    batch that brings it. ``hours_so_far`` merges the batches."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.filter(F.col(ts).isNotNull()).groupBy(F.col(key).alias("series_key"), clock.hour_floor(F.col(ts)).alias("hour"))
+        parts = sums.agg(F.sum(y).alias("y"), F.max(ts).alias("latest"))
+        parts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return rides.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def hours_so_far(spark: SparkSession, path: str, lateness: str = LATENESS) -> DataFrame:
+    """(series_key, hour, y, closed, corrected) from what the stream wrote, and from nothing else.
+
+    ``closed`` tells hours that ended at least ``lateness`` before the latest row so far; ``corrected`` those that a later
+    batch added to after an earlier one had closed them. Keys may be null.
+    """
+    schema = "series_key string, hour timestamp_ntz, y bigint, latest timestamp_ntz, batch_id bigint"
+    parts = spark.read.schema(schema).parquet(path)
+    delay = F.expr(f"INTERVAL {lateness}")
+    reached = parts.groupBy("batch_id").agg((F.date_trunc("millisecond", F.max("latest")) - delay).cast("timestamp_ntz").alias("reached"))
+    # One row per batch: what the stream had passed when the batch began, and by now.
+    earlier = W.orderBy("batch_id").rowsBetween(W.unboundedPreceding, -1)
+    passed = reached.select("batch_id", F.max("reached").over(earlier).alias("passed"))
+    ends = F.col("hour") + F.expr("INTERVAL 1 hour")
+    late = F.coalesce(ends <= F.col("passed"), F.lit(False))
+    whole = parts.join(passed, "batch_id").groupBy("series_key", "hour").agg(F.sum("y").alias("y"), F.max(late).alias("corrected"))
+    now = reached.agg(F.max("reached")).scalar()
+    return whole.select("series_key", "hour", "y", F.coalesce(ends <= now, F.lit(False)).alias("closed"), "corrected")
 
 
 def without_resends(requests: DataFrame, request_id: str, ts: str, lateness: str = LATENESS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from commutelens.operators import boxsums, joins, rides
 from commutelens.plans import trip_insight
-from commutelens.params import GridParams, SumGridParams
+from commutelens.params import GridParams, NearGridParams, SumGridParams
 
 START = datetime(2024, 1, 1)
 
@@ -213,3 +214,30 @@ def test_feed_text_reaches_the_box_join(rows):
     trips = rows([(1, "2024-05-02 00:00:00", 1.0, 2.0, 2.0, 3.0)], "request_id bigint, requested_at timestamp_ntz, dep_lat double, dep_lng double, dst_lat double, dst_lng double")
     got = trip_insight.incident_categories(trips, trip_insight.feed_incidents(feeds)).collect()
     assert [tuple(r) for r in got] == [(1, 7, 1)]
+
+
+@pytest.mark.parametrize("grid", [NearGridParams(), NearGridParams(3.0, 8), NearGridParams(0.001, 20)])
+def test_nearest_place_equals_brute_force(rows, grid):
+    rng = random.Random(2)
+    spot = lambda: (rng.uniform(-80, 80), rng.uniform(-170, 170)) if rng.random() < 0.3 else (40 + rng.random(), -75 + rng.random())
+    places = [(i, *spot()) for i in range(120)]
+    places += [(i + 500, lat, lng) for i, lat, lng in places[:20]] + [(900, None, 1.0), (901, 41.0, 5.0), (899, 41.0, 7.0)]
+    points = [(i, *spot()) for i in range(200)] + [(300, 41.0, 6.0), (301, None, 1.0), (302, 1.0, None), (303, 89.5, 0.0), (304, *places[3][1:])]
+    got = joins.nearest(rows(points, "pid bigint, lat double, lng double"), rows(places, "sid bigint, lat double, lng double"), "pid", "sid", grid)
+
+    def expected(lat, lng):
+        if lat is None or lng is None or abs(lat) >= 89:
+            return None
+        apart = lambda a, b: round(math.sqrt((a - lat) ** 2 + ((b - lng) * math.cos(math.radians(lat))) ** 2), 9)
+        return min((apart(a, b), sid) for sid, a, b in places if a is not None)[1]
+
+    result = {r["pid"]: r["sid"] for r in got.collect()}
+    assert result == {pid: expected(lat, lng) for pid, lat, lng in points}
+    assert result[300] == 899
+
+
+def test_nearest_of_no_places(rows):
+    points = rows([(1, 1.0, 2.0)], "pid bigint, lat double, lng double")
+    places = rows([], "sid bigint, lat double, lng double")
+    assert [(r["sid"], r["degrees"]) for r in joins.nearest(points, places, "pid", "sid").collect()] == [(None, None)]
+    assert joins.nearest(points.limit(0), places, "pid", "sid").count() == 0

@@ -107,7 +107,7 @@ def test_envelopes(rows, tmp_path, spark):
 
 def test_insights_and_errors_round_trip(spark, tmp_path):
     requests, stops = tables.trip_requests(spark, SMALL), tables.stops(spark, SMALL)
-    no_forecast = spark.createDataFrame([], "series_key string, phase bigint, q50 double")
+    no_forecast = spark.createDataFrame([], "series_key string, phase bigint, since bigint, q50 double")
     trips = trip_insight.insights(
         requests, stops, tables.flow_snapshots(spark, SMALL), tables.incidents(spark, SMALL), no_forecast
     )
@@ -158,7 +158,7 @@ def test_from_files_to_insights(spark, rows, tmp_path):
     oak, elm = place(32.5, -80.5), place(32.75, -80.25)
     bodies = [body % (oak, elm, "18:30"), body % (oak, place(1, 1), "09:00"), body % ("{}", elm, "09:00"), body % (oak, elm, "soon")]
     asked = rows(
-        [(i, "2024-01-01 08:00:00", 5, "L7", b) for i, b in enumerate(bodies)],
+        [(i, "2024-01-02 08:00:00", 5, "L7", b) for i, b in enumerate(bodies)],
         "request_id bigint, requested_at timestamp_ntz, rider_id bigint, route string, body string",
     )
     accepted, errors = trip_insight.locate_bodies(asked, stops)

@@ -554,9 +554,9 @@ WITH asked AS (
 near AS (
   SELECT request_id, requested_at, min((round(sqrt(pow(s.lat - a.lat, 2) + pow((s.lng - a.lng) * cos(radians(a.lat)), 2)), 9), stop_id)) AS best
   FROM asked a, stop_dim s GROUP BY ALL),
-at AS (SELECT request_id, requested_at, best[1] AS degrees, best[2] AS stop_id FROM near)
+placed AS (SELECT request_id, requested_at, best[1] AS degrees, best[2] AS stop_id FROM near)
 SELECT request_id, a.stop_id, degrees, mph, free_mph
-FROM at a ASOF LEFT JOIN flow_facts f ON a.stop_id = f.stop_id AND a.requested_at >= f.observed_at"""
+FROM placed a ASOF LEFT JOIN flow_facts f ON a.stop_id = f.stop_id AND a.requested_at >= f.observed_at"""
 ORACLES["incidents_in_bbox"] = "SELECT * FROM incident_pairs"
 ORACLES["incident_categories"] = "SELECT request_id, icon_category, count(*) AS incidents FROM incident_pairs GROUP BY 1, 2"
 ORACLES["incident_load"] = "SELECT request_id, count(*) AS incidents FROM incident_pairs GROUP BY 1"

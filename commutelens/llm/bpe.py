@@ -9,7 +9,8 @@ encoding is valid if and only if all neighbours are, the longest suffix token th
 leaves behind is the last token of the prefix.
 
 Results: null text encodes to an empty list and decodes to an empty string; so does empty text. Strings of special
-tokens inside a text become those tokens. Repeated rows and other columns of the input stay as they are.
+tokens inside a text become those tokens. Repeated rows and other columns of the input stay as they are;
+a column that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations

@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from commutelens.llm.components import components
-from commutelens.llm.shared import written
+from commutelens.llm.shared import unused, written
 
 
 @dataclass(frozen=True)
@@ -430,6 +430,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
 
 def one_of_each(docs: DataFrame, params: JoinParams = PARAMS) -> DataFrame:
     """Keeps, of every group of linked documents, the one with the smallest id; rows without id stay."""
-    kept = classes(docs, params=params).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    single = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    name = unused(docs, "kept_id")
+    kept = classes(docs, params=params).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    single = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(name), "left_semi")
     return single.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -10,8 +10,8 @@ Merges take the highest score first and the leftmost among equals; signs outside
 
 Results: null and empty texts have no ids and decode to an empty string. A text gets the model's dummy prefix; U+2581 in a
 text counts as a space, as in the library. Control pieces decode to nothing, the unknown piece to its surface, bytes that
-are no UTF-8 to one U+FFFD each; ids outside the model raise. Repeated rows stay; other columns stay too, except that a
-column with the name of a result (``ids``, ``text`` of ``decode``) is refused with ValueError.
+are no UTF-8 to one U+FFFD each; ids outside the model raise. Repeated rows and other columns stay as they are;
+a column that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -256,15 +256,9 @@ def both_ways(text: Column | str, path: str) -> Column:
     return F.arrow_udf(there_and_back, "struct<ids:array<int>,decoded:string>")(text)
 
 
-def _with_new(df: DataFrame, name: str, values: Column) -> DataFrame:
-    if name.lower() in map(str.lower, df.columns):
-        raise ValueError(f"the frame has a column {name} already")
-    return df.withColumn(name, values)
-
-
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids") -> DataFrame:
-    return _with_new(df, ids, encoded(F.col(text), path))
+    return df.withColumn(ids, encoded(F.col(text), path))
 
 
 def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
-    return _with_new(df, text, decoded(F.col(ids), path))
+    return df.withColumn(text, decoded(F.col(ids), path))

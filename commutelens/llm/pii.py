@@ -7,7 +7,8 @@ it came from. Identifiers found in the rewritten text are mapped back to source
 and contain something rewritten are added with ``base`` false.
 
 Results: null and empty texts have no spans. Spans of one kind never overlap plain spans of any kind when added.
-Repeated rows and other columns of the input stay as they are.
+Repeated rows and other columns of the input stay as they are;
+a column that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -111,11 +112,14 @@ _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase|ät)", r"(?:dot|punkt|punto|point)"
 _OPEN, _CLOSE = r"[\(\[\{<]", r"[\)\]\}>]"
 _AT = rf"(?:\x20?{_OPEN}\x20?(?:{_AT_WORD}|@)\x20?{_CLOSE}\x20?|\x20@\x20?|@\x20|\x20-?{_AT_WORD}-?\x20|_{_AT_WORD}_|-{_AT_WORD}-)"
 _DOT = rf"(?:\x20?{_OPEN}\x20?(?:{_DOT_WORD}|\.)\x20?{_CLOSE}\x20?|\x20{_DOT_WORD}\x20|_{_DOT_WORD}_|-{_DOT_WORD}-|\x20\.\x20?)"
-_LABEL = r"[A-Za-z0-9-]{1,63}?"
+# A hyphen or underscore that begins a dot or at in words is no part of a label, so a text splits in one way only.
+_WORDS = rf"(?:{_DOT_WORD}|{_AT_WORD})"
+_LABEL = rf"(?:[A-Za-z0-9]|-(?!{_WORDS}-)){{1,63}}+"
+_LOCAL = rf"(?:[A-Za-z0-9%+]|_(?!{_WORDS}_)|-(?!{_WORDS}-)){{1,64}}+"
 #: Local part, a disguised or plain at, labels with disguised or plain dots. One of both must be in disguise.
 _DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]{{1,64}}?(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]{{1,64}}?){{0,3}})"
-    rf"(?P<at>{_AT}|@)(?P<domain>{_LABEL}(?:(?:\.|{_DOT}){_LABEL}){{0,3}}(?:\.|{_DOT})(?!{_DOT_WORD}\b)[A-Za-z]{{2,24}})(?![A-Za-z0-9_])",
+    rf"(?<![A-Za-z0-9._%+-])(?P<local>{_LOCAL}(?:(?:\.|{_DOT}){_LOCAL})*+)"
+    rf"(?P<at>{_AT}|@)(?P<domain>{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*(?:\.|{_DOT})(?!{_DOT_WORD}\b)[A-Za-z]{{2,24}})(?![A-Za-z0-9_])",
     re.IGNORECASE,
 )
 _MAYBE_DISGUISED = re.compile(rf"{_OPEN}\x20?(?:{_AT_WORD}|@|{_DOT_WORD}|\.)\x20?{_CLOSE}|[\x20_-]{_DOT_WORD}[\x20_-]|\x20@|@\x20|\x20\.[A-Za-z]", re.IGNORECASE)

@@ -14,7 +14,8 @@ and ids are never among them. Fitting uses at most ``sample`` positives and ``sa
 smallest hash of their id; scoring covers every row.
 
 Results: null and empty texts have the features of an empty text and a score like any other. Without any positive label
-every row scores 0.5. Rows repeated under one id and other columns stay as they are.
+every row scores 0.5. Rows repeated under one id and other columns stay as they are; a column
+that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations

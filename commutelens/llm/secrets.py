@@ -6,10 +6,11 @@ patterns find are samples of random strings, all other runs of token characters
 cover the whole table; what reaches the driver is one number per pair of characters and label. A run of token
 characters that mixes letters and digits, overlaps no pattern's span and scores above a threshold becomes a span of
 kind ``markov``, however long it is. Only the content of an embedded image, sound, video or font, told by the ``data:``
-URI in front of it, is left alone if it is long.
+URI in front of it, is left alone, at any length as well.
 
 Results: null and empty texts have no spans. With an empty table both models are uniform and add nothing. Repeated
-rows and other columns of the input stay as they are.
+rows and other columns of the input stay as they are;
+a column that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -54,8 +55,6 @@ class SecretParams:
     least_total: float = 24.0
     #: Weight of the uniform prior, in transitions per character.
     prior: float = 50.0
-    #: Runs longer than this are data rather than secrets where a ``data:`` URI says that they are media.
-    longest: int = 512
 
 
 PARAMS = SecretParams()
@@ -134,7 +133,7 @@ def find(text: str, models: Models, params: SecretParams = PARAMS) -> list[Span]
         size = len(token)
         if not (_DIGIT.search(token) and _LETTER.search(token)) or not is_free(*m.span()):
             continue
-        if size > params.longest and _MEDIA.search(text, max(0, m.start() - _MEDIA_REACH), m.start()):
+        if _MEDIA.search(text, max(0, m.start() - _MEDIA_REACH), m.start()):
             continue
         score = models.score(token)
         if score >= params.least_total and score >= params.least_per_char * size:

@@ -99,3 +99,9 @@ def test_one_of_each_and_empty_table(documents):
 def test_query_over_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert sorted(map(tuple, op6_ngram_join(spark, SMALL).collect()), key=repr) == brute(rows, 4, 85)
+
+
+def test_columns_named_like_the_join_s_own(documents):
+    docs = documents([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")]).withColumnRenamed("lang", "kept_id")
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]

@@ -9,7 +9,9 @@ With a prefix longer by k - 1 tokens similar sets share at least k tokens of the
 Documents that share a prefix token go to the token's leader, the smallest id among them. Most tokens of a group of
 copies have the same leader, so a document travels to few leaders rather than once per token. A document
 stays away from leaders with which it shares fewer than k tokens, unless so many of its tokens are spread that way that a
-similar one might be missed, and where no other member is near in size. At the leader the sets are stored in a trie by global order. A probe walks it depth first, carrying the overlap counted so far along the path it shares
+similar one might be missed, and where no other member is near in size. Prefixes go to the leaders first: what two of
+them share, and the fewer of the tokens behind both, bounds the overlap of the whole sets. Only members that this bound
+leaves a partner send their texts. At the leader the sets are stored in a trie by global order. A probe walks it depth first, carrying the overlap counted so far along the path it shares
 with the set before, and leaves a subtree when the tokens that remain on either side cannot reach the overlap needed.
 
 Groups are cut into chunks. A chunk is joined with itself and with the leader; members that end up connected to the
@@ -42,8 +44,9 @@ class JoinParams:
     words: int = 5
     #: Least similarity in percent.
     percent: int = 80
-    #: Members of a group that one task compares.
+    #: Members of a group that are compared at once, and n-grams in them on average.
     chunk: int = 512
+    chunk_grams: int = 2_000_000
     #: Cells of the table of common tokens, tokens per block, and repeats in a block that make a token common.
     cells: int = 1 << 18
     block: int = 4_000_000
@@ -269,17 +272,67 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple
     """Runs of equal key in sorted rows, across batches."""
     now, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            name = tuple(row[k] for k in key)
-            if name != now and rows:
-                yield now, rows
-                rows = []
-            now = name
-            rows.append(row)
+        for at in range(0, batch.num_rows, 64):
+            for row in batch.slice(at, 64).to_pylist():
+                name = tuple(row[k] for k in key)
+                if name != now and rows:
+                    yield now, rows
+                    rows = []
+                now = name
+                rows.append(row)
     if rows:
         yield now, rows
 
 
+def may_link(sizes: np.ndarray, prefixes: list[np.ndarray], params: JoinParams) -> np.ndarray:
+    """Which members may be similar to another one, judged by prefixes of their sets in global order.
+
+    Tokens are shortened to their leading bits, which keeps the order. Where two prefixes can be told to reach, common
+    tokens are counted; what lies behind in either set may be common too. Shortened tokens that fall together only raise
+    the bound.
+    """
+    count, behind = len(sizes), np.iinfo(np.int64).max
+    lasts = np.array([behind if len(p) == n else p[-1] for p, n in zip(prefixes, sizes.tolist(), strict=True)])
+    reached = np.stack([np.searchsorted(p, lasts) for p in prefixes])
+    tokens, place, times = np.unique(np.concatenate(prefixes), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(count), [len(p) for p in prefixes])
+    again = times[place] > 1
+    owner, place = owner[again], np.unique(place[again], return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    common, width = np.zeros((count, count)), max(1, (1 << 20) // count)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        part = slice(*np.searchsorted(place, [first, first + width]))
+        held = np.zeros((count, width), np.float32)
+        np.add.at(held, (owner[part], place[part] - first), 1)
+        common += held @ held.T
+    rest = sizes[:, None] - reached
+    need = -(-params.percent * (sizes[:, None] + sizes) // (100 + params.percent))
+    possible = (common + np.minimum(rest, rest.T) >= need) & (need <= np.minimum(sizes[:, None], sizes))
+    np.fill_diagonal(possible, False)
+    return possible.any(axis=1)
+
+
+#: Bits of a token that a prefix keeps when it is only used for bounds: 31, so that it is a plain integer.
+_SHORTENED = 32
+
+
+def _with_partners(routes: DataFrame, signed: DataFrame, params: JoinParams) -> DataFrame:
+    """(lead, node) of the members of small groups that may be similar to another one of their group."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (lead,), rows in _groups(batches, ["lead"]):
+            good = may_link(np.array([r["size"] for r in rows]), [np.array(r["prefix"], np.int64) for r in rows], params)
+            nodes = {r["node"] for r, one in zip(rows, good.tolist(), strict=True) if one}
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array([lead] * len(nodes), pa.int64()), pa.array(sorted(nodes))], names=["lead", "node"])
+
+    shortened = F.transform("prefix", lambda t: F.shiftright(t, _SHORTENED).cast("int"))
+    prefixes = signed.select("doc_id", F.col("n").alias("size"), shortened.alias("prefix"))
+    met = routes.join(prefixes, F.col("node") == F.col("doc_id")).select("lead", "node", "size", "prefix")
+    return met.repartition("lead").sortWithinPartitions("lead").mapInArrow(judge, "lead bigint, node bigint")
+
+
 _FOUND = "kind string, a bigint, b bigint"
 
 
@@ -379,11 +432,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
         F.col("n") * 100 >= F.lead("n").over(by_size) * params.percent
     )
     routes = written(whole.withColumn("near", near).filter("near").groupBy("lead", "node").agg(F.max("n").alias("n")), "routes")
-    chunks = (
-        routes.groupBy("lead")
-        .agg(F.ceil(F.count(F.lit(1)) / params.chunk).alias("chunks"), F.bool_or(F.col("node") == F.col("lead")).alias("led"))
-        .withColumn("led", F.col("led") | (F.col("chunks") > 1))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        parts = F.ceil(F.greatest(F.count(F.lit(1)) / params.chunk, F.sum("n") / params.chunk_grams))
+        return rows.groupBy("lead").agg(parts.alias("chunks"), F.bool_or(F.col("node") == F.col("lead")).alias("led"))
+
+    sizes = routes.join(cut(routes).select(F.col("lead").alias("l"), "chunks"), F.col("lead") == F.col("l")).drop("l")
+    partners = _with_partners(sizes.filter("chunks = 1").select("lead", "node"), able, params)
+    routes = written(
+        sizes.filter("chunks = 1").join(partners, ["lead", "node"], "left_semi").unionByName(sizes.filter("chunks > 1")).drop("chunks"), "partners"
     )
+    chunks = cut(routes).withColumn("led", F.col("led") | (F.col("chunks") > 1))
     own: Column = F.pmod(F.xxhash64("node"), F.col("chunks"))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)
     members = routes.filter("node <> lead").join(chunks.withColumnRenamed("lead", "l"), F.col("lead") == F.col("l")).select(

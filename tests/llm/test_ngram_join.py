@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from commutelens.llm import ngram_join
@@ -105,3 +106,30 @@ def test_columns_named_like_the_join_s_own(documents):
     docs = documents([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")]).withColumnRenamed("lang", "kept_id")
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("shift", [0, 40, 56])
+def test_members_without_a_partner_are_told_by_prefixes(shift):
+    draw, params = np.random.default_rng(shift), JoinParams(words=4, percent=85)
+    lost = kept = 0
+    for _ in range(60):
+        sets = [np.unique(draw.integers(0, 1 << 63, draw.integers(1, 60))) for _ in range(8)]
+        for i in range(4, 8):
+            copy = np.unique(np.where(draw.random(len(sets[i - 4])) < 0.05, draw.integers(0, 1 << 63, len(sets[i - 4])), sets[i - 4]))
+            sets[i] = copy if draw.random() < 0.7 else sets[i]
+        prefixes = [s[: params.prefix(len(s))] >> shift for s in sets]
+        good = ngram_join.may_link(np.array([len(s) for s in sets]), prefixes, params)
+        for i, x in enumerate(sets):
+            overlaps = [(len(np.intersect1d(x, y)), len(y)) for j, y in enumerate(sets) if j != i]
+            similar = any(100 * both >= 85 * (len(x) + size - both) for both, size in overlaps)
+            assert good[i] or not similar
+            lost, kept = lost + (not good[i]), kept + int(good[i])
+    assert shift == 56 or lost > 60 and kept > 60
+
+
+def test_groups_are_cut_by_the_size_of_their_texts(documents):
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(w if draw.random() > 0.02 else f"x{draw.random()}" for w in base)) for i in range(40)]
+    params = JoinParams(words=4, percent=85, chunk_grams=300, repeats=3)
+    assert sorted(map(tuple, ngram_join.classes(documents(rows), params=params).collect()), key=repr) == brute(rows, 4, 85)

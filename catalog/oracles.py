@@ -559,6 +559,8 @@ SELECT request_id, a.stop_id, degrees, mph, free_mph
 FROM placed a ASOF LEFT JOIN flow_facts f ON a.stop_id = f.stop_id AND a.requested_at >= f.observed_at"""
 ORACLES["incidents_in_bbox"] = "SELECT * FROM incident_pairs"
 ORACLES["incident_categories"] = "SELECT request_id, icon_category, count(*) AS incidents FROM incident_pairs GROUP BY 1, 2"
+ORACLES["incidents_polled"] = """
+SELECT request_id, icon_category, count(*) AS incidents FROM incident_pairs WHERE incident_id % 41 <> 0 GROUP BY 1, 2"""
 ORACLES["incident_load"] = "SELECT request_id, count(*) AS incidents FROM incident_pairs GROUP BY 1"
 ORACLES["trip_ridership"] = "SELECT request_id, route, hours_ahead, predicted_riders FROM bundle"
 ORACLES["traffic_bundle"] = "SELECT request_id, dep_mph, dst_mph, incidents, by_category, predicted_riders FROM bundle"
@@ -636,6 +638,29 @@ SELECT criterion, round((car - bus) * 100.0::DOUBLE / car, 6) AS saving_percent,
 FROM (SELECT p_brand || '/' || p_type || '/' || p_partkey AS criterion, CAST(p_size AS BIGINT) + 50 AS car, CAST(p_size AS BIGINT) AS bus FROM part),
      (SELECT unnest(['car', 'bus']) AS mode)"""
 
+# --- series, sinks and discovery ----------------------------------------------------------------------
+
+ORACLES["ols_by_series"] = """
+WITH d AS (SELECT bus_route, CAST(transit_timestamp AS DATE) AS day, sum(ridership)::DOUBLE AS y, sum(transfers)::DOUBLE AS x2, count(*)::DOUBLE AS x1
+           FROM ridership_raw GROUP BY 1, 2),
+s AS (SELECT bus_route, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS a, var_pop(x2) AS b,
+             covar_pop(x1, x2) AS c, covar_pop(x1, y) AS p, covar_pop(x2, y) AS q FROM d GROUP BY 1),
+k AS (SELECT *, CASE WHEN a > 0 AND b - c * c / a > 1e-10 * b THEN (p * b - q * c) / (a * b - c * c) END AS b1,
+             CASE WHEN a > 0 AND b - c * c / a > 1e-10 * b THEN (q * a - p * c) / (a * b - c * c) END AS b2 FROM s)
+SELECT bus_route, n, term, round(CASE term WHEN 'intercept' THEN my - b1 * m1 - b2 * m2 WHEN 'rides' THEN b1 ELSE b2 END, 5) AS coefficient
+FROM k, (SELECT unnest(['intercept', 'rides', 'transfers']) AS term)"""
+ORACLES["forecast_discovered"] = f"""
+SELECT CAST(series_key AS VARCHAR) AS series_key, horizon, prediction, source FROM ({ORACLES["forecast_fallback_daily"]})"""
+ORACLES["forecast_without_columns"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS series_key, c_custkey % 25 AS horizon, CASE WHEN c_custkey % 25 = 0 THEN 0
+       ELSE 8000 + (c_custkey * 2654435761) % 4000 END AS prediction, CASE WHEN c_custkey % 25 = 0 THEN 'none' ELSE 'base' END AS source
+FROM customer"""
+PARTS["rejects"] = ORACLES["request_rejects"]
+ORACLES["error_round_trip"] = """
+SELECT run, error, details, count(*) AS n FROM (
+  SELECT 'first' AS run, * FROM rejects UNION ALL SELECT 'second', * FROM rejects WHERE request_id % 2 = 0) GROUP BY ALL"""
+ORACLES["partitioned_forecast_round_trip"] = ORACLES["forecast_table_round_trip"]
+
 # --- streaming ------------------------------------------------------------------------------------------
 
 ORACLES["stream_hourly"] = """

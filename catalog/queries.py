@@ -11,7 +11,7 @@ from commutelens import params
 from commutelens.functions import clock, jsons, money, numeric, wording
 from commutelens.operators import forecast, impact, insight, joins, quality, regression, rides, series
 from commutelens.plans import demand, trip_insight
-from commutelens.schemas import CORRUPT, INCIDENT_FEED, TRIP_REQUEST
+from commutelens.schemas import CORRUPT, TRIP_REQUEST
 from commutelens.session import new_folder as run_folder
 from commutelens.session import stage
 from commutelens.sources import readers, sinks, tables
@@ -132,17 +132,15 @@ def round_js(spark, folder):
 
 @query
 def incidents_flat(spark, folder):
-    feeds = tables.incident_feeds(spark, folder).select("feed_id", jsons.parse(F.col("feed"), INCIDENT_FEED).alias("f"))
-    each = feeds.select("feed_id", F.posexplode("f.incidents").alias("position", "i"))
-    return each.select(
-        "feed_id",
-        F.col("position").cast("bigint").alias("position"),
-        F.col("i.type").alias("type"),
-        F.col("i.geometry.type").alias("geometry_type"),
-        F.col("i.geometry.coordinates")[0].alias("lng"),
-        F.col("i.geometry.coordinates")[1].alias("lat"),
-        F.col("i.properties.iconCategory").alias("icon_category"),
-    )
+    items = trip_insight.feed_items(tables.incident_feeds(spark, folder))
+    return items.select("feed_id", "position", "type", "geometry_type", "lng", "lat", "icon_category")
+
+
+@query
+def incidents_polled(spark, folder):
+    """Feed texts to incidents on the way, by category."""
+    hazards = trip_insight.feed_incidents(tables.polled_feeds(spark, folder))
+    return trip_insight.incident_categories(matched_trips(spark, folder), hazards)
 
 
 @query
@@ -398,6 +396,25 @@ def forecast_with_fallback(spark, folder):
     )
 
 
+@query
+def forecast_discovered(spark, folder):
+    """Daily forecasts from a table whose measure is found by its name."""
+    rides = tables.ridership(spark, folder).withColumnRenamed("ridership", "Total_Riders").drop("transfers")
+    return day_fallback(spark, folder, series.discovered_daily(rides, "user_id", "transit_timestamp"))
+
+
+@query
+def forecast_without_columns(spark, folder):
+    """The same requests where the table has no such measure: every answer comes from the base level."""
+    rides = tables.ridership(spark, folder).withColumnRenamed("ridership", "boardings").drop("transfers")
+    return day_fallback(spark, folder, series.discovered_daily(rides, "user_id", "transit_timestamp"))
+
+
+def day_fallback(spark, folder, days):
+    asked = rider_requests(spark, folder).withColumn("series_number", F.col("series_key")).withColumn("series_key", F.col("series_key").cast("string"))
+    return forecast.with_fallback(asked, days, forecast.DAILY_PERIOD, params.DAILY_FALLBACK, "series_number").drop("series_number")
+
+
 @query
 def forecast_fallback_daily(spark, folder):
     return forecast.with_fallback(
@@ -469,6 +486,20 @@ def ols_trend(spark, folder):
     return regression.trend(tables.mode_days(spark, folder))
 
 
+def route_days(spark, folder):
+    rides = tables.ridership(spark, folder)
+    return rides.groupBy("bus_route", clock.day_slot(F.col("transit_timestamp")).alias("slot")).agg(
+        F.sum("ridership").alias("riders"), F.sum("transfers").alias("transfers"), F.count(F.lit(1)).alias("rides")
+    )
+
+
+@query
+def ols_by_series(spark, folder):
+    """Riders a day on rides and transfers, one regression per route."""
+    fits = regression.fit_by_series(route_days(spark, folder), "bus_route", ["rides", "transfers"], "riders")
+    return fits.withColumn("coefficient", F.round("coefficient", 5))
+
+
 @query
 def ols_forecast(spark, folder):
     days = demand.mode_table(tables.mode_days(spark, folder), tables.MODES)
@@ -814,6 +845,27 @@ def forecast_table_round_trip(spark, folder):
     return at_hour(spark.read.parquet(path))
 
 
+@query
+def error_round_trip(spark, folder):
+    """Error records of two runs, the first of which is written twice."""
+    path = run_folder(spark, "errors")
+    _, errors = trip_insight.locate_bodies(tables.request_bodies(spark, folder), tables.stops(spark, folder))
+    for run, part in (("first", errors), ("second", errors.filter("request_id % 2 = 0")), ("first", errors)):
+        sinks.write_errors(part, path, run)
+    kept = spark.read.schema("error string, details string, payload string, run string").json(path)
+    return kept.groupBy("run", "error", "details").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def partitioned_forecast_round_trip(spark, folder):
+    """Forecasts in folders by run and series, written twice under one run."""
+    path = run_folder(spark, "forecasts")
+    table = demand.hourly_forecast(tables.ridership(spark, folder), "bus_route", HORIZON)
+    for _ in range(2):
+        sinks.write_run(table, path, "nightly", by=["series_key"])
+    return at_hour(spark.read.parquet(path).drop("run"))
+
+
 @query
 def insight_round_trip(spark, folder):
     path = run_folder(spark, "insights")

@@ -23,6 +23,17 @@ def with_parsed(df: DataFrame, text: str, schema: T.StructType, name: str) -> Da
     return df.select("*", F.explode(F.array(parse(F.col(text), schema))).alias(name))
 
 
+def with_variant(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds a JSON column as a variant, parsed once per row: every field stays, whatever its type, and is read by path
+    where it is asked for. Text that does not parse becomes null."""
+    return df.select("*", F.explode(F.array(F.try_parse_json(text))).alias(name))
+
+
+def at_path(value: Column, path: str, kind: str) -> Column:
+    """The field of a variant at a path, null where it is absent or of another type."""
+    return F.try_variant_get(value, path, kind)
+
+
 def absent_keys(text: Column, required: tuple[str, ...]) -> Column:
     """Required keys that the JSON object lacks, in the order given; a key set to null is present."""
     wanted = F.array(*[F.lit(k) for k in required])

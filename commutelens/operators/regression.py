@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
@@ -36,6 +38,38 @@ def fit_linear(train: DataFrame, features: Sequence[str], target: str) -> Linear
     return solver.fit(data)
 
 
+def fit_by_series(df: DataFrame, key: str, features: Sequence[str], target: str) -> DataFrame:
+    """Ordinary least squares with intercept for every value of ``key`` at once: (key, n, term, coefficient).
+
+    One aggregation adds up means and covariances per series, partially before the shuffle, so a hot series is one row
+    per task; they stand in columns, and the equations are solved there by elimination. Rows with a null in any column
+    are left out. Features that depend on each other within a series, or a series of too few rows, have no unique
+    solution: their coefficients are null. ``features`` are a handful: the plan grows with their number's square.
+    """
+    width = len(features)
+    data = df.na.drop("any", subset=[*features, target]).select(key, *[F.col(c).cast("double").alias(c) for c in (*features, target)])
+    columns = [*features, target]
+    sums = {f"_m{j}": F.avg(c) for j, c in enumerate(columns)}
+    for i, one in enumerate(features):
+        sums |= {f"_a{i}_{j}": F.covar_pop(one, columns[j]) for j in range(i, width + 1)}
+    solved = data.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in sums.items()])
+    solved = solved.withColumns({f"_v{i}": F.col(f"_a{i}_{i}") for i in range(width)})
+    solved = solved.withColumns({f"_a{i}_{j}": F.col(f"_a{j}_{i}") for i in range(width) for j in range(i)})
+    for k in range(width):
+        # What is left of a feature's variance after the ones before it; next to nothing means that it depends on them.
+        pivot = F.when(F.col(f"_a{k}_{k}") > 1e-10 * F.col(f"_v{k}"), F.col(f"_a{k}_{k}"))
+        solved = solved.withColumns({f"_a{k}_{j}": F.col(f"_a{k}_{j}") / pivot for j in range(k, width + 1)})
+        others = [i for i in range(width) if i != k]
+        solved = solved.withColumns({f"_a{i}_{j}": F.col(f"_a{i}_{j}") - F.col(f"_a{i}_{k}") * F.col(f"_a{k}_{j}") for i in others for j in range(k + 1, width + 1)})
+    answer = [F.col(f"_a{i}_{width}") for i in range(width)]
+    intercept = F.col(f"_m{width}")
+    for i, coefficient in enumerate(answer):
+        intercept = intercept - coefficient * F.col(f"_m{i}")
+    known = reduce(and_, [c.isNotNull() for c in answer], F.lit(True))
+    terms = [F.struct(F.lit(name).alias("term"), F.when(known, c).alias("coefficient")) for name, c in zip(("intercept", *features), (intercept, *answer), strict=True)]
+    return solved.select(key, "n", F.inline(F.array(*terms)))
+
+
 def coefficient_frame(spark, model: LinearRegressionModel, features: Sequence[str]) -> DataFrame:
     rows = [("intercept", float(model.intercept)), *zip(features, map(float, model.coefficients))]
     return spark.createDataFrame(rows, "term string, coefficient double")

@@ -35,6 +35,16 @@ def find_target(df: DataFrame, needles: Sequence[str] = ("ridership", "total"))
     return next((c for c in df.columns if any(n in c.lower() for n in needles)), None)
 
 
+def discovered_daily(df: DataFrame, key: str, ts: str, needles: Sequence[str] = ("ridership", "total")) -> DataFrame:
+    """Daily series of a table whose measure is known by a part of its name only. Where the key, the time or any such
+    column is missing the series is empty, so that forecasts from it fall back instead of failing."""
+    target = find_target(df.drop(key, ts), needles)
+    if target is None or {key, ts} - set(df.columns):
+        return df.sparkSession.createDataFrame([], "series_key string, slot bigint, y double")
+    days = df.groupBy(F.col(key).cast("string").alias("series_key"), clock.day_slot(F.col(ts)).alias("slot"))
+    return days.agg(F.sum(F.col(target).cast("double")).alias("y"))
+
+
 def hourly_series(rides: DataFrame, key: str, ts: str = "transit_timestamp", y: str = "ridership") -> DataFrame:
     """One row per (key, hour) with the summed measure."""
     require_columns(rides, [key, ts, y])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from commutelens.functions import clock, geo, jsons, money, numeric
 from commutelens.operators import boxsums, forecast, insight, joins, quality, rides
 from commutelens.params import TRIP, TripParams
-from commutelens.schemas import INCIDENT_FEED, TRIP_REQUEST
+from commutelens.schemas import TRIP_REQUEST
 from commutelens.session import stage
 
 
@@ -136,17 +136,28 @@ def _way(trips: DataFrame) -> DataFrame:
     return with_box(trips).select("request_id", "requested_at", "south", "west", "north", "east")
 
 
+def feed_items(feeds: DataFrame, feed: str = "feed") -> DataFrame:
+    """One row per incident of a feed text: the feed's columns, ``position``, what the engine reads of the incident, and
+    ``item``, the incident as it came. Fields that nobody asked for are kept in it; those of another type are null."""
+    listed = jsons.with_variant(feeds, feed, "_feed")
+    each = listed.select(*feeds.columns, F.posexplode(jsons.at_path(F.col("_feed"), "$.incidents", "array<variant>")).alias("position", "item"))
+    get = lambda path, kind: jsons.at_path(F.col("item"), path, kind)
+    return each.withColumns(
+        {
+            "position": F.col("position").cast("bigint"),
+            "type": get("$.type", "string"),
+            "geometry_type": get("$.geometry.type", "string"),
+            "lng": get("$.geometry.coordinates[0]", "double"),
+            "lat": get("$.geometry.coordinates[1]", "double"),
+            "icon_category": get("$.properties.iconCategory", "bigint"),
+        }
+    )
+
+
 def feed_incidents(feeds: DataFrame, feed: str = "feed") -> DataFrame:
-    """Incident rows from feed texts with ``valid_from`` and ``valid_to``, as the box join takes them; null as end
+    """Incident rows from feed texts with ``valid_from`` and ``valid_to``, as the box operators take them; null as end
     means still open."""
-    each = jsons.with_parsed(feeds, feed, INCIDENT_FEED, "f").select("valid_from", "valid_to", F.explode("f.incidents").alias("i"))
-    return each.select(
-        F.col("i.geometry.coordinates")[1].alias("lat"),
-        F.col("i.geometry.coordinates")[0].alias("lng"),
-        F.col("i.properties.iconCategory").alias("icon_category"),
-        "valid_from",
-        "valid_to",
-    )
+    return feed_items(feeds, feed).select("lat", "lng", "icon_category", "valid_from", "valid_to")
 
 
 def route_profile(history: DataFrame) -> DataFrame:

@@ -30,33 +30,6 @@ TRIP_REQUEST = T.StructType(
     ]
 )
 
-INCIDENT_FEED = T.StructType(
-    [
-        T.StructField(
-            "incidents",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("type", T.StringType()),
-                        T.StructField(
-                            "geometry",
-                            T.StructType(
-                                [
-                                    T.StructField("type", T.StringType()),
-                                    T.StructField("coordinates", T.ArrayType(T.DoubleType())),
-                                ]
-                            ),
-                        ),
-                        T.StructField(
-                            "properties", T.StructType([T.StructField("iconCategory", T.LongType())])
-                        ),
-                    ]
-                )
-            ),
-        )
-    ]
-)
-
 INCENTIVE = T.StructType(
     [
         T.StructField("type", T.StringType()),

@@ -236,6 +236,24 @@ def incident_feeds(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def polled_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    """The incidents as feed texts of one incident each, as a poll would bring them; some texts are cut off, some list an
+    incident without a place, and some categories are written as text."""
+    i, e = incidents(spark, folder), F.col("incident_id")
+    kind = F.when(e % 13 == 0, F.concat(F.lit('"'), F.col("icon_category").cast("string"), F.lit('"'))).otherwise(F.col("icon_category").cast("string"))
+    item = F.concat(
+        F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":['),
+        F.concat_ws(",", F.col("lng").cast("string"), F.col("lat").cast("string")),
+        F.lit(']},"properties":{"iconCategory":'),
+        F.coalesce(kind, F.lit("null")),
+        F.lit(',"delay":"unknown"}}'),
+    )
+    no_place = F.lit('{"type":"Feature","properties":{"events":[1,"x"]}}')
+    feed = F.concat(F.lit('{"incidents":['), F.concat_ws(",", item, F.when(e % 5 == 0, no_place)), F.lit("]}"))
+    cut = F.when(e % 41 == 0, F.substring(feed, 1, 30)).otherwise(feed)
+    return i.select("incident_id", "valid_from", "valid_to", cut.alias("feed"))
+
+
 def prediction_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Prediction answers in every accepted shape, and in shapes without a number."""
     e, k = F.col("event_id"), F.get_json_object("props", "$.k")

@@ -241,3 +241,11 @@ def test_nearest_of_no_places(rows):
     places = rows([], "sid bigint, lat double, lng double")
     assert [(r["sid"], r["degrees"]) for r in joins.nearest(points, places, "pid", "sid").collect()] == [(None, None)]
     assert joins.nearest(points.limit(0), places, "pid", "sid").count() == 0
+
+
+def test_feed_fields_of_other_types_are_kept_and_read_as_null(rows):
+    feed = '{"incidents":[{"geometry":{"coordinates":["west",1.5]},"properties":{"iconCategory":"7","events":[{"code":3}]}},{"type":4}],"more":{"a":1}}'
+    feeds = rows([(1, feed), (2, '{"incidents":{"a":1}}'), (3, None), (4, '{"other":1}'), (5, "{")], "id bigint, feed string")
+    got = trip_insight.feed_items(feeds).select("id", "position", "lng", "lat", "icon_category", "type", F.to_json("item").alias("item")).collect()
+    assert [tuple(r)[:5] for r in got] == [(1, 0, None, 1.5, 7), (1, 1, None, None, None)]
+    assert '"events":[{"code":3}]' in got[0]["item"]

@@ -58,3 +58,23 @@ def test_holdout_error(days):
     assert got["n"] == len(kept)
     assert got["mse"] == pytest.approx(np.mean((y - p) ** 2), abs=0.01)
     assert got["r2"] == pytest.approx(1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2), abs=1e-6)
+
+
+def test_one_fit_per_series_equals_least_squares(spark):
+    rng = np.random.default_rng(5)
+    data, want = [], {}
+    for series in range(40):
+        n = int(rng.integers(12, 60))
+        x = rng.normal(80, 10, size=(n, 7))
+        y = 5 + x @ rng.normal(0, 3, 7) + rng.normal(0, 1, n)
+        data += [(f"s{series}", *map(float, row), float(t)) for row, t in zip(x, y, strict=True)]
+        want[f"s{series}"] = np.linalg.lstsq(np.column_stack([np.ones(n), x]), y, rcond=None)[0]
+    data += [("twins", *map(float, [i, 2 * i, *rng.normal(0, 1, 5)]), float(i)) for i in range(20)]
+    data += [("few", *map(float, rng.normal(0, 1, 7)), 1.0), ("flat", *[3.0] * 7, 1.0), ("flat", *[3.0] * 7, 2.0), ("s0", None, *[1.0] * 6, 9.0)]
+    df = spark.createDataFrame(data, "k string, " + ", ".join(f"{n} double" for n in NAMES) + ", total double")
+    got = {}
+    for r in regression.fit_by_series(df, "k", NAMES, "total").collect():
+        got.setdefault(r["k"], {})[r["term"]] = r["coefficient"]
+    for series, expected in want.items():
+        assert [got[series][t] for t in ("intercept", *NAMES)] == pytest.approx(list(expected), rel=1e-6, abs=1e-6)
+    assert all(set(got[k].values()) == {None} and len(got[k]) == 8 for k in ("twins", "few", "flat"))

@@ -117,7 +117,7 @@ def test_insights_and_errors_round_trip(spark, tmp_path):
         assert spark.read.format(fmt).load(str(tmp_path / fmt)).count() == nested.count()
     lost = joins.unmatched(trip_insight.locate(requests, stops))
     errors = lost.select(F.lit("Unknown stop").alias("error"), F.col("unknown").alias("details"), F.col("dep_stop").alias("payload"))
-    sinks.write_errors(errors, str(tmp_path / "errors"))
+    sinks.write_errors(errors, str(tmp_path / "errors"), "first")
     assert spark.read.json(str(tmp_path / "errors")).count() + nested.count() == requests.count()
 
 
@@ -170,3 +170,17 @@ def test_from_files_to_insights(spark, rows, tmp_path):
         2: ("Missing required fields", "departure"),
         3: ("Missing required fields", "timeToDestination"),
     }
+
+
+def test_a_run_that_is_repeated_leaves_one_copy(spark, rows, tmp_path):
+    path = str(tmp_path / "errors")
+    some = rows([("bad", "a", "{"), ("bad", "b", "}")], "error string, details string, payload string")
+    sinks.write_errors(some, path, "2024-01-01 00:00/1")
+    sinks.write_errors(some, path, "other")
+    sinks.write_errors(some.limit(1), path, "2024-01-01 00:00/1")
+    kept = spark.read.json(path)
+    assert sorted((r["run"], r["n"]) for r in kept.groupBy("run").agg(F.count("*").alias("n")).collect()) == [("2024-01-01 00:00/1", 1), ("other", 2)]
+    table = rows([("a", 1, 2), ("b", 1, 3)], "series_key string, step bigint, prediction bigint")
+    for _ in range(2):
+        sinks.write_run(table, str(tmp_path / "forecasts"), "r", by=["series_key"])
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "forecasts")).select("run", "series_key", "prediction").collect()) == [("r", "a", 2), ("r", "b", 3)]

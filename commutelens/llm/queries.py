@@ -65,8 +65,8 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Each step's list of archives is written before the next one opens them."""
     archives = shared.run_folder(spark, "warc")
     monoliths = shared.written(warc.write(table(spark, folder, "pages"), f"{archives}/raw"), "monoliths")
-    normal = shared.written(warc.normalise(monoliths.repartition("archive"), f"{archives}/normal"), "archives")
-    records = warc.read(warc.index_of(normal.repartition("archive")))
+    normal = shared.written(warc.normalise(warc.dealt(monoliths), f"{archives}/normal"), "archives")
+    records = warc.read(warc.index_of(warc.dealt(normal)))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -222,6 +222,12 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
     return with_records(pages).mapInArrow(store, ARCHIVE_SCHEMA)
 
 
+def dealt(archives: DataFrame) -> DataFrame:
+    """A written list of archives, about one per task: its rows are small and the files behind them are not, so the number
+    of tasks follows from the number of archives, which no size of the list may reduce."""
+    return archives.repartition(max(1, archives.count()), "archive")
+
+
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrites archives with one member per record and writes their sidecar indexes; returns (archive, records)."""
 

@@ -8,6 +8,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from commutelens.llm import warc
 from commutelens.llm.queries import op5_warc
 from conftest import SMALL
@@ -71,3 +73,15 @@ def test_query_over_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url", "html").collect()]
     got = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in op5_warc(spark, SMALL).collect()]
     assert sorted(got, key=repr) == sorted([(i, k, f, n, d) for i, _, k, f, n, d in expected(rows)], key=repr)
+
+
+def test_tasks_grow_with_the_number_of_archives(spark, tmp_path):
+    rows = [(i, f"u{i}", f"{i} " * 500) for i in range(300)]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    raw = str(tmp_path / "raw")
+    warc.write(pages, raw, archive_bytes=3000).write.parquet(str(tmp_path / "list"))
+    listed = spark.read.parquet(str(tmp_path / "list"))
+    count = listed.count()
+    normal = warc.normalise(warc.dealt(listed), str(tmp_path / "norm"))
+    used = normal.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert count > 50 and used > count / 3

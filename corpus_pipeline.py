@@ -1,4 +1,11 @@
-"""Corpus pipeline: from documents to token ids, in stages that each write their result for the next one."""
+"""Corpus pipeline: from documents to token ids, in stages that each write their result for the next one.
+
+Every stage but the last returns the columns of documents and drops all others, whatever their names. Null and empty texts
+and rows without an id pass through all stages. Rows repeated under one id are scored, scanned and encoded one by one;
+near copies and benchmark passages keep or drop them together.
+Without labels every document scores 0.5 and stays; without benchmark items none is found; without documents the result is
+empty.
+"""
 
 from __future__ import annotations
 

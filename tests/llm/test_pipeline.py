@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
@@ -78,7 +79,19 @@ def test_odd_rows_and_empty_tables(spark, documents, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
 
 
+def test_stages_ignore_columns_of_other_tables(spark, documents, tmp_path):
+    docs = documents([(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "password=abcdef123")])
+    spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ("kept_id", "found_id", "score", "spans", "token_ids", "decoded", "node", "n", "item_id", "lead", "words", "size", "round_trip")
+    clashing = docs.select("*", *[F.lit("x").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES:
+        plain, extra = (stage(spark, frame, str(tmp_path)) for frame in (docs, clashing))
+        assert extra.columns == plain.columns
+        assert sorted(map(str, extra.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_registered_names():
     names = contract.queries()
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality_classifier"
-    assert {f"op{i}_" for i in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{i}_" for i in range(1, 14)} == {n.split("_")[0] + "_" for n in names if n.startswith("op") and n[2].isdigit()}

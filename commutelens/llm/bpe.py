@@ -233,30 +233,38 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encoded(text: Column | str, path: str) -> Column:
-    """Token ids of a text column, array<int>."""
+def _encode_all(texts: pa.Array, path: str) -> pa.Array:
+    ends, ids = array("i", [0]), array("i")
+    for row in vocabulary(path).encode_all(x.as_py() or "" for x in texts):
+        ids.frombytes(row)
+        ends.append(len(ids))
+    return pa.ListArray.from_arrays(np.frombuffer(ends, "int32"), np.frombuffer(ids, "int32"))
+
+
+def _decode_all(rows: pa.Array, path: str) -> pa.Array:
+    words = vocabulary(path)
+    return pa.array([words.decode(row.values.to_numpy().tolist()) if row.is_valid else "" for row in rows], pa.string())
 
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        rows = vocabulary(path).encode_all(x.as_py() or "" for x in texts)
-        ends, ids = array("i", [0]), array("i")
-        for row in rows:
-            ids.frombytes(row)
-            ends.append(len(ids))
-        return pa.ListArray.from_arrays(np.frombuffer(ends, "int32"), np.frombuffer(ids, "int32"))
 
-    return encode(text)
+def encoded(text: Column | str, path: str) -> Column:
+    """Token ids of a text column, array<int>."""
+    return F.arrow_udf(lambda texts: _encode_all(texts, path), "array<int>")(text)
 
 
 def decoded(ids: Column | str, path: str) -> Column:
     """Text of a column of token ids; special tokens are kept, unknown ids raise, broken bytes become U+FFFD."""
+    return F.arrow_udf(lambda rows: _decode_all(rows, path), "string")(ids)
+
+
+def both_ways(text: Column | str, path: str) -> Column:
+    """Struct of the token ids of a text column and the text that they decode to. One function, because Spark would run
+    the encoder once for the ids and once more below the decoder."""
 
-    @F.arrow_udf("string")
-    def decode(rows: pa.Array) -> pa.Array:
-        words = vocabulary(path)
-        return pa.array([words.decode(row.values.to_numpy().tolist()) if row.is_valid else "" for row in rows], pa.string())
+    def there_and_back(texts: pa.Array) -> pa.Array:
+        ids = _encode_all(texts, path)
+        return pa.StructArray.from_arrays([ids, _decode_all(ids, path)], ["ids", "decoded"])
 
-    return decode(ids)
+    return F.arrow_udf(there_and_back, "struct<ids:array<int>,decoded:string>")(text)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:

@@ -12,27 +12,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def hex_digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    path = vocabulary_path()
-    ids = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path).drop("text")
-    return bpe.decode(ids, path).select(
+def coded_columns(coded: DataFrame) -> DataFrame:
+    """Contract columns from ``c``, the ids of a text and what they decode to."""
+    return coded.select(
         "doc_id",
-        F.size("token_ids").cast("bigint").alias("n_tokens"),
-        hex_digest(F.array_join(F.col("token_ids").cast("array<string>"), ",")).alias("ids_sha256"),
-        hex_digest(F.col("decoded")).alias("decoded_sha256"),
+        F.size("c.ids").cast("bigint").alias("n_tokens"),
+        hex_digest(F.array_join(F.col("c.ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        hex_digest(F.col("c.decoded")).alias("decoded_sha256"),
     )
 
 
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.both_ways(F.col("text"), vocabulary_path("byte_bpe_50k.json"))
+    return coded_columns(table(spark, folder, "documents").select("doc_id", coded.alias("c")))
+
+
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     may_learn = quality.learnable(F.col("doc_id"))
@@ -126,16 +130,8 @@ def op12_resample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    import public_tokenizers
-
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = table(spark, folder, "documents").select("doc_id", pieces.both_ways(F.col("text"), path).alias("c"))
-    return coded.select(
-        "doc_id",
-        F.size("c.ids").cast("bigint").alias("n_tokens"),
-        hex_digest(F.array_join(F.col("c.ids").cast("array<string>"), ",")).alias("ids_sha256"),
-        hex_digest(F.col("c.decoded")).alias("decoded_sha256"),
-    )
+    coded = pieces.both_ways(F.col("text"), vocabulary_path("piece_bpe_32k.model"))
+    return coded_columns(table(spark, folder, "documents").select("doc_id", coded.alias("c")))
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_ngram_join": op6_ngram_join, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_decontam": op10_decontam, "op11_lexical": op11_lexical, "op12_resample": op12_resample, "op13_sentencepiece": op13_sentencepiece}

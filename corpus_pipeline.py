@@ -44,16 +44,15 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of every document, and whether decoding them gives the text again."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs, path), path)
+    coded = docs.withColumn("coded", bpe.both_ways(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")))
     return coded.select(
         "doc_id",
         "lang",
         "source",
         "n_chars",
-        "token_ids",
-        F.size("token_ids").cast("bigint").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        F.col("coded.ids").alias("token_ids"),
+        F.size("coded.ids").cast("bigint").alias("n_tokens"),
+        (F.col("coded.decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
 
 

@@ -49,3 +49,22 @@ def test_sums_are_partial_before_the_shuffle(spark):
 def test_json_is_parsed_once(spark):
     for name in ("enum_violations", "coalesced_trip", "request_rejects", "parse_or_reject"):
         assert plan_of(QUERIES[name](spark, SMALL)).count("from_json(") == 1
+
+
+def test_scored_trips_are_evaluated_once(spark):
+    """Runner-ups read what was written once, not the tables that trips are made of."""
+    for name in ("runner_up_rides", "trip_insights", "travel_time_results"):
+        plan = plan_of(QUERIES[name](spark, SMALL))
+        assert plan.count("FileScan") == 2 and "events.parquet" not in plan
+
+
+def test_bundle_folds_lookups_without_joining_them(spark):
+    plan = plan_of(QUERIES["traffic_bundle"](spark, SMALL))
+    assert "SortMergeJoin" not in plan and plan.count("FileScan") <= 24
+    # The folding of box sums, and that of the whole bundle.
+    assert len(re.findall(r"Exchange hashpartitioning\(request_id", plan)) == 2
+
+
+def test_box_totals_are_summed_before_they_move(spark):
+    plan = plan_of(QUERIES["incident_load"](spark, SMALL))
+    assert "partial_sum" in plan and "NestedLoop" not in plan

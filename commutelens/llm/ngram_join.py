@@ -329,7 +329,7 @@ def _with_partners(routes: DataFrame, signed: DataFrame, params: JoinParams) ->
 
     shortened = F.transform("prefix", lambda t: F.shiftright(t, _SHORTENED).cast("int"))
     prefixes = signed.select("doc_id", F.col("n").alias("size"), shortened.alias("prefix"))
-    met = routes.join(prefixes, F.col("node") == F.col("doc_id")).select("lead", "node", "size", "prefix")
+    met = prefixes.join(routes.hint("merge"), F.col("node") == F.col("doc_id")).select("lead", "node", "size", "prefix")
     return met.repartition("lead").sortWithinPartitions("lead").mapInArrow(judge, "lead bigint, node bigint")
 
 
@@ -401,6 +401,7 @@ def _enough_met(meets: DataFrame, params: JoinParams) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: JoinParams = PARAMS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: size of its set and the smallest id it is linked with."""
+    # Joins with tokens, prefixes and texts are merge joins at every size: what a small table would broadcast grows with it.
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     common = common_table(docs, "text", params)
     signed = written(_signed(docs, "text", common, params), "signed")
@@ -415,7 +416,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
         .select(F.col("token").alias("t"), "lead")
     )
     meets = written(
-        tokens.join(leads, F.col("token") == F.col("t"))
+        tokens.join(leads.hint("merge"), F.col("token") == F.col("t"))
         .filter("node <> lead")
         .groupBy("lead", "node", "n")
         .agg(F.count(F.lit(1)).alias("met")),
@@ -454,7 +455,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
     texts = docs.filter(F.col("doc_id").isNotNull())
 
     def with_texts(rows: DataFrame) -> DataFrame:
-        return texts.join(rows, F.col("doc_id") == F.col("node")).drop("doc_id")
+        return texts.join(rows.hint("merge"), F.col("doc_id") == F.col("node")).drop("doc_id")
 
     found = written(_joined(with_texts(places), common, params), "found")
     links = found.filter("kind = 'link'").select("a", "b")

@@ -76,7 +76,7 @@ def test_query_over_whole_table(spark):
 
 
 def test_tasks_grow_with_the_number_of_archives(spark, tmp_path):
-    rows = [(i, f"u{i}", f"{i} " * 500) for i in range(300)]
+    rows = [(i, f"u{i}", f"{i} " * 500, None) for i in range(300)]
     pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
     raw = str(tmp_path / "raw")
     warc.write(pages, raw, archive_bytes=3000).write.parquet(str(tmp_path / "list"))

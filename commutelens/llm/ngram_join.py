@@ -66,7 +66,7 @@ class JoinParams:
 PARAMS = JoinParams()
 
 _BITS = 58
-_TEXT_BLOCK = 1 << 20
+_TEXT_BLOCK = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])

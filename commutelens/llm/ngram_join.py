@@ -87,8 +87,8 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(name: str, factor: int, size: int) -> np.ndarray:
     """1, f, f^2, ... modulo 2^64; kept for the usual block."""
-    if len(_powers.get(name, ())) < size:
-        table = np.full(size, factor, np.uint64)
+    if name not in _powers or len(_powers[name]) < size:
+        table = np.full(max(size, 1), factor, np.uint64)
         table[0] = 1
         table = np.cumprod(table, dtype=np.uint64)
         if size > 4 * _TEXT_BLOCK:

@@ -133,3 +133,10 @@ def test_groups_are_cut_by_the_size_of_their_texts(documents):
     rows = [(i, " ".join(w if draw.random() > 0.02 else f"x{draw.random()}" for w in base)) for i in range(40)]
     params = JoinParams(words=4, percent=85, chunk_grams=300, repeats=3)
     assert sorted(map(tuple, ngram_join.classes(documents(rows), params=params).collect()), key=repr) == brute(rows, 4, 85)
+
+
+def test_worker_that_meets_an_empty_block_first(monkeypatch):
+    monkeypatch.setattr(ngram_join, "_powers", {})
+    assert [len(s) for s in ngram_join.ngram_sets(["", "", "a b c d e"], 4)] == [0, 0, 2]
+    monkeypatch.setattr(ngram_join, "_powers", {})
+    assert [len(s) for s in ngram_join.ngram_sets([""], 4)] == [0]

@@ -741,6 +741,7 @@ def insights_from_json(spark, folder):
         tables.flow_snapshots(spark, folder),
         tables.incidents(spark, folder),
         route_profile(spark, folder),
+        folder=run_folder(spark, "insights"),
     )
     return trips.select("request_id", "dep_stop", "dst_stop", "travel_minutes", "density", "savings_cents", "nudge")
 
@@ -962,7 +963,7 @@ def stream_trip_insights(spark, folder):
     def transform(batch):
         asked = tables.requests_of(batch, tables.table(spark, folder, "supplier"))
         place = trip_insight.locate(asked, stops)
-        trips = trip_insight.scored(trip_insight.bundle(joins.matched(place), flows, hazards, profile))
+        trips = trip_insight.insights_of(joins.matched(place), flows, hazards, profile, folder=run_folder(spark, "batch"))
         rejected = joins.unmatched(place).select(
             "request_id",
             F.lit("Unknown stop").alias("error"),

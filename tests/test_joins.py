@@ -115,6 +115,13 @@ def test_box_totals_without_coordinates_moments_and_points(rows):
     assert total([]) == []
 
 
+def test_listed_rows_of_boxes_and_points_are_not_broadcast(rows):
+    """Each row lists many, so what looks small in an estimate need not fit the driver."""
+    b, p, _ = incident_case(rows, random.Random(3), 10)
+    plan = plan_of(boxsums.totals_in_boxes(b, p.withColumn("n", F.lit(1)), "bid", "asked", "since", "until", ["n"]))
+    assert "BroadcastExchange" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_inner_rectangles_of_a_box_make_no_pairs(rows, monkeypatch):
     """Boxes and points that all meet: pairs are made along the edges only."""
     made = []

@@ -256,3 +256,19 @@ def test_feed_fields_of_other_types_are_kept_and_read_as_null(rows):
     got = trip_insight.feed_items(feeds).select("id", "position", "lng", "lat", "icon_category", "type", F.to_json("item").alias("item")).collect()
     assert [tuple(r)[:5] for r in got] == [(1, 0, None, 1.5, 7), (1, 1, None, None, None)]
     assert '"events":[{"code":3}]' in got[0]["item"]
+
+
+def test_nearest_orders_only_places_within_reach(rows, monkeypatch):
+    """A dense town: each point is compared with the places around it, not with all of the wider cells."""
+    made = []
+    town = rows([(i, 0.001 * (i % 60), 0.001 * (i // 60)) for i in range(3600)], "place bigint, lat double, lng double")
+    asked = rows([(i, 0.001 * i + 0.0004, 0.03) for i in range(60)], "pid bigint, lat double, lng double")
+    kind = type(town)
+    grouped = kind.groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda self, *by: made.append(self) or grouped(self, *by))
+    got = joins.nearest(asked, town, "pid", "place", NearGridParams(cell_degrees=0.001))
+    pairs = made[-1].count()
+    assert sorted(r["place"] for r in got.collect()) == [1800 + i for i in range(60)]
+    assert pairs < 60 * 60
+    plan = plan_of(got)
+    assert "BroadcastNestedLoop" not in plan and "SortMergeJoin" in plan

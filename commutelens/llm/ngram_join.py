@@ -7,9 +7,11 @@ their counts go into a table of fixed size, which makes frequent passages last i
 With a prefix longer by k - 1 tokens similar sets share at least k tokens of their prefixes (k grows with the set).
 
 Documents that share a prefix token go to the token's leader, the smallest id among them. Most tokens of a group of
-copies have the same leader, so a document travels to few leaders rather than once per token. A document
-stays away from leaders with which it shares fewer than k tokens, unless so many of its tokens are spread that way that a
-similar one might be missed, and where no other member is near in size. Prefixes go to the leaders first: what two of
+copies have the same leader, so a document travels to few leaders rather than once per token. In small groups pairs are
+counted first, by numbers alone, and only those that may share k tokens over all leaders meet, at one of them. In large
+groups a document stays away from leaders with which it shares fewer than k tokens, unless so many of its tokens are
+spread that way that a similar one might be missed, and where no other member is near in size. Prefixes go to the leaders
+first: what two of
 them share, and the fewer of the tokens behind both, bounds the overlap of the whole sets. Only members that this bound
 leaves a partner send their texts. At the leader the sets are stored in a trie by global order. A probe walks it depth first, carrying the overlap counted so far along the path it shares
 with the set before, and leaves a subtree when the tokens that remain on either side cannot reach the overlap needed.
@@ -54,6 +56,8 @@ class JoinParams:
     #: Prefixes are longer than they need be for one common token, by a fixed number and a share in percent.
     meet: int = 4
     meet_percent: int = 8
+    #: Members of a group whose pairs are counted before any prefix or text is sent.
+    paired: int = 32
 
     def prefix(self, size: int) -> int:
         return min(size, size - -(-self.percent * size // 100) + self.meet + size * self.meet_percent // 100)
@@ -372,16 +376,43 @@ def _joined(groups: DataFrame, common: np.ndarray, params: JoinParams) -> DataFr
     )
 
 
-def _enough_met(meets: DataFrame, params: JoinParams) -> DataFrame:
-    """Rows (lead, node, n) that similar documents may need to come together.
+def _routes(meets: DataFrame, able: DataFrame, params: JoinParams) -> DataFrame:
+    """Distinct (lead, node, n) that similar documents need to come together, leaders among the nodes.
 
-    Similar sets share at least ``due`` tokens of their prefixes. A row with fewer is weak. If no leader has strong rows
-    of both documents of a similar pair, all tokens they share are in weak rows, so one of both holds half of its due
-    in weak rows. Leaders that such a document touches keep all their rows; elsewhere weak rows go.
+    Similar sets share at least ``due`` tokens of their prefixes, each at some leader. In small groups pairs near in size
+    are counted: what two documents can share in all small groups is the sum of the fewer tokens that either brings there,
+    and the large groups add no more than either brings to them. Pairs that reach ``due`` meet at one of their leaders.
+
+    All that other similar pairs share lies in large groups. A row with fewer than ``due`` tokens is weak there. If no
+    leader has strong rows of both, all tokens they share are in weak rows, so one of both holds half of its due in weak
+    rows. Leaders that such a document touches keep all their rows; elsewhere weak rows go.
     """
     partner = F.ceil(F.col("n") * params.percent / 100)
     due = F.least(partner, params.meet + F.floor(partner * params.meet_percent / 100))
-    judged = meets.withColumn("due", due).withColumn("weak", F.col("met") < F.col("due"))
+    groups = meets.groupBy("lead").agg((F.count(F.lit(1)) <= params.paired).alias("small")).withColumnRenamed("lead", "l")
+    rows = meets.join(groups.hint("merge"), F.col("lead") == F.col("l")).drop("l")
+    large = rows.filter(~F.col("small"))
+    any_number = F.lit(1 << 40)
+    # A leader may share any number of tokens with a member of its group.
+    heads = able.select(F.col("doc_id").alias("node"), "n").join(groups.hint("merge"), F.col("node") == F.col("l"))
+    heads = heads.select(F.col("node").alias("lead"), "node", "n", any_number.alias("met"), "small").distinct()
+    everyone = rows.select("lead", "node", "n", "met", "small").unionByName(heads)
+    elsewhere = (
+        everyone.filter(~F.col("small")).groupBy(F.col("node").alias("e")).agg(F.least(F.sum("met"), any_number).alias("more"))
+    )
+    paired = everyone.filter("small").withColumn("due", due).join(elsewhere.hint("merge"), F.col("node") == F.col("e"), "left")
+    paired = paired.select("lead", "node", "n", "met", "due", F.coalesce("more", F.lit(0)).alias("more"))
+    other = paired.select(*[F.col(c).alias("lead" if c == "lead" else f"o_{c}") for c in paired.columns])
+    pairs = (
+        paired.join(other.hint("merge"), "lead")
+        .filter("node < o_node")
+        .filter(F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * params.percent)
+        .groupBy("node", "o_node", "n", "o_n", F.greatest("due", "o_due").alias("due"), F.least("more", "o_more").alias("more"))
+        .agg(F.sum(F.least("met", "o_met")).alias("met"), F.min("lead").alias("lead"))
+        .filter("met + more >= due")
+    )
+    ends = F.array(*[F.struct(F.col(f"{o}node").alias("node"), F.col(f"{o}n").alias("n")) for o in ("", "o_")])
+    judged = large.withColumn("due", due).withColumn("weak", F.col("met") < F.col("due"))
     torn = (
         judged.groupBy("node", "n", "due")
         .agg(F.sum(F.when(F.col("weak"), F.col("met")).otherwise(0)).alias("in_weak"))
@@ -395,8 +426,10 @@ def _enough_met(meets: DataFrame, params: JoinParams) -> DataFrame:
         .unionByName(torn.select(F.col("torn").alias("whole")))
         .distinct()
     )
-    kept = judged.join(touched, F.col("lead") == F.col("whole"), "left")
-    return kept.filter(~F.col("weak") | F.col("whole").isNotNull()).select("lead", "node", "n")
+    kept = judged.join(touched, F.col("lead") == F.col("whole"), "left").filter(~F.col("weak") | F.col("whole").isNotNull())
+    led = heads.filter(~F.col("small")).join(kept.select("lead").distinct(), "lead", "left_semi")
+    whole = kept.select("lead", "node", "n").unionByName(led.select("lead", "node", "n"))
+    return whole.unionByName(pairs.select("lead", F.inline(ends)).distinct())
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: JoinParams = PARAMS) -> DataFrame:
@@ -422,12 +455,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
         .agg(F.count(F.lit(1)).alias("met")),
         "meets",
     )
-    rows = _enough_met(meets, params)
     # A member stays if the next smaller or larger one of its group, the leader included, is near enough in size.
-    heads = able.select(F.col("doc_id").alias("node"), "n").join(
-        rows.select("lead").distinct(), F.col("node") == F.col("lead")
-    )
-    whole = rows.select("lead", "node", "n").unionByName(heads.select("lead", "node", "n"))
+    whole = _routes(meets, able.select("doc_id", "n"), params)
     by_size = W.partitionBy("lead").orderBy("n", "node")
     near = (F.lag("n").over(by_size) * 100 >= F.col("n") * params.percent) | (
         F.col("n") * 100 >= F.lead("n").over(by_size) * params.percent
@@ -457,20 +486,24 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
     def with_texts(rows: DataFrame) -> DataFrame:
         return texts.join(rows.hint("merge"), F.col("doc_id") == F.col("node")).drop("doc_id")
 
-    found = written(_joined(with_texts(places), common, params), "found")
+    # Written, as members of several chunks may go on: texts of the whole table are sent once.
+    placed = written(with_texts(places), "placed")
+    found = written(_joined(placed, common, params), "found")
     links = found.filter("kind = 'link'").select("a", "b")
-    loose = found.filter("kind = 'loose'").select(F.col("a").alias("lead"), F.col("b").alias("node"))
+    loose = found.filter("kind = 'loose'").select(F.col("a").alias("lead"), F.col("b").alias("node")).distinct()
     if not loose.isEmpty():
+        members = placed.filter("chunks > 1 AND role = 1")
+        staying = members.join(loose.select("lead").distinct(), "lead", "left_semi")
         visitors = (
-            loose.join(chunks.withColumnRenamed("lead", "l"), F.col("lead") == F.col("l"))
-            .select("lead", "node", "chunks", F.lit(0).alias("role"), F.explode(every).alias("chunk"), own.alias("home"))
-            .filter("chunk <> home")
-            .drop("home")
+            members.join(loose, ["lead", "node"], "left_semi")
+            .withColumn("visited", F.explode(every))
+            .filter("visited <> chunk")
+            .withColumns({"role": F.lit(0), "chunk": F.col("visited")})
         )
-        crossed = _joined(with_texts(members.unionByName(visitors.select(*members.columns))), common, params)
+        crossed = _joined(staying.unionByName(visitors.select(*members.columns)), common, params)
         links = links.unionByName(written(crossed.filter("kind = 'link'").select("a", "b"), "crossed"))
     roots = components(links)
-    placed = (
+    classed = (
         nodes.select(*[F.col(k).alias(f"n_{k}") for k in keys], "node")
         .join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left")
         .select(*[f"n_{k}" for k in keys], F.coalesce("root", "node").alias("component"))
@@ -479,7 +512,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
     able_here = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return (
         signed.select("doc_id", *keys)
-        .join(placed, [*same], "left")
+        .join(classed, [*same], "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),

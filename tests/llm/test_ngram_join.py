@@ -140,3 +140,34 @@ def test_worker_that_meets_an_empty_block_first(monkeypatch):
     assert [len(s) for s in ngram_join.ngram_sets(["", "", "a b c d e"], 4)] == [0, 0, 2]
     monkeypatch.setattr(ngram_join, "_powers", {})
     assert [len(s) for s in ngram_join.ngram_sets([""], 4)] == [0]
+
+
+def test_chance_meetings_in_small_groups_send_nothing(spark):
+    """A set that shares a few tokens with each of many others is similar to none of them."""
+    params = JoinParams()
+    meets = [(lead, 100, 300, 2) for lead in range(1, 41)] + [(lead, 200 + lead, 300, 2) for lead in range(1, 41)]
+    meets += [(lead, node, 300, 12) for lead in (50, 51) for node in (300, 301)]  # 24 tokens at two leaders
+    meets += [(60, node, 300, 12) for node in (302, 303)]
+    able = [(i, 300) for i in {x for row in meets for x in row[:2]}]
+    routes = ngram_join._routes(
+        spark.createDataFrame(meets, "lead long, node long, n long, met long"),
+        spark.createDataFrame(able, "doc_id long, n long"),
+        params,
+    )
+    assert sorted(map(tuple, routes.collect())) == [(50, 300, 300), (50, 301, 300)]
+
+
+@pytest.mark.parametrize("paired", [0, 1, 3, 100])
+def test_classes_do_not_depend_on_what_is_a_small_group(spark, paired):
+    draw = random.Random(11)
+    stock = [" ".join(draw.choice("abcdefghijklmnop") * 2 for _ in range(60)) for _ in range(5)]
+    rows = []
+    for i in range(90):
+        words = draw.choice(stock).split()
+        for _ in range(draw.choice([0, 0, 1, 2, 6])):
+            words[draw.randrange(len(words))] = draw.choice("qrstuvwxyz") * 2
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    params = JoinParams(paired=paired, chunk=7)
+    got = sorted(map(tuple, ngram_join.classes(frame, params=params).collect()), key=repr)
+    assert got == brute(rows, params.words, params.percent)

@@ -9,9 +9,10 @@ shards of bounded size:
 2. Each anchor has a leader, the smallest document that holds it. Neighbouring anchors with the same leader form a
    segment; segments of a leader go to one shard, equal ones once. A leader with too much text for one shard is split
    by anchor, which keeps equal windows together.
-3. A shard's suffix array is built by induced sorting: suffixes are classified, the leftmost smaller ones are sorted
-   recursively by their substrings, and the rest of the array is induced from them in linear time. Common prefixes with
-   the neighbour in the array are computed in text order (permuted), up to the length asked for.
+3. A shard's suffix array is built by induced sorting, up to the length asked for: suffixes are classified, the leftmost
+   smaller ones are sorted by their substrings (recursively where those are of few kinds, else by doubling ranks), and the
+   rest of the array is induced from them in linear time. Common prefixes with the neighbour in the array are computed in
+   text order (permuted), up to the same length.
 4. Runs of the array that agree in ``length`` bytes are equal windows; the smallest document of a run decides which of
    its occurrences are covered. Covered stretches go back to their documents and are united.
 
@@ -263,6 +264,8 @@ def _induced_by_bucket(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, s
     round by round, which is the order in which a scan would write them. Downwards, smaller suffixes follow alike.
     """
     n = len(text)
+    # Sorting by radix, as numpy does for one and two bytes.
+    text = text.astype(np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.int64)
 
     def spread(sources: np.ndarray, want: bool, waiting: list[list[np.ndarray]]) -> None:
         before = sources[sources > 0] - 1
@@ -334,8 +337,30 @@ def _induced_one_by_one(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray,
     return np.array(array)
 
 
-def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
-    """Starts of the suffixes of a text over 0 .. size - 1 in order."""
+def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
+    """Starts of the suffixes of a text over a large alphabet in order of their first ``depth`` letters at least: what
+    agrees so far is ordered by the rank of what follows, twice as far each time."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    new = np.r_[True, np.diff(names[order]) != 0]
+    rank, places, known = np.empty(n, np.int64), np.arange(n), 1
+    while True:
+        counts = np.diff(np.r_[np.flatnonzero(new), len(places)])
+        rank[order[places]] = np.repeat(places[new], counts)
+        places = places[np.repeat(counts > 1, counts)]
+        if not len(places) or known >= depth:
+            return order
+        items = order[places]
+        after = items + known
+        keys = rank[items] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        sorting = np.argsort(keys, kind="stable")
+        order[places] = items[sorting]
+        new = np.r_[True, np.diff(keys[sorting]) != 0]
+        known *= 2
+
+
+def suffix_array(text: np.ndarray, size: int, depth: int | None = None) -> np.ndarray:
+    """Starts of the suffixes of a text over 0 .. size - 1 in order, or in order of their first ``depth`` letters."""
     n = len(text)
     if n < 2:
         return np.arange(n)
@@ -352,7 +377,9 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
         reduced = names[lms]
         kinds = int(reduced.max()) + 1
         if kinds < len(lms):
-            lms = lms[suffix_array(reduced, kinds)]
+            # A name stands for two letters at least.
+            depth = len(lms) if depth is None else depth // 2 + 1
+            lms = lms[suffix_array(reduced, kinds, depth) if kinds * 64 <= len(lms) else _doubled(reduced, depth)]
         else:
             lms = ordered
     return induced(text, smaller, lms, size)
@@ -412,7 +439,7 @@ def covered(segments: list[bytes], docs: np.ndarray, length: int) -> Iterator[tu
     begins = np.cumsum(sizes + 1) - sizes - 1
     owner = np.repeat(np.arange(len(segments)), sizes + 1)[: len(text)]
     whole = begins[owner] + sizes[owner] - np.arange(len(text)) >= length
-    array = suffix_array(text.astype(np.int64), 256)
+    array = suffix_array(text.astype(np.int64), 256, length)
     common = permuted_prefixes(text, array, length)[array]
     run = np.cumsum(common < length) - 1
     least = np.full(run[-1] + 1, np.iinfo(np.int64).max)

@@ -113,3 +113,30 @@ def test_query_over_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op3_suffix_dedup(spark, SMALL).collect()]
     assert sorted(got, key=repr) == brute(rows, 50)
+
+
+def test_shards_are_sorted_without_scans_of_single_letters(monkeypatch):
+    """Names of substrings are of many kinds; a scan in Python over them took most of a shard's time."""
+    draw = random.Random(3)
+    stock = [bytes(draw.choice(b"abcdefghij klmnop") for _ in range(120)) for _ in range(60)]
+    segments = [b"".join(draw.choice(stock)[draw.randrange(40) :] for _ in range(draw.randrange(1, 4))) for _ in range(200)]
+    docs = np.array([draw.randrange(50) for _ in segments])
+    monkeypatch.setattr(suffix, "_induced_one_by_one", None)
+    least = {}
+    for data, doc in zip(segments, docs.tolist(), strict=True):
+        for i in range(len(data) - 49):
+            least[data[i : i + 50]] = min(doc, least.get(data[i : i + 50], doc))
+    found = {
+        (s, i): doc for s, first, last, doc in suffix.covered(segments, docs, 50) for i in range(first, last + 1)
+    }
+    assert found == {(s, i): least[d[i : i + 50]] for s, d in enumerate(segments) for i in range(len(d) - 49)}
+
+
+@pytest.mark.parametrize("kinds", [2, 300])
+def test_doubling(kinds):
+    names = np.random.default_rng(kinds).integers(0, kinds, 2000)
+    names[1000:1700] = names[:700]
+    whole = names.tolist()
+    assert suffix._doubled(names, len(names)).tolist() == sorted(range(2000), key=lambda i: whole[i:])
+    some = [whole[i : i + 8] for i in suffix._doubled(names, 8)]
+    assert some == sorted(some)

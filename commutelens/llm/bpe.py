@@ -36,8 +36,10 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN_PATTERN = rf" ?[{LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
 NOT_PLAIN = re.compile(rf"[^\x20-\x7e\n{LETTERS}]").search
 
-#: Encodings kept per Python worker, characters per block of documents, characters of a text split at once.
-WORDS_KEPT = 400_000
+#: Encodings and judged pairs of tokens kept per Python worker, characters per block of documents, characters of a text
+#: split at once. What is kept stays in the worker for whatever stage comes next.
+WORDS_KEPT = 150_000
+PAIRS_KEPT = 200_000
 BLOCK_CHARS = 2_000_000
 PIECE_CHARS = 4_000_000
 
@@ -165,7 +167,7 @@ class Vocabulary:
                 place -= sizes[state[place]]
             ids.reverse()
             found[word.decode("utf-8", "surrogatepass")] = ids.tobytes()
-        if len(allowed) > 1_000_000:
+        if len(allowed) > PAIRS_KEPT:
             allowed.clear()
         return found
 
@@ -203,9 +205,8 @@ class Vocabulary:
         split = [[*chain.from_iterable(self.words(text))] for text in texts]
         whole = set().union(*split) - {*self.special.values()}
         fresh = whole - self.known.keys()
-        if len(self.known) + len(fresh) > WORDS_KEPT:
-            self.known.clear()
-            fresh = whole
+        if len(self.known) + len(fresh) > WORDS_KEPT:  # words of this block stay: common ones are among them
+            self.known = {word: self.known[word] for word in whole - fresh}
         self.known |= self.encode_words(fresh)
         for token in self.special.values():
             self.known[token] = array("i", [token]).tobytes()

@@ -58,3 +58,13 @@ def test_query_over_whole_table(spark, library):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
+
+
+def test_a_full_store_keeps_words_in_use(monkeypatch):
+    words = bpe.Vocabulary(PATH)
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 6)
+    first = words.encode_block(["one two three four five"])
+    asked, encode = [], words.encode_words
+    monkeypatch.setattr(words, "encode_words", lambda fresh: asked.extend(fresh) or encode(fresh))
+    assert words.encode_block(["one two six seven"])[0][:8] == first[0][:8]
+    assert sorted(asked) == [" seven", " six"] and len(words.known) <= 6 + len(words.special)

@@ -38,7 +38,7 @@ NOT_PLAIN = re.compile(rf"[^\x20-\x7e\n{LETTERS}]").search
 
 #: Encodings and judged pairs of tokens kept per Python worker, characters per block of documents, characters of a text
 #: split at once. What is kept stays in the worker for whatever stage comes next.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 200_000
 PAIRS_KEPT = 200_000
 BLOCK_CHARS = 2_000_000
 PIECE_CHARS = 4_000_000
@@ -94,6 +94,7 @@ class Vocabulary:
             self.joined[own[left], own[right]] = token
             self.pieces.append(self.pieces[own[left]] + self.pieces[own[right]])
         self.public = [model["vocab"][name] for name in names]
+        self.packed = [array("i", [token]).tobytes() for token in self.public]
         self.sizes = [len(piece) for piece in self.pieces]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = {public: piece for public, piece in zip(self.public, self.pieces, strict=True)}
@@ -141,7 +142,7 @@ class Vocabulary:
         start[d] the place from which on it begins some token; that place never moves back as the prefix grows."""
         trie = Trie()
         trie.insert_sorted(sorted({word.encode("utf-8", "surrogatepass") for word in words}))
-        ending, sizes, allowed, public = self.prefixes.get, self.sizes, self.allowed, self.public
+        ending, sizes, allowed, packed = self.prefixes.get, self.sizes, self.allowed, self.packed
         state, start, found = [-1], [0], {}
         for shared, word in trie.branches:
             del state[shared + 1 :], start[shared + 1 :]
@@ -161,12 +162,13 @@ class Vocabulary:
                         break
                 state.append(token)
                 start.append(at)
-            ids, place = array("i"), len(word)
+            ids, place = [], len(word)
             while place:
-                ids.append(public[state[place]])
-                place -= sizes[state[place]]
+                token = state[place]
+                ids.append(packed[token])
+                place -= sizes[token]
             ids.reverse()
-            found[word.decode("utf-8", "surrogatepass")] = ids.tobytes()
+            found[word.decode("utf-8", "surrogatepass")] = b"".join(ids)
         if len(allowed) > PAIRS_KEPT:
             allowed.clear()
         return found
@@ -203,8 +205,9 @@ class Vocabulary:
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         split = [[*chain.from_iterable(self.words(text))] for text in texts]
-        whole = set().union(*split) - {*self.special.values()}
-        fresh = whole - self.known.keys()
+        whole = set().union(*split)
+        whole.difference_update(self.special.values())
+        fresh = whole.difference(self.known)  # unlike "-" on a view of keys, this looks up the words of the block only
         if len(self.known) + len(fresh) > WORDS_KEPT:  # words of this block stay: common ones are among them
             self.known = {word: self.known[word] for word in whole - fresh}
         self.known |= self.encode_words(fresh)
@@ -243,8 +246,9 @@ def _encode_all(texts: pa.Array, path: str) -> pa.Array:
 
 
 def _decode_all(rows: pa.Array, path: str) -> pa.Array:
-    words = vocabulary(path)
-    return pa.array([words.decode(row.values.to_numpy().tolist()) if row.is_valid else "" for row in rows], pa.string())
+    words, offsets, ids = vocabulary(path), rows.offsets.to_pylist(), rows.values.to_numpy()
+    known = zip(rows.is_valid().to_pylist(), offsets, offsets[1:])
+    return pa.array([words.decode(ids[a:b].tolist()) if valid else "" for valid, a, b in known], pa.string())
 
 
 def encoded(text: Column | str, path: str) -> Column:

@@ -68,3 +68,13 @@ def test_a_full_store_keeps_words_in_use(monkeypatch):
     monkeypatch.setattr(words, "encode_words", lambda fresh: asked.extend(fresh) or encode(fresh))
     assert words.encode_block(["one two six seven"])[0][:8] == first[0][:8]
     assert sorted(asked) == [" seven", " six"] and len(words.known) <= 6 + len(words.special)
+
+
+def test_a_block_looks_up_its_own_words_only(library):
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("all kept words are listed")
+
+    words, text = bpe.Vocabulary(PATH), "kept words, and some that are not kept"
+    words.known = Known(words.encode_words(["kept", " words"]))
+    assert memoryview(words.encode_block([text])[0]).cast("i").tolist() == library.encode(text, add_special_tokens=False).ids

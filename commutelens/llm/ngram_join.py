@@ -6,6 +6,7 @@ documents are candidates only where prefixes meet. Common tokens are those that
 their counts go into a table of fixed size, which makes frequent passages last in every set, whatever the corpus.
 With a prefix longer by k - 1 tokens similar sets share at least k tokens of their prefixes (k grows with the set).
 
+A document that shares fewer tokens with all others together than it must with one takes no further part.
 Documents that share a prefix token go to the token's leader, the smallest id among them. Most tokens of a group of
 copies have the same leader, so a document travels to few leaders rather than once per token. In small groups pairs are
 counted first, by numbers alone, and only those that may share k tokens over all leaders meet, at one of them. In large
@@ -376,6 +377,28 @@ def _joined(groups: DataFrame, common: np.ndarray, params: JoinParams) -> DataFr
     )
 
 
+def _due(params: JoinParams) -> Column:
+    """Tokens of their prefixes that a set of ``n`` and any similar one share at least."""
+    partner = F.ceil(F.col("n") * params.percent / 100)
+    return F.least(partner, params.meet + F.floor(partner * params.meet_percent / 100))
+
+
+def _able_to_link(meets: DataFrame, able: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """Rows of (lead, node, n, met) and of (doc_id, n) without documents that share too few tokens with all others
+    together to be similar to any.
+
+    What a document shares with another one lies at a leader: as ``met`` of its own row there, or of the other's row where
+    it leads itself. In a large corpus most documents share some tokens with others by accident, each with a few of them.
+    """
+    own = meets.groupBy("node").agg(F.sum("met").alias("shared"))
+    led = meets.groupBy(F.col("lead").alias("node")).agg(F.sum("met").alias("shared"))
+    totals = own.unionByName(led).groupBy("node").agg(F.sum("shared").alias("shared"))
+    sized = able.join(totals.hint("merge"), F.col("doc_id") == F.col("node")).filter(F.col("shared") >= _due(params))
+    kept = written(sized.select("doc_id", "n"), "able")
+    rows = meets.join(kept.select(F.col("doc_id").alias("k")).hint("merge"), F.col("node") == F.col("k"), "left_semi")
+    return written(rows, "met"), kept
+
+
 def _routes(meets: DataFrame, able: DataFrame, params: JoinParams) -> DataFrame:
     """Distinct (lead, node, n) that similar documents need to come together, leaders among the nodes.
 
@@ -387,8 +410,7 @@ def _routes(meets: DataFrame, able: DataFrame, params: JoinParams) -> DataFrame:
     leader has strong rows of both, all tokens they share are in weak rows, so one of both holds half of its due in weak
     rows. Leaders that such a document touches keep all their rows; elsewhere weak rows go.
     """
-    partner = F.ceil(F.col("n") * params.percent / 100)
-    due = F.least(partner, params.meet + F.floor(partner * params.meet_percent / 100))
+    due = _due(params)
     groups = meets.groupBy("lead").agg((F.count(F.lit(1)) <= params.paired).alias("small")).withColumnRenamed("lead", "l")
     rows = meets.join(groups.hint("merge"), F.col("lead") == F.col("l")).drop("l")
     large = rows.filter(~F.col("small"))
@@ -456,7 +478,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params:
         "meets",
     )
     # A member stays if the next smaller or larger one of its group, the leader included, is near enough in size.
-    whole = _routes(meets, able.select("doc_id", "n"), params)
+    whole = _routes(*_able_to_link(meets, able.select("doc_id", "n"), params), params)
     by_size = W.partitionBy("lead").orderBy("n", "node")
     near = (F.lag("n").over(by_size) * 100 >= F.col("n") * params.percent) | (
         F.col("n") * 100 >= F.lead("n").over(by_size) * params.percent

@@ -171,3 +171,13 @@ def test_classes_do_not_depend_on_what_is_a_small_group(spark, paired):
     params = JoinParams(paired=paired, chunk=7)
     got = sorted(map(tuple, ngram_join.classes(frame, params=params).collect()), key=repr)
     assert got == brute(rows, params.words, params.percent)
+
+
+def test_documents_that_share_too_little_with_all_others_are_left(spark):
+    # 1 and 2 share 30 tokens at leader 1; 3 to 40 share one each with 1, and 3 leads 41 with one token.
+    meets = [(1, 2, 100, 30), *((1, i, 100, 1) for i in range(3, 41)), (3, 41, 100, 1), (50, 2, 100, 1)]
+    meets = spark.createDataFrame(meets, "lead bigint, node bigint, n bigint, met bigint")
+    able = spark.createDataFrame([(i, 100) for i in range(1, 51)], "doc_id bigint, n bigint")
+    rows, kept = ngram_join._able_to_link(meets, able, ngram_join.JoinParams(words=4, percent=85))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    assert sorted((r.lead, r.node, r.met) for r in rows.collect()) == [(1, 2, 30), (50, 2, 1)]

@@ -135,6 +135,22 @@ def test_inner_rectangles_of_a_box_make_no_pairs(rows, monkeypatch):
     assert len(got) == 40 and all(r["n"] == 300 for r in got) and pairs < 40 * 300 / 5
 
 
+def test_a_box_has_few_rows_along_its_edges(rows, monkeypatch):
+    """Strips are split into runs over their whole length: 64 cells are 8 runs of 8, and not outer cells and 12 runs."""
+    met = []
+    b = rows(
+        [(1, "2024-01-02 00:00:00", 0.01, 0.01, 1.59, 1.59), (2, "2024-01-02 00:00:00", 0.01, 0.01, 0.012, 1.59), (3, "2024-01-02 00:00:00", 0.01, 0.01, 0.012, 0.012)],
+        "bid bigint, asked timestamp_ntz, south double, west double, north double, east double",
+    )
+    p = rows([(0.011, 0.01 * i, "2024-01-01 00:00:00", "2024-01-03 00:00:00", 1) for i in range(300)], "lat double, lng double, since timestamp_ntz, until timestamp_ntz, n bigint")
+    join = type(b).join
+    monkeypatch.setattr(type(b), "join", lambda self, *a: met.append(self) or join(self, *a))
+    got = boxsums.totals_in_boxes(b, p, "bid", "asked", "since", "until", ["n"]).collect()
+    assert {r["bid"]: r["n"] for r in got} == {1: 159, 2: 159, 3: 1}
+    listed = met[-1].groupBy("bid").count().collect()
+    assert {r["bid"]: r["count"] for r in listed} == {1: 40, 2: 14, 3: 1}
+
+
 @pytest.mark.parametrize("ranges", [1, 7, 40])
 @pytest.mark.parametrize("spread", ["dense", "sparse", "hashed"])
 def test_following_equals_brute_force_in_a_hot_group(rows, ranges, spread):

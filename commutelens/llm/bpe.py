@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commutelens.llm.worker import at_work
+
 #: Fixed value: the split pattern of byte-level vocabularies.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -239,6 +241,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def _encode_all(texts: pa.Array, path: str) -> pa.Array:
     ends, ids = array("i", [0]), array("i")
+    at_work("bpe", vocabulary.cache_clear)
     for row in vocabulary(path).encode_all(x.as_py() or "" for x in texts):
         ids.frombytes(row)
         ends.append(len(ids))
@@ -246,6 +249,7 @@ def _encode_all(texts: pa.Array, path: str) -> pa.Array:
 
 
 def _decode_all(rows: pa.Array, path: str) -> pa.Array:
+    at_work("bpe", vocabulary.cache_clear)
     words, offsets, ids = vocabulary(path), rows.offsets.to_pylist(), rows.values.to_numpy()
     known = zip(rows.is_valid().to_pylist(), offsets, offsets[1:])
     return pa.array([words.decode(ids[a:b].tolist()) if valid else "" for valid, a, b in known], pa.string())

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from commutelens.llm.components import components
 from commutelens.llm.shared import unused, written
+from commutelens.llm.worker import at_work
 
 
 @dataclass(frozen=True)
@@ -155,6 +156,7 @@ def _words_of(texts: Iterable[str]) -> Iterator[np.ndarray]:
 
 def ngram_sets(texts: Iterable[str], n: int, common: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """Sorted distinct tokens of each text: class of commonness in the high bits, hash of the n-gram below."""
+    at_work("ngram_join")
     for words in _words_of(texts):
         if len(words) >= n:
             grams = sum(words[i : len(words) - n + 1 + i] * _OF_PLACE[i] for i in range(n))
@@ -177,9 +179,15 @@ def common_table(docs: DataFrame, text: str, params: JoinParams) -> np.ndarray:
 
         def flush() -> None:
             if held:
-                tokens, times = np.unique(np.concatenate(held), return_counts=True)
-                often = times >= params.repeats
-                np.add.at(cells, tokens[often] % params.cells, times[often])
+                tokens = np.concatenate(held)
+                held.clear()
+                tokens.sort()
+                # A token repeats if the one so many places on is equal; only such runs are counted, the others are most.
+                further = params.repeats - 1
+                again = np.flatnonzero(tokens[further:] == tokens[: max(0, len(tokens) - further)])
+                often, first = np.unique(tokens[again], return_index=True)
+                times = np.searchsorted(tokens, often, "right") - again[first]
+                np.add.at(cells, often % params.cells, times)
 
         for batch in batches:
             for tokens in ngram_sets((x.as_py() or "" for x in batch.column(0)), params.words):
@@ -187,7 +195,7 @@ def common_table(docs: DataFrame, text: str, params: JoinParams) -> np.ndarray:
                 size += len(tokens)
                 if size >= params.block:
                     flush()
-                    held, size = [], 0
+                    size = 0
         flush()
         used = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], names=["cell", "n"])

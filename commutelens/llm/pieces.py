@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commutelens.llm.worker import at_work
+
 SPACE = "▁"
 NONE = float("-inf")
 
@@ -222,6 +224,7 @@ def model(path: str) -> PieceModel:
 
 
 def _encode_all(texts: pa.Array, path: str) -> pa.Array:
+    at_work("pieces", model.cache_clear)
     pieces, ends, ids = model(path), array("i", [0]), array("i")
     for text in texts:
         ids.frombytes(pieces.encode(text.as_py()))
@@ -230,6 +233,7 @@ def _encode_all(texts: pa.Array, path: str) -> pa.Array:
 
 
 def _decode_all(rows: pa.Array, path: str) -> pa.Array:
+    at_work("pieces", model.cache_clear)
     pieces = model(path)
     texts = (pieces.decode(row.values.to_numpy(zero_copy_only=False).tolist()) if row.is_valid else "" for row in rows)
     return pa.array(texts, pa.string())

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commutelens.llm.worker import at_work
+
 
 @dataclass(frozen=True)
 class QualityParams:
@@ -75,6 +77,7 @@ def features(text: bytes) -> list[float]:
 def feature_column(text: Column) -> Column:
     @F.arrow_udf("array<double>")
     def compute(texts: pa.Array) -> pa.Array:
+        at_work("quality")
         return pa.array([features((x.as_py() or "").encode("utf-8", "replace")) for x in texts], pa.list_(pa.float64()))
 
     return compute(text)
@@ -177,6 +180,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", out: str = "sc
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
+        at_work("quality")
         rows = [features((x.as_py() or "").encode("utf-8", "replace")) for x in texts]
         return pa.array(model.scores(np.array(rows).reshape(-1, len(FEATURES))))
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commutelens.llm.spans import Span, found_in, free_of, in_order, masked
+from commutelens.llm.worker import at_work
 
 KINDS = ("assign", "access", "hex", "markov")
 BASE_KINDS = KINDS[:3]
@@ -98,6 +99,7 @@ def train(df: DataFrame, text: str = "text", params: SecretParams = PARAMS) -> M
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, STATES * STATES), np.int64)
         for batch in batches:
+            at_work("secrets")
             for value in batch.column(0):
                 content = value.as_py() or ""
                 chosen = transitions(" ".join(random_parts(content)))
@@ -157,6 +159,7 @@ def redact(
 
     @F.arrow_udf("string")
     def cleaned(texts: pa.Array) -> pa.Array:
+        at_work("secrets")
         rows = (x.as_py() for x in texts)
         return pa.array([t and masked(t, find(t, chosen, params), lambda _: mask) for t in rows], pa.string())
 

@@ -181,3 +181,51 @@ def test_documents_that_share_too_little_with_all_others_are_left(spark):
     rows, kept = ngram_join._able_to_link(meets, able, ngram_join.JoinParams(words=4, percent=85))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert sorted((r.lead, r.node, r.met) for r in rows.collect()) == [(1, 2, 30), (50, 2, 1)]
+
+
+def edited(draw, base, count, share):
+    return [(i, " ".join(w if draw.random() > share else f"x{draw.random()}" for w in base)) for i in range(count)]
+
+
+@pytest.mark.parametrize("share", [0.015, 0.04])
+def test_loose_members_of_many_chunks_find_each_other(documents, share):
+    draw = random.Random(21)
+    base, params = [f"w{i}" for i in range(60)], JoinParams(words=4, percent=85, chunk=8, repeats=3)
+    first = edited(draw, base, 60, share)
+    rows = first + [(100 + i, first[draw.randrange(60)][1] + " end") for i in range(20)]
+    assert sorted(map(tuple, ngram_join.classes(documents(rows), params=params).collect()), key=repr) == brute(rows, 4, 85)
+
+
+def test_a_task_holds_two_chunks_however_many_members_stay_loose(spark):
+    members = [(1, i % 10, i, f"t{i}", 10) for i in range(2, 202)] + [(300, i % 3, 300 + i, "t", 3) for i in range(1, 7)]
+    loose = [(1, i) for i in range(2, 202, 2)] + [(300, 301)]
+    met = ngram_join._meeting(
+        spark.createDataFrame(members, "lead long, chunk long, node long, text string, chunks long"),
+        spark.createDataFrame(loose, "lead long, node long"),
+    )
+    held = defaultdict(set)
+    for r in met.collect():
+        assert r.low < r.high and r.chunk in (r.low, r.high) and r.free == ((r.lead, r.node) in set(loose))
+        held[r.lead, r.low, r.high].add((r.chunk, r.node))
+    assert max(map(len, held.values())) <= 40
+    chunk, free = {(m[0], m[2]): m[1] for m in members}, set(loose)
+    for lead, node in loose:  # each loose member meets each member of the other chunks
+        for (other_lead, other), at in chunk.items():
+            if other_lead == lead and at != chunk[lead, node]:
+                low, high = sorted([at, chunk[lead, node]])
+                assert {(at, other), (chunk[lead, node], node)} <= held[lead, low, high]
+    assert sorted(held[300, 0, 1]) == [(0, 303), (0, 306), (1, 301)] and (300, 0, 2) not in held and free
+
+
+def test_probes_with_a_partner_are_told_by_their_overlaps():
+    draw, params = np.random.default_rng(7), JoinParams(words=4, percent=85)
+    base = np.unique(draw.integers(0, 1 << 58, 80))
+    copies = [np.unique(np.where(draw.random(len(base)) < s, draw.integers(0, 1 << 58, len(base)), base)) for s in draw.random(60) / 5]
+    sets = [*copies, np.zeros(0, np.int64), base[:1], base[:1]]
+    near = ngram_join.reaching(sets[:30], sets, params)
+    for i, x in enumerate(sets[:30]):
+        for j, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            assert near[i, j] == (both > 0 and 100 * both >= 85 * (len(x) + len(y) - both))
+    assert ngram_join.reaching(sets[60:], sets[60:], params).tolist() == [[False] * 3, [False, True, True], [False, True, True]]
+    assert ngram_join.reaching([], sets, params).shape == (0, 63) and not ngram_join.reaching(sets[60:61], sets[60:61], params).any()

@@ -10,6 +10,7 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
+from commutelens.functions import clock
 from commutelens.operators import boxsums, joins, rides
 from commutelens.plans import trip_insight
 from commutelens.params import GridParams, NearGridParams, SumGridParams
@@ -288,3 +289,23 @@ def test_nearest_orders_only_places_within_reach(rows, monkeypatch):
     assert pairs < 60 * 60
     plan = plan_of(got)
     assert "BroadcastNestedLoop" not in plan and "SortMergeJoin" in plan
+
+
+def test_facts_and_points_of_a_time_answer_like_all(spark, rows):
+    draw = random.Random(17)
+    at = lambda m: f"2024-03-01 {m // 60 % 24:02d}:{m % 60:02d}:{draw.randrange(3):02d}"
+    facts = [(draw.choice(["a", "b", "c", None]), at(draw.randrange(1200)), i // 2, i) for i in range(300)]
+    facts = rows([*facts, ("a", None, 900, 900)], "k string, t timestamp_ntz, id bigint, v bigint")
+    probes = rows([(i, draw.choice(["a", "b", "d", None]), at(600 + i)) for i in range(90)], "p bigint, k string, asked timestamp_ntz")
+    low, high = probes.agg(F.min(clock.micros(F.col("asked"))), F.max(clock.micros(F.col("asked")))).first()
+    some = joins.facts_between(facts, "k", "t", "id", low, high)
+    assert some.columns == facts.columns and some.filter(clock.micros(F.col("t")) < low).count() == 3 and some.count() < 120
+    answer = lambda f: sorted(map(tuple, joins.as_of(probes, f, "k", "asked", "t", "id", ["id"]).select("p", "fact_time", "id").collect()))
+    assert answer(some) == answer(facts)
+    points = rows(
+        [(1, "2024-03-01 08:00:00", "2024-03-01 10:00:00"), (2, "2024-03-01 08:00:00", "2024-03-01 10:00:01"),
+         (3, "2024-03-01 11:00:00", None), (4, "2024-03-01 11:00:01", None), (5, None, None), (6, "2024-01-01 00:00:00", None)],
+        "p bigint, a timestamp_ntz, b timestamp_ntz",
+    )
+    low, high = (points.filter(f"p = {p}").select(clock.micros(F.col(c))).first()[0] for p, c in ((1, "b"), (3, "a")))
+    assert [r.p for r in joins.points_between(points, "a", "b", low, high).orderBy("p").collect()] == [2, 3, 6]

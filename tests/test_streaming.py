@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from catalog.queries import QUERIES
+from commutelens.operators import joins
+from commutelens.plans import trip_insight
 from commutelens.sources import tables
 from commutelens.streaming import jobs
 from conftest import SMALL
@@ -148,3 +151,29 @@ def test_stream_takes_a_history_of_many_files_as_one_batch(spark, rows, tmp_path
     totals = jobs.hourly_totals(jobs.history_stream(spark, landing, SCHEMA), "k", "ts", "n")
     jobs.append_to(totals, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r["y"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [30] * 19
+
+
+def test_trips_answered_in_parts_by_time(spark, rows, tmp_path):
+    """Parts see only what is known within their time, and answer like one go over everything."""
+    draw = random.Random(5)
+    at = lambda: f"2024-03-{draw.randrange(1, 4):02d} {draw.randrange(24):02d}:{draw.randrange(60):02d}:{draw.randrange(60):02d}"
+    stops = rows([(i, f"s{i}", 32.6 + i * 0.01, -80.2 + i * 0.013) for i in range(9)], "stop_id bigint, stop string, lat double, lng double")
+    asked = [(i, at() if i % 10 else None, i, f"R{i % 3}", f"s{draw.randrange(9)}", f"s{draw.randrange(9)}", f"{draw.randrange(24):02d}:15") for i in range(60)]
+    asked += [(100 + i, "2024-03-02 12:00:00", i, "R1", "s1", "s8", "18:00") for i in range(10)]
+    asked = rows(asked, "request_id bigint, requested_at timestamp_ntz, rider_id bigint, route string, dep_stop string, dst_stop string, arrive_by string")
+    flows = rows([(i, draw.randrange(9), at(), draw.randrange(5, 41), 40) for i in range(200)], "flow_id bigint, stop_id bigint, observed_at timestamp_ntz, mph bigint, free_mph bigint")
+    incidents = rows(
+        [(32.6 + draw.random() / 10, -80.2 + draw.random() / 10, draw.randrange(4), at(), None if i % 9 == 0 else "2024-03-03 06:00:00") for i in range(300)],
+        "lat double, lng double, icon_category bigint, valid_from timestamp_ntz, valid_to timestamp_ntz",
+    )
+    profile = rows([(f"R{r}", h, 475000 + d * 24, 1.0 * (r + h + d)) for r in range(3) for h in range(24) for d in range(3)], "series_key string, phase int, since bigint, q50 double")
+    trips = joins.matched(trip_insight.locate(asked, stops))
+    names = ["request_id", "incidents", "dep_mph", "dst_mph", "predicted_riders", "travel_minutes", "density", "savings_cents", "nudge"]
+    whole = trip_insight.insights_of(trips, flows, incidents, profile).select(*names)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    answer = lambda df: sorted(map(repr, df.collect()))
+    want = answer(whole)
+    got = trip_insight.insights_in_parts(trips, flows, incidents, profile, names, str(tmp_path / "parts"), at_once=30)
+    assert answer(got) == want and 2 <= len(list((tmp_path / "parts").iterdir())) <= 3
+    assert len(want) == 70 and spark.conf.get(key, None) == before
